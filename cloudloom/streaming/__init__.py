@@ -1,0 +1 @@
+"""Clouds are bounded batches: there is no streaming operator over them."""
