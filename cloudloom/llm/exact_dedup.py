@@ -37,15 +37,16 @@ def sha256(text: Column) -> Column:
 
 
 def keyed(df: DataFrame, digest) -> DataFrame:
-    """doc_id, norm, digest, n (code points) and the locator; what stays is the smallest `order`."""
+    """doc_id, norm, digest, n (code points) and the locator; what stays is the smallest order()."""
     norm = normalised(F.col("text"))
     at = df.select("doc_id", "text", F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"))
     out = at.select("doc_id", norm.alias("norm"), F.coalesce(F.length("text"), F.lit(0)).cast("long").alias("n"), "file", "row")
     return out.withColumn("digest", digest(F.col("norm")))
 
 
-#: Smallest: most code points, then smallest doc_id with null last, then first locator.
-ORDER = F.struct((-F.col("n")).alias("less"), F.col("doc_id").isNull().alias("no_id"), "doc_id", "file", "row")
+def order() -> Column:
+    """Smallest: most code points, then smallest doc_id with null last, then first locator."""
+    return F.struct((-F.col("n")).alias("less"), F.col("doc_id").isNull().alias("no_id"), "doc_id", "file", "row")
 
 
 def stream_state(spark: SparkSession, path: str, schema, digest=sha256, max_files: int | None = None) -> DataFrame:
@@ -59,7 +60,7 @@ def stream_state(spark: SparkSession, path: str, schema, digest=sha256, max_file
         spark.conf.set(k, v)
     try:
         rows = keyed(reader.parquet(f"{path[:-1]}[{path[-1]}]"), digest)  # as a pattern it may also be a single file
-        state = rows.groupBy("digest").agg(F.count(F.lit(1)).alias("rows"), F.min(ORDER).alias("keeper"))
+        state = rows.groupBy("digest").agg(F.count(F.lit(1)).alias("rows"), F.min(order()).alias("keeper"))
         query = (
             state.writeStream.outputMode("update").option("checkpointLocation", checkpoint).trigger(availableNow=True)
             .foreachBatch(lambda batch, k: batch.write.mode("overwrite").parquet(f"{out}/batch={k}")).start()
@@ -88,7 +89,7 @@ def assignments(spark: SparkSession, path: str, digest=sha256, max_files: int |
     rows = keyed(docs, digest)
     #: Full bytes of what was hit again; a group of copies is one row for each task that read some of it.
     hit = state.where("rows > 1").select("digest")
-    bytes_of = rows.join(hit, "digest", "left_semi").groupBy("digest", "norm").agg(F.count(F.lit(1)).alias("rows"), F.min(ORDER).alias("keeper"))
+    bytes_of = rows.join(hit, "digest", "left_semi").groupBy("digest", "norm").agg(F.count(F.lit(1)).alias("rows"), F.min(order()).alias("keeper"))
     clash = cut(_shared(bytes_of), "dedup-clashes")
     slim = rows.select("doc_id", "n", "file", "row", "digest", F.sha2(F.col("norm").cast("binary"), 256).alias("text_sha256"))
     if clash.isEmpty():
