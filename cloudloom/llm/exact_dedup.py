@@ -2,9 +2,8 @@
 
 Texts are equal when they are identical after deletion of the characters of [\\x20\\x09-\\x0D]; null counts as empty. A stream
 over the table keeps state by digest in RocksDB on the executors' disks, without watermark or expiry: the digest, the stable
-identifier and content locator (file and row) of the row that stays, and a count. Rows of a digest that was hit again are then
-grouped by their full bytes, so two texts of one digest stay apart; copies of a text meet in each task before they are
-shuffled. Of equal texts the row with the most code points stays, then the smallest doc_id (null last), then the first locator.
+identifier and content locator (file and row) of the row that stays, and a count. Then the full bytes are compared: rows are
+grouped by digest and bytes, so two texts of one digest stay apart; copies of a text meet in each task before they are shuffled. Of equal texts the row with the most code points stays, then the smallest doc_id (null last), then the first locator.
 
 Rows that repeat one doc_id are rows of their own: only the one at the keeper's locator is kept. An empty table gives no rows.
 """
@@ -20,6 +19,7 @@ from cloudloom.llm.common import cut, new_path
 IGNORED = [" ", "\t", "\n", "\x0b", "\x0c", "\r"]
 STREAM = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",  # else each partition's store takes 4 MB of disk at once
     "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
     "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "256",
 }
@@ -87,27 +87,21 @@ def assignments(spark: SparkSession, path: str, digest=sha256, max_files: int |
     docs = spark.read.parquet(path)
     state = cut(stream_state(spark, path, docs.schema, digest, max_files), "dedup-groups")
     rows = keyed(docs, digest)
-    #: Full bytes of what was hit again; a group of copies is one row for each task that read some of it.
-    hit = state.where("rows > 1").select("digest")
-    bytes_of = rows.join(hit, "digest", "left_semi").groupBy("digest", "norm").agg(F.count(F.lit(1)).alias("rows"), F.min(order()).alias("keeper"))
-    clash = cut(_shared(bytes_of), "dedup-clashes")
+    #: The full bytes: copies of a text meet in each task. A digest with several texts is a clash.
+    texts = rows.groupBy("digest", "norm").agg(F.count(F.lit(1)).alias("rows")).groupBy("digest").agg(F.count(F.lit(1)).alias("texts"))
+    clash = cut(texts.where("texts > 1").select("digest"), "dedup-clashes")
     slim = rows.select("doc_id", "n", "file", "row", "digest", F.sha2(F.col("norm").cast("binary"), 256).alias("text_sha256"))
     if clash.isEmpty():
         placed = slim.join(state, "digest")
     else:
-        ours = clash.select("digest").distinct()
-        apart = rows.join(clash, ["digest", "norm"]).select(*slim.columns[:-1], F.sha2(F.col("norm").cast("binary"), 256).alias("text_sha256"), "rows", "keeper")
-        placed = slim.join(ours, "digest", "left_anti").join(state, "digest").select(apart.columns).union(apart)
+        apart = rows.join(clash, "digest", "left_semi")
+        of_text = apart.groupBy("digest", "norm").agg(F.count(F.lit(1)).alias("rows"), F.min(order()).alias("keeper"))
+        apart = apart.join(of_text, ["digest", "norm"]).select(*slim.columns[:-1], F.sha2(F.col("norm").cast("binary"), 256).alias("text_sha256"), "rows", "keeper")
+        placed = slim.join(clash, "digest", "left_anti").join(state, "digest").select(apart.columns).union(apart)
     same = (F.col("file") == F.col("keeper.file")) & (F.col("row") == F.col("keeper.row"))
     return placed.select("doc_id", F.col("keeper.doc_id").alias("keep_id"), F.col("rows").alias("group_size"), same.alias("kept"), "text_sha256", "file", "row")
 
 
-def _shared(bytes_of: DataFrame) -> DataFrame:
-    """Groups whose digest has more than one text."""
-    several = bytes_of.groupBy("digest").agg(F.count(F.lit(1)).alias("texts")).where("texts > 1").select("digest")
-    return bytes_of.join(several, "digest", "left_semi")
-
-
 def dedup(docs: DataFrame, digest=sha256) -> DataFrame:
     """The rows of docs that stay, all columns as they were."""
     spark = docs.sparkSession

@@ -21,7 +21,6 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from cloudloom.llm.bpe import SPACE
 from cloudloom.llm.common import slices, table
 
 LENGTH, GROUP, KEPT_CHUNKS = 2048, 4_000_000, 400_000
@@ -89,38 +88,73 @@ def pack(lengths: list[int], length: int = LENGTH, last: bool = True) -> tuple[l
 
 
 class WordIds:
-    """Ids of texts by the tokenizers library; the ids of a chunk between white space are asked for once and kept."""
+    """Ids of texts by the tokenizers library; the ids of a chunk between white space are asked for once and kept.
+
+    Words of letters only are asked for together, as one text: each ends in an id whose vocabulary string has the word-end mark.
+    """
 
     def __init__(self, path: str, end: int):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.end, self.chunks, self.known = np.uint32(end).tobytes(), re.compile(f"[^{SPACE}]+"), {}
+        self.end, self.known = np.uint32(end).tobytes(), {}
         self.older: dict[str, bytes] = {}
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-
-    def known_ids(self, chunks):
-        return b"".join(map(self.known.__getitem__, chunks)) + self.end
+        self.odd = re.compile("[\x1c-\x1f]|" + "|".join(map(re.escape, self.special)))
+        vocab = self.tokenizer.get_vocab()
+        self.ends = np.zeros(1 + max(vocab.values()), bool)
+        self.ends[[i for s, i in vocab.items() if s.endswith("</w>")]] = True
+
+    def by_library(self, text: str) -> bytes:
+        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+
+    def learn(self, chunks: set[str]) -> None:
+        """Fills the dictionary with chunks that it lacks. A full one becomes the older one, from which what is still used comes back."""
+        if len(self.known) > KEPT_CHUNKS:
+            self.known, self.older = {}, self.known
+            return self.learn(chunks)
+        known, older, words, marked = self.known, self.older, {}, []
+        for c in chunks:
+            if c in older:
+                known[c] = older[c]
+            elif c.lower().isalpha():
+                words[c] = None
+            elif c[:-1].lower().isalpha():  # a word and a mark
+                marked.append(c)
+                words.update({w: None for w in (c[:-1],) if w not in known})
+            else:
+                known[c] = self.by_library(c)
+        if words:
+            text = " ".join(words)
+            ids = np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
+            cuts = np.flatnonzero(self.ends[ids]) + 1
+            if len(cuts) == len(words):
+                data, at = ids.tobytes(), 0
+                for w, cut in zip(words, (4 * cuts).tolist(), strict=True):
+                    known[w] = data[at:cut]
+                    at = cut
+            else:
+                for w in words:
+                    known[w] = self.by_library(w)
+        for c in marked:
+            mark = c[-1]
+            if mark.isalnum() or mark == "'":
+                known[c] = self.by_library(c)
+            else:
+                known[c] = known[c[:-1]] + (known.get(mark) or known.setdefault(mark, self.by_library(mark)))
+
+    def many(self, texts: list[str]) -> list[bytes]:
+        split = [None if self.odd.search(t) else t.split() for t in texts]
+        lacking = set().union(*[c for c in split if c]).difference(self.known)
+        if lacking:
+            self.learn(lacking)
+            if self.older and any(c not in self.known for chunks in split if chunks for c in chunks):
+                self.learn(set().union(*[c for c in split if c]).difference(self.known))
+        get = self.known.__getitem__
+        return [(self.by_library(t) if c is None else b"".join(map(get, c))) + self.end for t, c in zip(texts, split, strict=True)]
 
     def ids(self, text: str) -> bytes:
-        if any(s in text for s in self.special):
-            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes() + self.end
-        chunks = self.chunks.findall(text)
-        try:
-            return self.known_ids(chunks)
-        except KeyError:
-            if len(self.known) > KEPT_CHUNKS:
-                self.known, self.older = {}, self.known
-            new = []
-            for c in dict.fromkeys(chunks):
-                if c not in self.known:
-                    if (ids := self.older.get(c)) is None:
-                        new.append(c)
-                    else:
-                        self.known[c] = ids
-            for c, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-                self.known[c] = array("I", e.ids).tobytes()
-            return self.known_ids(chunks)
+        return self.many([text])[0]
 
 
 @functools.cache
@@ -155,8 +189,7 @@ def packed(df: DataFrame, path: str, end: int = 1, length: int = LENGTH, text: s
 
         waiting = 0
         for batch in slices(batches):
-            for doc, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                ids = words.ids(t or "")
+            for doc, ids in zip(batch.column(0).to_pylist(), words.many([t or "" for t in batch.column(1).to_pylist()]), strict=True):
                 docs.append((doc, 0, len(ids) // 4, ids))
                 waiting += len(ids) // 4
                 if waiting >= group:
