@@ -12,7 +12,6 @@ from __future__ import annotations
 
 import functools
 import heapq
-import re
 import zlib
 from array import array
 
@@ -27,6 +26,8 @@ LENGTH, GROUP, KEPT_CHUNKS = 2048, 4_000_000, 400_000
 LINEAR, QUADRATIC = 1.0, 1.0 / LENGTH
 #: Sequences looked at for one that takes a piece whole.
 LOOKED_AT = 8
+#: Marks that may follow a word in a chunk; together they are one token of the splitting pattern.
+MARKS = ".,;:!?*#$%&|-+)]}\""
 
 
 def cost(n: int) -> float:
@@ -99,8 +100,6 @@ class WordIds:
         self.tokenizer = Tokenizer.from_file(path)
         self.end, self.known = np.uint32(end).tobytes(), {}
         self.older: dict[str, bytes] = {}
-        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.odd = re.compile("[\x1c-\x1f]|" + "|".join(map(re.escape, self.special)))
         vocab = self.tokenizer.get_vocab()
         self.ends = np.zeros(1 + max(vocab.values()), bool)
         self.ends[[i for s, i in vocab.items() if s.endswith("</w>")]] = True
@@ -109,24 +108,25 @@ class WordIds:
         return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
     def learn(self, chunks: set[str]) -> None:
-        """Fills the dictionary with chunks that it lacks. A full one becomes the older one, from which what is still used comes back."""
-        if len(self.known) > KEPT_CHUNKS:
-            self.known, self.older = {}, self.known
-            return self.learn(chunks)
+        """Fills the dictionary with chunks. A full one becomes the older one, from which what is still used comes back."""
+        lacking = chunks.difference(self.known)
+        if len(self.known) + len(lacking) > KEPT_CHUNKS and self.known:
+            self.known, self.older, lacking = {}, self.known, chunks
         known, older, words, marked = self.known, self.older, {}, []
-        for c in chunks:
+        for c in lacking:
             if c in older:
                 known[c] = older[c]
-            elif c.lower().isalpha():
-                words[c] = None
-            elif c[:-1].lower().isalpha():  # a word and a mark
-                marked.append(c)
-                words.update({w: None for w in (c[:-1],) if w not in known})
-            else:
+                continue
+            word = c.rstrip(MARKS)
+            if not word.lower().isalpha():
                 known[c] = self.by_library(c)
+                continue
+            if word is not c and word != c:
+                marked.append((c, word, c[len(word) :]))
+            if word not in known:
+                words[word] = None
         if words:
-            text = " ".join(words)
-            ids = np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
+            ids = np.array(self.tokenizer.encode(" ".join(words), add_special_tokens=False).ids, "<u4")
             cuts = np.flatnonzero(self.ends[ids]) + 1
             if len(cuts) == len(words):
                 data, at = ids.tobytes(), 0
@@ -136,20 +136,16 @@ class WordIds:
             else:
                 for w in words:
                     known[w] = self.by_library(w)
-        for c in marked:
-            mark = c[-1]
-            if mark.isalnum() or mark == "'":
-                known[c] = self.by_library(c)
-            else:
-                known[c] = known[c[:-1]] + (known.get(mark) or known.setdefault(mark, self.by_library(mark)))
+        for c, word, marks in marked:
+            known[c] = known[word] + (known.get(marks) or known.setdefault(marks, self.by_library(marks)))
+
+    def odd(self, text: str) -> bool:
+        """Whether white space is not what str.split takes for it, or a special token may be there."""
+        return "<|" in text or any(c in text for c in "\x1c\x1d\x1e\x1f")
 
     def many(self, texts: list[str]) -> list[bytes]:
-        split = [None if self.odd.search(t) else t.split() for t in texts]
-        lacking = set().union(*[c for c in split if c]).difference(self.known)
-        if lacking:
-            self.learn(lacking)
-            if self.older and any(c not in self.known for chunks in split if chunks for c in chunks):
-                self.learn(set().union(*[c for c in split if c]).difference(self.known))
+        split = [None if self.odd(t) else t.split() for t in texts]
+        self.learn(set().union(*[c for c in split if c]))
         get = self.known.__getitem__
         return [(self.by_library(t) if c is None else b"".join(map(get, c))) + self.end for t, c in zip(texts, split, strict=True)]
 
