@@ -126,9 +126,11 @@ def matches(queries: DataFrame, index: DataFrame) -> DataFrame:
     #: Half words are compared: 32 bits of each of the four longs.
     half = F.col("word").bitwiseAND(0xFFFFFFFF).alias("word")
     q, d = (_words(t, n).select(n, f"of_{n}", "table", half) for t, n in ((queries, "query"), (index, "found")))
-    met = d.join(q, ["table", "word"]).select("query", "found", "of_query", "of_found")
+    met = d.join(q, ["table", "word"]).select("query", "found", "of_query", "of_found", "table")
     apart = sum((F.bit_count(F.col("of_query.bits")[k].bitwiseXOR(F.col("of_found.bits")[k])) for k in range(4)), F.lit(0))
-    near = met.where(apart <= NEAR)
+    low = lambda side, k: F.col(f"{side}.bits")[k].bitwiseAND(0xFFFFFFFF)
+    once = functools.reduce(lambda a, k: a & ((F.col("table") <= k) | (low("of_query", k) != low("of_found", k))), range(TABLES), F.lit(True))
+    near = met.where(once & (apart <= NEAR))  # a pair that meets in several tables counts in the first
     scale = F.col("of_query.scale") - F.col("of_found.scale")
     turn = F.pmod(F.col("of_query.turn") - F.col("of_found.turn"), F.lit(TURNS))
     angle = turn * (2 * np.pi / TURNS)

@@ -9,8 +9,9 @@ time horizon at which all are set.
 
 Documents of the same words are one node. Nodes that share a band fall into one bucket. A bucket is never expanded into all
 pairs: a round takes up to a few pivots of each bucket and compares them with the bucket's other nodes. The distance 1 - J is a
-metric, so nodes near a pivot (distance at most 0.2, a link) need no pivot of their own unless some node of another component
-is within 0.4 of that pivot; such border nodes become pivots later. The rounds end when no node needs to be a pivot, so no link
+metric: a node that is linked to a pivot (its star, distance at most 0.2) can only be linked to nodes within 0.4 of that pivot.
+So linked nodes need no turn as pivot; a node of another component within 0.4 of a star is on its border, takes a turn, and is
+then compared with those of the star that the triangle inequality leaves. The rounds end when no node needs a turn, so no link
 within a bucket that joins two components is lost. Each compared pair is verified by its exact multiset similarity.
 
 A class is a component of links; its id is its smallest doc_id. Null and empty texts are in no class but their own. A row whose
@@ -55,31 +56,30 @@ def shingles(words: list[str], size: int = WORDS) -> np.ndarray:
 
 
 def bagminhash(bag: np.ndarray, counts: np.ndarray, registers: int) -> np.ndarray:
-    """The time of the first point in each register; bag: distinct hashes, counts: their weights."""
-    total, horizon = float(counts.sum()), 0.0
-    horizon = registers / total * (np.log(registers) + 4)
+    """The time of the first point in each register; bag: distinct hashes, counts: their weights. Points are made some at a time for all shingles whose process has not passed the horizon."""
+    horizon = registers / float(counts.sum()) * (np.log(registers) + 2.5)
     while True:
         first = np.full(registers, np.inf)
         low, block = 0, 0
-        while True:
-            inside = counts > low
-            x, w = bag[inside], counts[inside]
-            if not len(x):
-                break
+        while (inside := counts > low).any():
+            x, w = (bag, counts) if inside.all() else (bag[inside], counts[inside])
             rate, t, j = max(low, 1), np.zeros(len(x)), 0
             seed = mix(x + _times(block + 1, 0xA0761D6478BD642F))
+            some = int(rate * horizon) + 2
             while len(seed):
-                r = mix(seed + _times(j + 1, GOLD))
-                t = t - np.log(((r >> np.uint64(11)) + np.uint64(1)).astype(np.float64) * 2.0**-53) / rate
-                soon = t <= horizon
-                seed, t, w, r = seed[soon], t[soon], w[soon], r[soon]
-                place = mix(r ^ np.uint64(0xE7037ED1A0B428DB))
-                there, when = (place >> np.uint64(32)) % np.uint64(registers), t
+                step = np.arange(j + 1, j + some + 1, dtype=np.uint64) * np.uint64(GOLD)
+                r = mix(seed[:, None] + step)
+                wait = np.log(((r >> np.uint64(11)) + np.uint64(1)) * 2.0**-53)
+                times = t[:, None] - np.cumsum(wait, 1) / rate
+                soon = times <= horizon
+                when, place = times[soon], mix(r[soon] ^ np.uint64(0xE7037ED1A0B428DB))
+                there = ((place >> np.uint64(32)) % np.uint64(registers)).astype(np.int64)
                 if low > 1:
-                    ok = low + (place & np.uint64(low - 1)).astype(np.int64) < w
+                    ok = low + (place & np.uint64(low - 1)).astype(np.int64) < np.repeat(w, soon.sum(1))
                     there, when = there[ok], when[ok]
-                np.minimum.at(first, there.astype(np.int64), when)
-                j += 1
+                np.minimum.at(first, there, when)
+                more = soon[:, -1]
+                seed, t, w, j = seed[more], times[more, -1], w[more], j + some
             low, block = max(1, 2 * low), block + 1
         if np.isfinite(first).all():
             return first
@@ -175,41 +175,56 @@ def links(docs: DataFrame, signed: DataFrame) -> DataFrame:
     found = cut(entries.join(several, "bucket"), "buckets")
     keys = found.select("key", "doc_id").distinct()
     bags = cut(_bags(docs, keys.select("doc_id").distinct(), keys.select("key")), "bags")
-    active = found.select("bucket", "key", F.lit(True).alias("need"), F.lit(False).alias("border"), "n")
-    known = edges = None
+    active = found.select("bucket", "key", F.lit(None).cast("binary").alias("star"), F.lit(None).cast("double").alias("off"), F.lit(True).alias("need"), "n")
+    known = roots = borders = None
     turn = 0
     while True:
         most = F.when(F.col("n") <= SMALL, SMALL).otherwise(PIVOTS[min(turn, len(PIVOTS) - 1)])
         order = Window.partitionBy("bucket").orderBy("key")
         ranked = active.where("need").withColumn("k", F.row_number().over(order)).where(F.col("k") <= PIVOTS[-1])
         pivots = cut(ranked.where(F.col("k") <= most).select("bucket", F.col("key").alias("pivot")), "pivots")
-        at = active.join(pivots, "bucket").where("key <> pivot").select("bucket", "key", "pivot", F.least("key", "pivot").alias("a"), F.greatest("key", "pivot").alias("b"))
-        at = cut(at, "compared")
+        at = active.where("need").join(pivots, "bucket").where("key <> pivot").select("bucket", "key", "pivot")
+        if borders is not None:
+            target = active.where("not need").alias("t").join(borders.alias("b"), ["bucket", "star"]).where(F.col("t.off") >= F.col("b.d") - far)
+            at = at.union(target.select("bucket", F.col("t.key").alias("key"), F.col("b.key").alias("pivot")).join(pivots, ["bucket", "pivot"], "left_semi").select("bucket", "key", "pivot"))
+        at = _rooted(at, roots, "key", "pivot")
+        at = cut(at.select("bucket", "key", "pivot", F.least("key", "pivot").alias("a"), F.greatest("key", "pivot").alias("b")), "compared")
         pairs = at.select("a", "b").distinct()
         if known is not None:
             pairs = pairs.join(known, ["a", "b"], "left_anti")
         new = cut(_verified(pairs, bags), "distances")
         known = new if known is None else known.union(new)
-        edges = known.where(F.col("d") <= far).select("a", "b")
-        rest = active.join(pivots.select("bucket", F.col("pivot").alias("key")), ["bucket", "key"], "left_anti")
-        judged = at.join(known, ["a", "b"]).select("bucket", "key", "pivot", "d")
-        near = judged.where(F.col("d") <= 2 * far)
-        roots = cut(components(edges), "roots")
-        for side in ("key", "pivot"):
-            near = near.join(roots.select(F.col("node").alias(side), F.col("root").alias(f"{side}_root")), side, "left")
-        apart = F.coalesce(F.col("key_root"), F.col("key")) != F.coalesce(F.col("pivot_root"), F.col("pivot"))
-        marks = near.groupBy("bucket", "key").agg(F.max(F.col("d") <= far).alias("linked"), F.max((F.col("d") > far) & apart).alias("at_border"))
-        rest = rest.join(marks, ["bucket", "key"], "left").withColumns({c: F.coalesce(F.col(c), F.lit(False)) for c in ("linked", "at_border")})
-        rest = rest.withColumn("border", F.col("border") | F.col("at_border"))
-        rest = rest.withColumn("need", F.col("border") | (F.col("need") & ~F.col("linked")))
-        open_ = rest.where("need").groupBy("bucket").agg(F.count(F.lit(1)).alias("open"))
-        count = rest.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"))
-        active = cut(rest.drop("n").join(open_, "bucket", "left_semi").join(count.where("n > 1"), "bucket").select("bucket", "key", "need", "border", "n"), "active")
+        roots = cut(components(known.where(F.col("d") <= far).select("a", "b")), "roots")
+        near = at.join(known.where(F.col("d") <= 2 * far), ["a", "b"]).select("bucket", "key", "pivot", "d")
+        stars = near.where(F.col("d") <= far).groupBy("bucket", "key").agg(F.min(F.struct("d", "pivot")).alias("best"))
+        apart = near.where(F.col("d") > far).select("bucket", "key", F.col("pivot").alias("star"), "d")
+        if borders is not None:
+            apart = apart.union(borders.select("bucket", "key", "star", "d"))
+        used = pivots.select("bucket", F.col("pivot").alias("key"))
+        borders = cut(_rooted(apart.distinct().join(used, ["bucket", "key"], "left_anti"), roots, "key", "star"), "borders")
+        rest = active.drop("need", "n").join(used, ["bucket", "key"], "left_anti").join(stars, ["bucket", "key"], "left")
+        rest = rest.select("bucket", "key", F.coalesce("star", F.col("best.pivot")).alias("star"), F.coalesce("off", F.col("best.d")).alias("off"))
+        flagged = borders.select("bucket", "key", F.lit(True).alias("flag")).distinct()
+        rest = rest.join(flagged, ["bucket", "key"], "left").select("bucket", "key", "star", "off", (F.col("star").isNull() | F.col("flag").isNotNull()).alias("need"))
+        wanted = rest.where("not need").alias("r").join(borders.select("bucket", "star", F.col("d").alias("reach")).alias("b"), (F.col("r.bucket") == F.col("b.bucket")) & (F.col("r.star") == F.col("b.star")) & (F.col("off") >= F.col("reach") - far), "left_semi")
+        rest = cut(rest.where("need").union(wanted), "rest")
+        count = rest.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.max("need").alias("open")).where("n > 1 and open").drop("open")
+        active = cut(rest.join(count, "bucket"), "active")
         turn += 1
         if active.isEmpty():
             return roots
 
 
+def _rooted(df: DataFrame, roots: DataFrame | None, one: str, two: str) -> DataFrame:
+    """Rows of df whose two nodes are not in one component."""
+    if roots is None:
+        return df
+    columns = df.columns
+    for side in (one, two):
+        df = df.join(roots.select(F.col("node").alias(side), F.col("root").alias(f"{side}__root")), side, "left")
+    return df.where(F.coalesce(f"{one}__root", one) != F.coalesce(f"{two}__root", two)).select(columns)
+
+
 def classes(docs: DataFrame) -> DataFrame:
     """doc_id and class_id for each row."""
     signed = cut(signatures(docs), "signatures")
