@@ -1,0 +1,138 @@
+"""Tokens, packing, language, HTML, personal data: against the library, brute force and held-out rows."""
+
+import hashlib
+import random
+import re
+import zlib
+
+import numpy as np
+import public_tokenizers
+import pytest
+from tokenizers import Tokenizer
+
+from cloudloom.llm import bpe, html, language, packing, pii
+
+ODD = ["", " ", "  a  b\n\n c\t\x1c d\x85e　f 's it's DON'T <|endoftext|> <|endoftext|x 12345 ½ ²", "İ ΑΣ é ́x ﬁ", "a" * 3000, "\n", "x" * 5 + "😀" * 9]
+_r = random.Random(1)
+ODD += ["".join(_r.choice("ab 's\n\t\x1c\xa0éñ1²٣漢́.-<|>") for _ in range(60)) for _ in range(200)]
+
+
+def docs(spark, texts, **more):
+    rows = [(k, t, *(v[k] for v in more.values())) for k, t in enumerate(texts)]
+    return spark.createDataFrame(rows, "doc_id long, text string" + "".join(f", {c} string" for c in more))
+
+
+@pytest.fixture(scope="module")
+def real(spark, sf_dir):
+    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+
+
+def test_bpe_is_the_library(spark, real):
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    t, texts = Tokenizer.from_file(path), [None, *ODD, *[r.text for r in real.limit(60).collect()]]
+    got = {r.doc_id: r for r in bpe.digests(docs(spark, texts), path).collect()}
+    assert len(got) == len(texts)
+    for k, text in enumerate(texts):
+        ids = t.encode(text or "", add_special_tokens=False).ids
+        want = (len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(t.decode(ids, skip_special_tokens=False).encode()).hexdigest())
+        assert tuple(got[k])[1:] == want
+    one = bpe.encoded(docs(spark, ["a b"]), path).first()
+    assert one.ids == t.encode("a b").ids and one.decoded == "a b"
+    assert bpe.digests(docs(spark, ["x"]).where("false"), path).count() == 0
+
+
+@pytest.mark.parametrize("group", [packing.GROUP, 5000])
+def test_packing(spark, real, group):
+    path = public_tokenizers.path("word_bpe_49k.json")
+    t, texts = Tokenizer.from_file(path), [None, *ODD, *[r.text for r in real.limit(60).collect()]]
+    rows = packing.packed(docs(spark, texts).coalesce(1), path, group=group).toPandas()
+    for k, text in enumerate(texts):
+        ids = np.array([*t.encode(text or "", add_special_tokens=False).ids, 1], "<u4")
+        own, at = rows[rows.doc_id == k].sort_values("start"), 0
+        for p in own.itertuples():
+            assert p.start == at and p.doc_tokens == len(ids) and p.ids_crc32 == zlib.crc32(ids[at : at + p.length].tobytes())
+            at += p.length
+        assert at == len(ids)
+    for _, seq in rows.groupby("sequence_id"):
+        seq = seq.sort_values("offset")
+        assert seq.offset.tolist() == [0, *seq.length.cumsum().tolist()[:-1]] and seq.length.sum() <= 2048
+        assert seq.length.sum() & (seq.length.sum() - 1) == 0
+    assert packing.packed(docs(spark, ["x"]).where("false"), path).count() == 0
+
+
+def test_packing_prefers_the_cheapest_sequence():
+    sequences, wait = packing.pack([60, 50, 40, 30, 20], length=100, last=False)
+    # 60 and 50 open the two; 40 goes to the cheaper one, 30 then to the other; 20 fits nowhere whole and fills both
+    assert [[(p[0], p[2]) for p in s] for s in sequences] == [[(0, 60), (3, 30), (4, 10)], [(1, 50), (2, 40), (4, 10)]] and not wait
+
+
+def test_language(spark, real):
+    model = language.train(real)
+    got = {r.doc_id: r for r in language.predict(real, model).collect()}
+    held = [r for r in real.select("doc_id", "lang").collect() if zlib.crc32(str(r.doc_id).encode()) % 5 == 0 and r.lang]
+    assert np.mean([got[r.doc_id].lang_pred == r.lang for r in held]) > 0.95
+    odd = language.predict(docs(spark, [None, "", "12 34 !", "a"]), model).orderBy("doc_id").collect()
+    assert [r.lang_pred == "und" for r in odd] == [True, True, True, False] and all(0 <= r.score <= 1 for r in odd)
+    assert {r.lang_pred for r in language.predict(docs(spark, ["ab"]), language.train(docs(spark, ["ab"], lang=[None]))).collect()} == {"und"}
+    kept = language.accepted(docs(spark, [None, "12", "the and of"], lang=["x", "y", None]), model)
+    assert [r.doc_id for r in kept.collect()] == [2] and kept.columns == ["doc_id", "text", "lang"]
+
+
+@pytest.mark.parametrize("k", [2, 3, 4, 7, 12])
+def test_codewords(k):
+    code = language.codewords(k)
+    apart = min((code[i] != code[j]).sum() for i in range(k) for j in range(i))
+    assert apart >= (1 if k == 2 else 2) and set(np.unique(code)) == {-1, 1}
+
+
+def test_html_on_pages(spark, sf_dir):
+    from html import unescape
+
+    for r in spark.read.parquet(f"{sf_dir}/pages.parquet").collect():
+        article = r.html[r.html.index("<article>") + 9 : r.html.index("</article>")]
+        want = " ".join(unescape(re.sub(r"</?(?:p|h1|br)>", " ", re.sub(r"</?b>", "", article))).split())
+        assert html.main_text(r.html) == want
+
+
+@pytest.mark.parametrize("page, text", [
+    (None, ""), ("", ""), ("plain text", "plain text"), ("<nav>only</nav>", ""),
+    ("<div id=content><p>Some long text here is good.<p>Short.</div><div class='sidebar'><p>no</p></div>", "Some long text here is good. Short."),
+    ("<header><h1>S</h1></header><main><h2>T &amp; x</h2><p>Hello <b>wor</b>ld one<br>two</p><ul><li>a<li>b</ul><section class='comments'><p>bad</p></section></main><footer>f</footer>", "T & x Hello world one two a b"),
+    ("<article><p>kept text<script>if (a < b) x()</script></p><form>no</form></article>", "kept text")])
+def test_html_cases(page, text):
+    assert html.main_text(page) == text
+
+
+def luhn(d):
+    return sum((int(c) * 2 - 9 * (int(c) > 4)) if i % 2 else int(c) for i, c in enumerate(reversed(d))) % 10 == 0
+
+
+def base_spans(t):
+    out = [("email", m) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", t)]
+    out += [("ip", m) for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", t) if all(int(p) <= 255 for p in m.group().split("."))]
+    for m in re.finditer(r"[0-9]([\x20-]?[0-9])+", t):
+        d = re.sub("[^0-9]", "", m.group())
+        if 16 <= len(d) <= 19 and luhn(d):
+            out.append(("card", m))
+    return out + [("phone", m) for m in re.finditer(r"\+[0-9][\x20().0-9-]+[0-9]", t) if 8 <= len(re.sub("[^0-9]", "", m.group())) <= 15]
+
+
+def test_pii(spark, real):
+    r = random.Random(3)
+    texts = [None, "", "a@b.c_d@e.f-g@h.i.j 1.2.3.4.5.6.7.8 256.1.1.1 0001.002.3.255 é😀 +1 (555) 123-4567. +12345678)", "x" * 20000 + "@", "1 " * 9000, "1.1.1.1 " * 800, "9" * 20000]
+    texts += ["".join(r.choice("0123456789.. --@@ab+()é😀") for _ in range(80)) for _ in range(400)] + [x.text for x in real.limit(100).collect()]
+    for k, row in enumerate(pii.found(docs(spark, texts)).orderBy("doc_id").collect()):
+        spans = base_spans(texts[k] or "")
+        listed = ",".join(f"{kind}:{m.start()}:{m.end()}" for kind, m in spans)
+        assert row.base_sha256 == hashlib.sha256(listed.encode()).hexdigest()
+        assert [row[f"n_{kind}"] for kind in pii.BASE] == [sum(s[0] == kind for s in spans) for kind in pii.BASE]
+        assert all(s in row.spans for s in filter(None, listed.split(",")))
+
+
+def test_pii_redaction_and_trees(spark):
+    rows = pii.redacted(docs(spark, ['My token = "abcdef0123456789abcd" and jane [at] foo [dot] com', None, "clean text 12", "a@b.cd, 1.2.3.4"])).orderBy("doc_id").collect()
+    assert [r.text for r in rows] == ["My [SECRET] and [ADDRESS]", None, "clean text 12", "[EMAIL], [IP]"]
+    for kind in pii.GENERATED:
+        examples, labels = pii.examples(kind, 300, seed=99)
+        x = np.array([[f(s, b) for _, _, f in pii.FEATURES] for s, b in examples], float)
+        assert ((pii.model(kind).probability(x) >= pii.THRESHOLD[kind]) == np.array(labels)).mean() > 0.95
