@@ -36,7 +36,16 @@ def cut(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = new_path(spark, label)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.shared_path = path
+    return out
+
+
+def dropped(*tables: DataFrame | None) -> None:
+    """Deletes tables that `cut` wrote and that nothing reads any more."""
+    for t in tables:
+        if t is not None:
+            drop_path(t.sparkSession, t.shared_path)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

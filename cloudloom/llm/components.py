@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cloudloom.llm.common import cut
+from cloudloom.llm.common import cut, dropped
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
@@ -25,8 +25,11 @@ def components(pairs: DataFrame) -> DataFrame:
     edges = cut(pairs.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
     mark = None
     while True:
-        edges = cut(_star(_star(edges, True), False), "edges")
+        before, edges = edges, cut(_star(_star(edges, True), False), "edges")
+        dropped(before)
         now = tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
         if now == mark:
-            return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
+            out = cut(edges.select(F.col("a").alias("node"), F.col("b").alias("root")), "roots")
+            dropped(edges)
+            return out
         mark = now

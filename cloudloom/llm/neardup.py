@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cloudloom.llm.common import cut, slices, table
+from cloudloom.llm.common import cut, dropped, slices, table
 from cloudloom.llm.components import components
 from cloudloom.llm.hashing import mix, word_hashes
 
@@ -194,14 +194,14 @@ def links(docs: DataFrame, signed: DataFrame) -> DataFrame:
             pairs = pairs.join(known, ["a", "b"], "left_anti")
         new = cut(_verified(pairs, bags), "distances")
         known = new if known is None else known.union(new)
-        roots = cut(components(known.where(F.col("d") <= far).select("a", "b")), "roots")
+        roots, old_roots = components(known.where(F.col("d") <= far).select("a", "b")), roots
         near = at.join(known.where(F.col("d") <= 2 * far), ["a", "b"]).select("bucket", "key", "pivot", "d")
         stars = near.where(F.col("d") <= far).groupBy("bucket", "key").agg(F.min(F.struct("d", "pivot")).alias("best"))
         apart = near.where(F.col("d") > far).select("bucket", "key", F.col("pivot").alias("star"), "d")
         if borders is not None:
             apart = apart.union(borders.select("bucket", "key", "star", "d"))
         used = pivots.select("bucket", F.col("pivot").alias("key"))
-        borders = cut(_rooted(apart.distinct().join(used, ["bucket", "key"], "left_anti"), roots, "key", "star"), "borders")
+        old_borders, borders = borders, cut(_rooted(apart.distinct().join(used, ["bucket", "key"], "left_anti"), roots, "key", "star"), "borders")
         rest = active.drop("need", "n").join(used, ["bucket", "key"], "left_anti").join(stars, ["bucket", "key"], "left")
         rest = rest.select("bucket", "key", F.coalesce("star", F.col("best.pivot")).alias("star"), F.coalesce("off", F.col("best.d")).alias("off"))
         flagged = borders.select("bucket", "key", F.lit(True).alias("flag")).distinct()
@@ -209,7 +209,8 @@ def links(docs: DataFrame, signed: DataFrame) -> DataFrame:
         wanted = rest.where("not need").alias("r").join(borders.select("bucket", "star", F.col("d").alias("reach")).alias("b"), (F.col("r.bucket") == F.col("b.bucket")) & (F.col("r.star") == F.col("b.star")) & (F.col("off") >= F.col("reach") - far), "left_semi")
         rest = cut(rest.where("need").union(wanted), "rest")
         count = rest.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.max("need").alias("open")).where("n > 1 and open").drop("open")
-        active = cut(rest.join(count, "bucket"), "active")
+        old_active, active = active, cut(rest.join(count, "bucket"), "active")
+        dropped(pivots, at, rest, old_roots, old_borders, old_active if turn else None)
         turn += 1
         if active.isEmpty():
             return roots
