@@ -5,6 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from cloudloom.functions import scalar
 from cloudloom.operators import bounds, clouds, kmeans, morton, neighbors, quantize, tree
 from cloudloom.plans import adapters, catalog
 
@@ -40,6 +41,13 @@ def test_quantizer_golden(spark):
     assert quantize.codebook(odd, 2) == [1.0, 3.0]
 
 
+def test_labels_are_the_nearest_codes(spark):
+    book = [float(v * v) for v in range(40)]
+    df = spark.range(2000).select("id", F.when(F.col("id") == 7, float("nan")).when(F.col("id") > 7, F.col("id") / 1.3).alias("v"))
+    out = quantize.labelled(df, ["v"], book).select("label_v", scalar.nearest_code(F.col("v"), book).alias("want")).collect()
+    assert all(r.label_v == r.want for r in out) and {r.label_v for r in quantize.labelled(df, ["v"], [1.0] * 3).collect()} == {0}
+
+
 def test_packing_golden(spark):
     def pack(counts):
         rows = spark.createDataFrame([(8 + k, 3, 0, n) for k, n in enumerate(counts)], "node long, depth int, lod int, n long")
