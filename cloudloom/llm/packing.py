@@ -22,10 +22,12 @@ from pyspark.sql import DataFrame
 
 from cloudloom.llm.common import slices, table
 
-LENGTH, GROUP, KEPT_CHUNKS = 2048, 4_000_000, 400_000
+LENGTH, GROUP, KEPT_CHUNKS = 2048, 4_000_000, 600_000
 LINEAR, QUADRATIC = 1.0, 1.0 / LENGTH
 #: Sequences looked at for one that takes a piece whole.
 LOOKED_AT = 8
+#: Up to here lower case is the same for Python and the tokenizer, which lower-cases, so words of either case are asked for once.
+LATIN = "\u024f"
 #: Marks that may follow a word in a chunk; together they are one token of the splitting pattern.
 MARKS = ".,;:!?*#$%&|-+)]}\""
 
@@ -117,16 +119,19 @@ class WordIds:
             if c in older:
                 known[c] = older[c]
                 continue
-            word = c.rstrip(MARKS)
-            if not word.lower().isalpha():
+            stem = c.rstrip(MARKS)
+            word = stem.lower()
+            if not word.isalpha():
                 known[c] = self.by_library(c)
                 continue
-            if word is not c and word != c:
-                marked.append((c, word, c[len(word) :]))
+            if not stem.isascii() and max(stem) > LATIN:
+                word = stem
+            if word != c:
+                marked.append((c, word, c[len(stem) :]))
             if word not in known:
                 words[word] = None
         if words:
-            ids = np.array(self.tokenizer.encode(" ".join(words), add_special_tokens=False).ids, "<u4")
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, "<u4")
             cuts = np.flatnonzero(self.ends[ids]) + 1
             if len(cuts) == len(words):
                 data, at = ids.tobytes(), 0
@@ -137,7 +142,13 @@ class WordIds:
                 for w in words:
                     known[w] = self.by_library(w)
         for c, word, marks in marked:
-            known[c] = known[word] + (known.get(marks) or known.setdefault(marks, self.by_library(marks)))
+            if marks:
+                tail = known.get(marks)
+                if tail is None:
+                    tail = known[marks] = self.by_library(marks)
+                known[c] = known[word] + tail
+            else:
+                known[c] = known[word]
 
     def odd(self, text: str) -> bool:
         """Whether white space is not what str.split takes for it, or a special token may be there."""
