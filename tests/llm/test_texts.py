@@ -136,3 +136,11 @@ def test_pii_redaction_and_trees(spark):
         examples, labels = pii.examples(kind, 300, seed=99)
         x = np.array([[f(s, b) for _, _, f in pii.FEATURES] for s, b in examples], float)
         assert ((pii.model(kind).probability(x) >= pii.THRESHOLD[kind]) == np.array(labels)).mean() > 0.95
+
+
+def test_word_ids_are_those_of_the_library_for_either_case():
+    path, r = public_tokenizers.path("word_bpe_49k.json"), random.Random(3)
+    words, whole = packing.WordIds(path, 1), Tokenizer.from_file(path)
+    for _ in range(500):
+        text = "".join(r.choice("aAbBéÉÎîßẞİıŒœŸÿŽžSſΣσςΩµ,.;'’-!* 0٣") for _ in range(r.randint(0, 25)))
+        assert np.frombuffer(words.ids(text), "<u4")[:-1].tolist() == whole.encode(text, add_special_tokens=False).ids, text
