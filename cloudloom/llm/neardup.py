@@ -7,12 +7,14 @@ points are thrown to single levels by coin flips. A point of a level below the s
 that is earlier. The share of equal registers estimates the weighted Jaccard similarity without bias. Registers are made to a
 time horizon at which all are set.
 
-Documents of the same words are one node. Nodes that share a band fall into one bucket. A bucket is never expanded into all
-pairs: a round takes up to a few pivots of each bucket and compares them with the bucket's other nodes. The distance 1 - J is a
-metric: a node that is linked to a pivot (its star, distance at most 0.2) can only be linked to nodes within 0.4 of that pivot.
-So linked nodes need no turn as pivot; a node of another component within 0.4 of a star is on its border, takes a turn, and is
-then compared with those of the star that the triangle inequality leaves. The rounds end when no node needs a turn, so no link
-within a bucket that joins two components is lost. Each compared pair is verified by its exact multiset similarity.
+Documents of the same words are one node. Nodes that share a band fall into one bucket. First each node is compared with the
+pivot of each of its buckets: the node whose buckets are largest in all, which in a group of near copies tends to be the text
+that the others were made from. The links found so far give components. A bucket whose nodes are all in one component is done.
+In any other bucket the nodes outside its largest component (the minor ones) are compared with all nodes of other components,
+in blocks: a task holds one block of minor nodes, with an index of their elements, and streams one block of the others past it.
+A pair that meets in several buckets is compared in that of its first common band. So no link within a bucket that joins two
+components is lost, and no pairs are emitted but links. The work in a bucket is its minor nodes times its nodes.
+Each compared pair is verified by its exact multiset similarity.
 
 A class is a component of links; its id is its smallest doc_id. Null and empty texts are in no class but their own. A row whose
 doc_id is null has class_id null. Rows that repeat a doc_id and text are rows of one document. An empty table gives no rows.
@@ -23,18 +25,21 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cloudloom.llm.common import cut, dropped, slices, table
+from cloudloom.llm.common import cut, slices, table
 from cloudloom.llm.components import components
 from cloudloom.llm.hashing import mix, word_hashes
 
 WORDS, SIMILARITY = 5, 0.8
+LEAST = SIMILARITY - 1e-12
 #: At a similarity of 0.8 two documents miss all bands with probability (1 - 0.8^5)^25 = 0.00005.
 BANDS, ROWS = 25, 5
-#: Pivots of a bucket by round, the last from then on; a bucket of SMALL nodes is compared at once.
-PIVOTS, SMALL = (1, 4, 16, 64), 8
+#: A block of minor nodes and one of those compared with them hold about so many nodes, or so many elements if these are fewer nodes.
+MINOR_NODES, MINOR_ELEMENTS, OTHER_NODES, OTHER_ELEMENTS = 256, 1 << 20, 4096, 1 << 24
+#: Copies of a pivot's elements, so that the many nodes of one pivot are dealt to several tasks.
+SALTS = 32
 GOLD = 0x9E3779B97F4A7C15
 
 
@@ -152,78 +157,108 @@ def _bags(docs: DataFrame, ids: DataFrame, keys: DataFrame) -> DataFrame:
     return made.dropDuplicates(["key"])
 
 
-def _verified(pairs: DataFrame, bags: DataFrame) -> DataFrame:
-    """a, b and their distance."""
+def _near_pivots(pairs: DataFrame, bags: DataFrame) -> DataFrame:
+    """The links among pairs (key, pivot)."""
 
     def run(batches):
         for batch in slices(batches):
             left, right = batch.column(2), batch.column(3)
-            d = [1 - overlap(left[i].values.to_numpy(zero_copy_only=False), right[i].values.to_numpy(zero_copy_only=False)) for i in range(batch.num_rows)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(d, pa.float64())], ["a", "b", "d"])
+            near = [overlap(left[i].values.to_numpy(zero_copy_only=False), right[i].values.to_numpy(zero_copy_only=False)) >= LEAST for i in range(batch.num_rows)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(near, pa.bool_()))
+
+    salted = pairs.withColumn("salt", F.pmod(F.xxhash64("key"), F.lit(SALTS)))
+    pivots = salted.select("pivot", "salt").distinct().join(bags.select(F.col("key").alias("pivot"), F.col("bag").alias("bag_p")), "pivot")
+    both = salted.join(bags.select("key", "bag"), "key").join(pivots, ["pivot", "salt"])
+    return both.select("key", "pivot", "bag", "bag_p").mapInArrow(run, "a binary, b binary")
+
+
+class Block:
+    """Minor nodes of one bucket, with an index of their elements."""
+
+    def __init__(self, keys: list[bytes], roots: list[bytes], bands: np.ndarray, bags: list[np.ndarray]):
+        self.keys, self.roots, self.bands = np.array(keys, "S16"), np.array(roots, "S16"), bands
+        self.sizes = np.array([len(x) for x in bags])
+        every, owner = np.concatenate(bags), np.repeat(np.arange(len(bags)), self.sizes)
+        order = np.argsort(every, kind="stable")
+        self.owner = owner[order]
+        self.vocabulary, self.start, self.count = np.unique(every[order], return_index=True, return_counts=True)
+
+    def linked(self, bucket: int, key: bytes, root: bytes, minor: bool, bands: np.ndarray, bag: np.ndarray) -> np.ndarray:
+        """Indices of the nodes linked to one of another component, if `bucket` is that of their first common band."""
+        alike = self.bands == bands
+        ok = (bands[alike.argmax(1)] == bucket) & alike.any(1) & (self.roots != np.bytes_(root))
+        if minor:  # the other node meets this one in the same way
+            ok &= self.keys < np.bytes_(key)
+        ok &= np.minimum(self.sizes, len(bag)) >= LEAST * np.maximum(self.sizes, len(bag))
+        if not ok.any():
+            return np.zeros(0, np.int64)
+        at = np.minimum(np.searchsorted(self.vocabulary, bag), len(self.vocabulary) - 1)
+        at = at[self.vocabulary[at] == bag]
+        count = self.count[at]
+        place = np.arange(count.sum()) + np.repeat(self.start[at] - np.cumsum(count) + count, count)
+        same = np.bincount(self.owner[place], minlength=len(self.sizes))
+        return np.flatnonzero(ok & (same >= LEAST * (self.sizes + len(bag) - same)))
+
+
+def _compared(rows: DataFrame) -> DataFrame:
+    """The links of rows (bucket, i, j, held, minor, key, root, bands, bag) that lie sorted by block, those to hold first."""
 
-    one = pairs.join(bags.select(F.col("key").alias("b"), F.col("bag").alias("bag_b")), "b")
-    two = one.join(bags.select(F.col("key").alias("a"), F.col("bag").alias("bag_a")), "a")
-    return two.select("a", "b", "bag_a", "bag_b").mapInArrow(run, "a binary, b binary, d double")
+    def run(batches):
+        now, block, held = None, None, []
+        for batch in slices(batches):
+            found_a, found_b = [], []
+            bucket, i, j, hold, minor, key, root = (batch.column(k).to_pylist() for k in range(7))
+            for k in range(batch.num_rows):
+                if now != (bucket[k], i[k], j[k]):
+                    now, block, held = (bucket[k], i[k], j[k]), None, []
+                bands, bag = (batch.column(c)[k].values.to_numpy(zero_copy_only=False) for c in (7, 8))
+                if hold[k]:
+                    held.append((key[k], root[k], bands.copy(), bag.copy()))
+                    continue
+                if block is None:
+                    if not held:
+                        continue
+                    keys, roots, all_bands, bags = zip(*held, strict=True)
+                    block, held = Block(list(keys), list(roots), np.stack(all_bands), list(bags)), []
+                for x in block.linked(bucket[k], key[k], root[k], minor[k], bands, bag):
+                    found_a.append(keys[x])
+                    found_b.append(key[k])
+            yield pa.RecordBatch.from_arrays([pa.array(found_a, pa.binary()), pa.array(found_b, pa.binary())], ["a", "b"])
+
+    return rows.select("bucket", "i", "j", "held", "minor", "key", "root", "bands", "bag").mapInArrow(run, "a binary, b binary")
+
+
+def _blocks(found: DataFrame, roots: DataFrame, bags: DataFrame) -> DataFrame:
+    """The rows of `_compared`: the blocks of buckets whose nodes are in several components."""
+    rooted = cut(found.join(roots.withColumnRenamed("node", "key"), "key", "left").select("bucket", "key", "size", F.coalesce("root", "key").alias("root")), "rooted")
+    parts = rooted.groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("e"))
+    whole = parts.groupBy("bucket").agg(F.count(F.lit(1)).alias("parts"), F.sum("n").alias("n"), F.sum("e").alias("e"), F.max(F.struct("n", "root", "e")).alias("top")).where("parts > 1")
+    blocks = lambda n, e, nodes, elements: F.ceil(F.greatest(n / nodes, e / elements)).cast("int")
+    whole = whole.select("bucket", F.col("top.root").alias("top"), blocks(F.col("n") - F.col("top.n"), F.col("e") - F.col("top.e"), MINOR_NODES, MINOR_ELEMENTS).alias("minors"), blocks(F.col("n"), F.col("e"), OTHER_NODES, OTHER_ELEMENTS).alias("others"))
+    dealt = lambda n: F.pmod(F.xxhash64("key"), F.col(n)).cast("int")
+    upto = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    minor = F.col("root") != F.col("top")
+    stream = F.transform(upto("minors"), lambda i: F.struct(i.alias("i"), dealt("others").alias("j"), F.lit(False).alias("held")))
+    hold = F.when(minor, F.transform(upto("others"), lambda j: F.struct(dealt("minors").alias("i"), j.alias("j"), F.lit(True).alias("held"))))
+    placed = rooted.join(whole, "bucket").select("bucket", "key", "root", minor.alias("minor"), F.inline(F.concat(stream, F.coalesce(hold, F.array().cast("array<struct<i int, j int, held boolean>>")))))
+    return placed.join(bags.select("key", "bands", "bag"), "key").repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j", F.desc("held"))
 
 
 def links(docs: DataFrame, signed: DataFrame) -> DataFrame:
-    """a and b: links between nodes, enough of them that their components are those of all links within buckets."""
-    far = 1 - SIMILARITY + 1e-12
+    """node and root, as `components` gives them, of all links within buckets."""
     nodes = signed.where("key is not null").groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.first("bands").alias("bands"))
-    entries = nodes.select("doc_id", "key", F.explode("bands").alias("bucket"))
+    entries = nodes.select("key", F.explode(F.array_distinct("bands")).alias("bucket"))
     several = entries.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    found = cut(entries.join(several, "bucket"), "buckets")
-    keys = found.select("key", "doc_id").distinct()
-    bags = cut(_bags(docs, keys.select("doc_id").distinct(), keys.select("key")), "bags")
-    active = found.select("bucket", "key", F.lit(None).cast("binary").alias("star"), F.lit(None).cast("double").alias("off"), F.lit(True).alias("need"), "n")
-    known = roots = borders = None
-    turn = 0
-    while True:
-        most = F.when(F.col("n") <= SMALL, SMALL).otherwise(PIVOTS[min(turn, len(PIVOTS) - 1)])
-        order = Window.partitionBy("bucket").orderBy("key")
-        ranked = active.where("need").withColumn("k", F.row_number().over(order)).where(F.col("k") <= PIVOTS[-1])
-        pivots = cut(ranked.where(F.col("k") <= most).select("bucket", F.col("key").alias("pivot")), "pivots")
-        at = active.where("need").join(pivots, "bucket").where("key <> pivot").select("bucket", "key", "pivot")
-        if borders is not None:
-            target = active.where("not need").alias("t").join(borders.alias("b"), ["bucket", "star"]).where(F.col("t.off") >= F.col("b.d") - far)
-            at = at.union(target.select("bucket", F.col("t.key").alias("key"), F.col("b.key").alias("pivot")).join(pivots, ["bucket", "pivot"], "left_semi").select("bucket", "key", "pivot"))
-        at = _rooted(at, roots, "key", "pivot")
-        at = cut(at.select("bucket", "key", "pivot", F.least("key", "pivot").alias("a"), F.greatest("key", "pivot").alias("b")), "compared")
-        pairs = at.select("a", "b").distinct()
-        if known is not None:
-            pairs = pairs.join(known, ["a", "b"], "left_anti")
-        new = cut(_verified(pairs, bags), "distances")
-        known = new if known is None else known.union(new)
-        roots, old_roots = components(known.where(F.col("d") <= far).select("a", "b")), roots
-        near = at.join(known.where(F.col("d") <= 2 * far), ["a", "b"]).select("bucket", "key", "pivot", "d")
-        stars = near.where(F.col("d") <= far).groupBy("bucket", "key").agg(F.min(F.struct("d", "pivot")).alias("best"))
-        apart = near.where(F.col("d") > far).select("bucket", "key", F.col("pivot").alias("star"), "d")
-        if borders is not None:
-            apart = apart.union(borders.select("bucket", "key", "star", "d"))
-        used = pivots.select("bucket", F.col("pivot").alias("key"))
-        old_borders, borders = borders, cut(_rooted(apart.distinct().join(used, ["bucket", "key"], "left_anti"), roots, "key", "star"), "borders")
-        rest = active.drop("need", "n").join(used, ["bucket", "key"], "left_anti").join(stars, ["bucket", "key"], "left")
-        rest = rest.select("bucket", "key", F.coalesce("star", F.col("best.pivot")).alias("star"), F.coalesce("off", F.col("best.d")).alias("off"))
-        flagged = borders.select("bucket", "key", F.lit(True).alias("flag")).distinct()
-        rest = rest.join(flagged, ["bucket", "key"], "left").select("bucket", "key", "star", "off", (F.col("star").isNull() | F.col("flag").isNotNull()).alias("need"))
-        wanted = rest.where("not need").alias("r").join(borders.select("bucket", "star", F.col("d").alias("reach")).alias("b"), (F.col("r.bucket") == F.col("b.bucket")) & (F.col("r.star") == F.col("b.star")) & (F.col("off") >= F.col("reach") - far), "left_semi")
-        rest = cut(rest.where("need").union(wanted), "rest")
-        count = rest.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.max("need").alias("open")).where("n > 1 and open").drop("open")
-        old_active, active = active, cut(rest.join(count, "bucket"), "active")
-        dropped(pivots, at, rest, old_roots, old_borders, old_active if turn else None)
-        turn += 1
-        if active.isEmpty():
-            return roots
-
-
-def _rooted(df: DataFrame, roots: DataFrame | None, one: str, two: str) -> DataFrame:
-    """Rows of df whose two nodes are not in one component."""
-    if roots is None:
-        return df
-    columns = df.columns
-    for side in (one, two):
-        df = df.join(roots.select(F.col("node").alias(side), F.col("root").alias(f"{side}__root")), side, "left")
-    return df.where(F.coalesce(f"{one}__root", one) != F.coalesce(f"{two}__root", two)).select(columns)
+    shared = cut(entries.join(several, "bucket"), "shared")
+    scores = shared.groupBy("key").agg(F.sum("n").alias("score"))
+    wanted = cut(scores.join(nodes, "key"), "wanted")
+    bags = cut(_bags(docs, wanted.select("doc_id").distinct(), wanted.select("key")).join(wanted.select("key", "score", "bands"), "key"), "bags")
+    found = cut(shared.join(bags.select("key", "score", F.size("bag").alias("size")), "key"), "found")
+    pivots = found.groupBy("bucket").agg(F.max(F.struct("score", "key")).alias("p")).select("bucket", F.col("p.key").alias("pivot"))
+    first = cut(_near_pivots(found.join(pivots, "bucket").where("key <> pivot").select("key", "pivot").distinct(), bags), "first_links")
+    roots = components(first)
+    rest = cut(_compared(_blocks(found, roots, bags)), "other_links")
+    return components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(rest))
 
 
 def classes(docs: DataFrame) -> DataFrame:

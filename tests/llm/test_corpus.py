@@ -47,7 +47,7 @@ def brute_classes(ids, texts):
     return {i: find(i) for i in ids}
 
 
-def test_near_duplicates(spark):
+def test_near_duplicates(spark, monkeypatch):
     r = np.random.default_rng(4)
     word = lambda n: [f"w{k}" for k in r.integers(0, 5000, n)]
     texts = [" ".join(word(80)) for _ in range(20)]
@@ -62,6 +62,9 @@ def test_near_duplicates(spark):
     df = spark.createDataFrame(list(zip(ids, texts, strict=True)), "doc_id long, text string")
     got = {x.doc_id: x.class_id for x in neardup.classes(df).collect()}
     assert got == brute_classes(ids, texts)
+    monkeypatch.setattr(neardup, "MINOR_NODES", 3)
+    monkeypatch.setattr(neardup, "OTHER_NODES", 5)
+    assert {x.doc_id: x.class_id for x in neardup.classes(df).collect()} == got
     odd = spark.createDataFrame([(None, "a b c", 1), (4, "a b c", 2), (4, "a b c", 3)], "doc_id long, text string, key int")
     assert neardup.dedup(odd).count() == 3 and neardup.dedup(odd).columns == odd.columns
     assert neardup.classes(df.where("false")).count() == 0
