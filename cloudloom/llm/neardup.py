@@ -38,7 +38,7 @@ LEAST = SIMILARITY - 1e-12
 BANDS, ROWS = 25, 5
 #: A block of minor nodes and one of those compared with them hold about so many nodes, or so many elements if these are fewer nodes.
 MINOR_NODES, MINOR_ELEMENTS, OTHER_NODES, OTHER_ELEMENTS = 256, 1 << 20, 4096, 1 << 24
-#: Copies of a pivot's elements, so that the many nodes of one pivot are dealt to several tasks.
+#: Copies of a pivot's elements, by bucket at most, so that the many nodes of one pivot are dealt to several tasks.
 SALTS = 32
 GOLD = 0x9E3779B97F4A7C15
 
@@ -116,14 +116,6 @@ def elements(words: list[str]) -> np.ndarray:
     return np.unique(np.concatenate(out)) if len(out) > 1 else bag
 
 
-def overlap(a: np.ndarray, b: np.ndarray) -> float:
-    """Weighted Jaccard similarity of two sorted sets of elements."""
-    both = np.concatenate([a, b])
-    both.sort(kind="stable")
-    same = int((both[1:] == both[:-1]).sum())
-    return same / max(1, len(both) - same)
-
-
 def signatures(docs: DataFrame) -> DataFrame:
     """doc_id, key and band values; both are null where there is no word or no doc_id."""
 
@@ -157,21 +149,6 @@ def _bags(docs: DataFrame, ids: DataFrame, keys: DataFrame) -> DataFrame:
     return made.dropDuplicates(["key"])
 
 
-def _near_pivots(pairs: DataFrame, bags: DataFrame) -> DataFrame:
-    """The links among pairs (key, pivot)."""
-
-    def run(batches):
-        for batch in slices(batches):
-            left, right = batch.column(2), batch.column(3)
-            near = [overlap(left[i].values.to_numpy(zero_copy_only=False), right[i].values.to_numpy(zero_copy_only=False)) >= LEAST for i in range(batch.num_rows)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(near, pa.bool_()))
-
-    salted = pairs.withColumn("salt", F.pmod(F.xxhash64("key"), F.lit(SALTS)))
-    pivots = salted.select("pivot", "salt").distinct().join(bags.select(F.col("key").alias("pivot"), F.col("bag").alias("bag_p")), "pivot")
-    both = salted.join(bags.select("key", "bag"), "key").join(pivots, ["pivot", "salt"])
-    return both.select("key", "pivot", "bag", "bag_p").mapInArrow(run, "a binary, b binary")
-
-
 class Block:
     """Minor nodes of one bucket, with an index of their elements."""
 
@@ -183,10 +160,12 @@ class Block:
         self.owner = owner[order]
         self.vocabulary, self.start, self.count = np.unique(every[order], return_index=True, return_counts=True)
 
-    def linked(self, bucket: int, key: bytes, root: bytes, minor: bool, bands: np.ndarray, bag: np.ndarray) -> np.ndarray:
-        """Indices of the nodes linked to one of another component, if `bucket` is that of their first common band."""
-        alike = self.bands == bands
-        ok = (bands[alike.argmax(1)] == bucket) & alike.any(1) & (self.roots != np.bytes_(root))
+    def linked(self, bucket: int | None, key: bytes, root: bytes, minor: bool, bands: np.ndarray, bag: np.ndarray) -> np.ndarray:
+        """Indices of the nodes linked to one of another component, if `bucket` is that of their first common band or None."""
+        ok = self.roots != np.bytes_(root)
+        if bucket is not None:
+            alike = self.bands == bands
+            ok &= (bands[alike.argmax(1)] == bucket) & alike.any(1)
         if minor:  # the other node meets this one in the same way
             ok &= self.keys < np.bytes_(key)
         ok &= np.minimum(self.sizes, len(bag)) >= LEAST * np.maximum(self.sizes, len(bag))
@@ -201,7 +180,7 @@ class Block:
 
 
 def _compared(rows: DataFrame) -> DataFrame:
-    """The links of rows (bucket, i, j, held, minor, key, root, bands, bag) that lie sorted by block, those to hold first."""
+    """The links between rows to hold and others of their block (bucket, i, j). Blocks of pivots have a j of -1; there each pair meets once."""
 
     def run(batches):
         now, block, held = None, None, []
@@ -220,14 +199,25 @@ def _compared(rows: DataFrame) -> DataFrame:
                         continue
                     keys, roots, all_bands, bags = zip(*held, strict=True)
                     block, held = Block(list(keys), list(roots), np.stack(all_bands), list(bags)), []
-                for x in block.linked(bucket[k], key[k], root[k], minor[k], bands, bag):
+                for x in block.linked(bucket[k] if j[k] >= 0 else None, key[k], root[k], minor[k], bands, bag):
                     found_a.append(keys[x])
                     found_b.append(key[k])
             yield pa.RecordBatch.from_arrays([pa.array(found_a, pa.binary()), pa.array(found_b, pa.binary())], ["a", "b"])
 
+    rows = rows.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j", F.desc("held"))
     return rows.select("bucket", "i", "j", "held", "minor", "key", "root", "bands", "bag").mapInArrow(run, "a binary, b binary")
 
 
+def _pivot_blocks(found: DataFrame, bags: DataFrame) -> DataFrame:
+    """The rows of `_compared` for each node and each pivot of its buckets: blocks of one pivot."""
+    pivots = found.groupBy("bucket").agg(F.max(F.struct("score", "key")).alias("p")).select("bucket", F.col("p.key").alias("pivot"))
+    pairs = found.join(pivots, "bucket").where("key <> pivot").groupBy("key", "pivot").agg(F.min("bucket").alias("bucket"))
+    pairs = cut(pairs.select("bucket", F.pmod(F.xxhash64("key"), F.lit(SALTS)).cast("int").alias("i"), "key", "pivot"), "pivots")
+    held = pairs.select("bucket", "i", F.col("pivot").alias("key"), F.lit(True).alias("held")).distinct()
+    rows = held.union(pairs.select("bucket", "i", "key", F.lit(False))).select("bucket", "i", F.lit(-1).alias("j"), "held", F.lit(False).alias("minor"), "key", F.col("key").alias("root"))
+    return rows.join(bags.select("key", "bands", "bag"), "key")
+
+
 def _blocks(found: DataFrame, roots: DataFrame, bags: DataFrame) -> DataFrame:
     """The rows of `_compared`: the blocks of buckets whose nodes are in several components."""
     rooted = cut(found.join(roots.withColumnRenamed("node", "key"), "key", "left").select("bucket", "key", "size", F.coalesce("root", "key").alias("root")), "rooted")
@@ -241,7 +231,7 @@ def _blocks(found: DataFrame, roots: DataFrame, bags: DataFrame) -> DataFrame:
     stream = F.transform(upto("minors"), lambda i: F.struct(i.alias("i"), dealt("others").alias("j"), F.lit(False).alias("held")))
     hold = F.when(minor, F.transform(upto("others"), lambda j: F.struct(dealt("minors").alias("i"), j.alias("j"), F.lit(True).alias("held"))))
     placed = rooted.join(whole, "bucket").select("bucket", "key", "root", minor.alias("minor"), F.inline(F.concat(stream, F.coalesce(hold, F.array().cast("array<struct<i int, j int, held boolean>>")))))
-    return placed.join(bags.select("key", "bands", "bag"), "key").repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j", F.desc("held"))
+    return placed.join(bags.select("key", "bands", "bag"), "key")
 
 
 def links(docs: DataFrame, signed: DataFrame) -> DataFrame:
@@ -254,8 +244,7 @@ def links(docs: DataFrame, signed: DataFrame) -> DataFrame:
     wanted = cut(scores.join(nodes, "key"), "wanted")
     bags = cut(_bags(docs, wanted.select("doc_id").distinct(), wanted.select("key")).join(wanted.select("key", "score", "bands"), "key"), "bags")
     found = cut(shared.join(bags.select("key", "score", F.size("bag").alias("size")), "key"), "found")
-    pivots = found.groupBy("bucket").agg(F.max(F.struct("score", "key")).alias("p")).select("bucket", F.col("p.key").alias("pivot"))
-    first = cut(_near_pivots(found.join(pivots, "bucket").where("key <> pivot").select("key", "pivot").distinct(), bags), "first_links")
+    first = cut(_compared(_pivot_blocks(found, bags)), "first_links")
     roots = components(first)
     rest = cut(_compared(_blocks(found, roots, bags)), "other_links")
     return components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(rest))
