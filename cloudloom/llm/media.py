@@ -14,6 +14,7 @@ are members of one class; null ids are members too.
 
 from __future__ import annotations
 
+import collections
 import functools
 
 import numpy as np
@@ -139,11 +140,24 @@ def matches(queries: DataFrame, index: DataFrame) -> DataFrame:
     dx = F.col("of_query.x") - (F.cos(angle) * x - F.sin(angle) * y)
     dy = F.col("of_query.y") - (F.sin(angle) * x + F.cos(angle) * y)
     place = F.struct("of_query.x", "of_query.y")
-    votes = near.select("query", "found", scale.alias("scale"), turn.alias("turn"), place.alias("place"), dx.alias("dx"), dy.alias("dy"))
-    bins = F.explode(F.array(*[F.struct(F.floor(F.col("dx") / SHIFT + a).alias("bx"), F.floor(F.col("dy") / SHIFT + b).alias("by"), F.lit(k).alias("grid")) for k, (a, b) in enumerate(((0, 0), (0.5, 0), (0, 0.5), (0.5, 0.5)))]))
-    votes = votes.select("query", "found", "scale", F.floor((F.col("turn") + 1) / 3).alias("turn"), "place", bins.alias("bin"))
-    counted = votes.distinct().groupBy("query", "found", "scale", "turn", "bin").agg(F.count(F.lit(1)).alias("n"))
-    return counted.groupBy("query", "found").agg(F.max("n").alias("inliers")).where(F.col("inliers") >= INLIERS)
+    cell = [F.floor(2 * d / SHIFT).cast("int").alias(n) for d, n in ((dx, "cx"), (dy, "cy"))]
+    vote = F.struct(scale.alias("scale"), F.floor((turn + 1) / 3).cast("int").alias("turn"), *cell, F.col("of_query.x").alias("x"), F.col("of_query.y").alias("y"))
+    votes = near.groupBy("query", "found").agg(F.collect_set(vote).alias("votes"))  # of two images, so no more than their corners allow
+    return votes.mapInArrow(_agreeing, "query string, found string, inliers long").where(F.col("inliers") >= INLIERS)
+
+
+def _agreeing(batches):
+    """The most places that agree on scale, turn and shift, over bins of SHIFT in four grids half a bin apart: each bin is two by two cells."""
+    for batch in batches:
+        most = []
+        for votes in batch.column(2).to_pylist():
+            bins = collections.defaultdict(set)
+            for v in votes:
+                for a in (0, 1):
+                    for b in (0, 1):
+                        bins[v["scale"], v["turn"], a, b, (v["cx"] + a) // 2, (v["cy"] + b) // 2].add((v["x"], v["y"]))
+            most.append(max(map(len, bins.values())))
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(most, pa.int64())], ["query", "found", "inliers"])
 
 
 #: Rendering of vectors as images: a sum of plane waves, so that near vectors give near images.
