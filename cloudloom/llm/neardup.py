@@ -25,6 +25,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -137,14 +138,20 @@ def signatures(docs: DataFrame) -> DataFrame:
 
 
 def _bags(docs: DataFrame, ids: DataFrame, keys: DataFrame) -> DataFrame:
-    """key and elements of the nodes in keys, from one document of each."""
+    """key and elements of the nodes in keys, from one document of each. Texts travel compressed."""
+
+    def packed(batches):
+        codec = zstandard.ZstdCompressor(level=1)
+        for batch in slices(batches):
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([codec.compress(t.encode()) for t in batch.column(1).to_pylist()], pa.binary())], ["doc_id", "text"])
 
     def run(batches):
+        codec = zstandard.ZstdDecompressor()
         for batch in slices(batches):
-            words = [words_of(t) for t in batch.column(0).to_pylist()]
+            words = [words_of(codec.decompress(t).decode()) for t in batch.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array(map(key_of, words), pa.binary()), pa.array([elements(w).view(np.int64) for w in words], pa.list_(pa.int64()))], ["key", "bag"])
 
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("text is not null").join(ids, "doc_id", "left_semi").select("text")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null and text is not null").mapInArrow(packed, "doc_id long, text binary").join(ids, "doc_id", "left_semi").select("text")
     made = texts.mapInArrow(run, "key binary, bag array<long>").join(keys, "key", "left_semi")
     return made.dropDuplicates(["key"])
 
