@@ -1,12 +1,13 @@
 """Cross-entropy difference of two n-gram models that share one vocabulary.
 
-Words (lower-cased, between white space) and pairs of words are hashed to fixed cells, the vocabulary of both models: 2^UNI cells
-of words, 2^PAIRS cells of pairs. The target model counts the target documents, the background model all documents; both use
-the same interpolation of relative frequencies (pair, word, uniform), so their sizes need no matching. A document's score is
-its mean loss per token under the target model less that under the background model: the lower, the more like the target.
+Words (lower-cased, between white space) and pairs of words are counted under their full 64-bit hashes, so what is gathered grows
+with the input. The target model counts the target documents, the background model all documents; both use the same
+interpolation of relative frequencies (pair, word, uniform over 2^UNI words), so their sizes need no matching. A document's score
+is its mean loss per token under the target model less that under the background model: the lower, the more like the target.
 
-Every task counts all tokens it reads into arrays of fixed size and sends their non-empty blocks; blocks of one number are
-added up where they meet. The summed counts, 2 * (2^UNI + 2^PAIRS) numbers whatever the input, are what is broadcast.
+Documents are dealt to blocks of about BLOCK characters by doc_id. A block counts its different hashes and sends them, sorted and
+packed, to buckets of the hashes' range; a bucket adds up what all blocks sent and answers each block with the sums of its own
+hashes, from which the block scores its documents. No task sees more than a block or a bucket, and nothing is broadcast.
 
 Texts that are null or empty have no token and score 0. A document without label is not target. If a doc_id has several labels,
 one of quality 1 makes it target. With no target document the target model is uniform.
@@ -16,111 +17,179 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cloudloom.llm.common import slices, table
+from cloudloom.llm.common import table
 from cloudloom.llm.hashing import mix, word_hashes
 
-UNI, PAIRS, BLOCK = 18, 20, 4096
+UNI = 18
+#: Characters of a block, and blocks for each bucket.
+BLOCK, PER_BUCKET = 4_000_000, 4
 #: Weights of pair, word and uniform.
 MIX = (0.4, 0.55, 0.05)
 START = np.uint64(0x51A27)
+#: The hash under which all tokens are counted.
+ALL = np.uint64(0x9E3779B97F4A7C15)
+KEYS = "bucket long, block long, keys binary, background binary, target binary"
+SCORES = "doc_id long, n_tokens long, target_loss double, background_loss double, score double"
 
 
-def cells(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Word cells and pair cells of all tokens of the texts, one after the other, and the number of tokens of each text."""
+def hashes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of the words and of the pairs of all tokens of the texts, one after the other, and the number of tokens of each text."""
     words = [word_hashes((t or "").lower().split()) for t in texts]
     sizes = np.array([len(w) for w in words], np.int64)
     h = np.concatenate([*words, np.zeros(0, np.uint64)])
     before = np.concatenate([[START], h[:-1]]) if len(h) else h
-    firsts = (np.cumsum(sizes) - sizes)[sizes > 0]
-    before[firsts] = START
-    pairs = mix(before * np.uint64(0xD6E8FEB86659FD93) + h)
-    return (h >> np.uint64(64 - UNI)).astype(np.int64), (pairs >> np.uint64(64 - PAIRS)).astype(np.int64), sizes
-
-
-def counted(docs: DataFrame) -> DataFrame:
-    """block and counts (int64s) summed over all documents; docs: text, target. Blocks of words come before blocks of pairs, those of the background before the target's."""
-    size = (1 << UNI) + (1 << PAIRS)
-
-    def count(batches):
-        total = np.zeros((2, size), np.int64)
-        for batch in slices(batches):
-            texts, target = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for k, some in enumerate((texts, [t for t, is_target in zip(texts, target, strict=True) if is_target])):
-                u, p, _ = cells(some)
-                np.add.at(total[k], u, 1)
-                np.add.at(total[k], p + (1 << UNI), 1)
-        blocks = total.reshape(-1, BLOCK)
-        there = np.flatnonzero(blocks.any(1))
-        for at in range(0, len(there), 64):
-            some = there[at : at + 64]
-            yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array([blocks[b].astype("<i4" if blocks[b].max() < 1 << 31 else "<i8").tobytes() for b in some], pa.binary())], ["block", "counts"])
-
-    def add(batches):
-        total: dict[int, np.ndarray] = {}
-        for batch in batches:
-            for block, counts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                x = np.frombuffer(counts, "<i4" if len(counts) == 4 * BLOCK else "<i8")
-                total[block] = total[block] + x if block in total else x.astype(np.int64)
-        for block, counts in total.items():
-            yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([counts.tobytes()], pa.binary())], ["block", "counts"])
-
-    parts = docs.select("text", "target").mapInArrow(count, "block long, counts binary")
-    return parts.repartition("block").mapInArrow(add, "block long, counts binary")
+    before[(np.cumsum(sizes) - sizes)[sizes > 0]] = START
+    return h, mix(before * np.uint64(0xD6E8FEB86659FD93) + h), sizes
 
 
-class Models:
-    def __init__(self, counts: np.ndarray):
-        """counts: background and target, each of all word cells and then all pair cells."""
-        self.words, self.pairs = counts[:, : 1 << UNI], counts[:, 1 << UNI :]
-        self.total = self.words.sum(1)
-
-    def losses(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Number of tokens, mean loss under the target model and under the background, of each text."""
-        u, p, sizes = cells(texts)
-        before = np.concatenate([[0], u[:-1]]) if len(u) else u
-        starts = np.zeros(len(u), bool)
-        starts[(np.cumsum(sizes) - sizes)[sizes > 0]] = True
+def packed(x: np.ndarray) -> bytes:
+    """Whole numbers from 0 by planes of bytes, as many as the largest needs, compressed."""
+    x = np.ascontiguousarray(x, "<u8")
+    width = max(1, (int(x.max()).bit_length() + 7) // 8) if len(x) else 1
+    planes = np.ascontiguousarray(x.view(np.uint8).reshape(-1, 8)[:, :width].T)
+    return np.array([len(x), width], "<i8").tobytes() + pa.compress(planes.tobytes(), "zstd", asbytes=True)
+
+
+def unpacked(b: bytes) -> np.ndarray:
+    n, width = map(int, np.frombuffer(b[:16], "<i8"))
+    out = np.zeros((n, 8), np.uint8)
+    out[:, :width] = np.frombuffer(pa.decompress(b[16:], n * width, "zstd", asbytes=True), np.uint8).reshape(width, n).T
+    return out.view("<u8").reshape(-1)
+
+
+def blocks_of(docs: DataFrame) -> int:
+    return max(1, -(-(docs.agg(F.sum(F.length("text").cast("long"))).first()[0] or 0) // BLOCK))
+
+
+def dealt(docs: DataFrame, blocks: int, good: DataFrame | None = None) -> DataFrame:
+    """block, doc_id, text, label: the documents, and a row with label for each doc_id of good in the block of its documents."""
+
+    def at(other: Column) -> Column:
+        return F.pmod(F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), other)), F.lit(blocks)).alias("block")
+
+    rows = docs.select(at(F.col("text")), "doc_id", "text", F.lit(False).alias("label"))
+    if good is None:
+        return rows
+    return rows.union(good.where("doc_id is not null").select(at(F.lit("")), "doc_id", F.lit(None).cast("string"), F.lit(True)))
+
+
+def parted(t: pa.Table) -> tuple[pa.Table, set]:
+    """The documents of a block and the doc_ids that are target."""
+    label = t.column("label").combine_chunks()
+    return t.filter(pa.array(~np.asarray(label))), set(t.filter(label).column("doc_id").to_pylist())
+
+
+def counts(rows: DataFrame, buckets: int, count: bool = True, ask: bool = True) -> DataFrame:
+    """The different hashes of each block of `dealt` by bucket, with their counts (or 0), and the block if it asks for the sums."""
+
+    def run(t: pa.Table) -> pa.Table:
+        block = t.column("block")[0].as_py()
+        t, good = parted(t)
+        h, pairs, sizes = hashes(t.column("text").to_pylist())
+        of_target = np.repeat(np.array([i in good for i in t.column("doc_id").to_pylist()], bool), sizes)
+        keys, n = np.unique(np.concatenate([h, pairs]), return_counts=True)
+        some, n_some = np.unique(np.concatenate([h[of_target], pairs[of_target]]), return_counts=True)
+        target = np.zeros(len(keys), np.int64)
+        target[np.searchsorted(keys, some)] = n_some
+        at = np.searchsorted(keys, ALL)
+        keys, n, target = np.insert(keys, at, ALL), np.insert(n, at, len(h)), np.insert(target, at, of_target.sum())
+        bucket = ((keys >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
+        ends = [*(np.flatnonzero(np.diff(bucket)) + 1), len(keys)]
         out = []
-        for k in (1, 0):
-            n = max(1, self.total[k])
-            context = np.where(starts, n, self.words[k][before])
-            pair = np.minimum(1.0, self.pairs[k][p] / np.maximum(1, context))
-            loss = -np.log(MIX[0] * pair + MIX[1] * self.words[k][u] / n + MIX[2] / (1 << UNI))
+        for a, b in zip([0, *ends[:-1]], ends, strict=True):
+            some = keys[a:b]
+            zero = np.zeros(b - a, np.int64)
+            out.append((bucket[a], block if ask else None, packed(np.diff(some, prepend=np.uint64(0))), packed(n[a:b] if count else zero), packed(target[a:b] if count else zero)))
+        kinds = (pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary())
+        return pa.table([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], ["bucket", "block", "keys", "background", "target"])
+
+    return rows.groupBy("block").applyInArrow(run, KEYS)
+
+
+def sums(sent: DataFrame) -> DataFrame:
+    """Rows of `counts` that ask, with the counts of all rows of their hashes added up."""
+
+    def run(t: pa.Table) -> pa.Table:
+        keys = [np.cumsum(unpacked(b), dtype=np.uint64) for b in t.column("keys").to_pylist()]
+        _, at = np.unique(np.concatenate(keys), return_inverse=True)
+        ends = np.cumsum([len(k) for k in keys])[:-1]
+        columns = {}
+        for name in ("background", "target"):
+            total = np.bincount(at, np.concatenate([unpacked(b) for b in t.column(name).to_pylist()])).astype(np.int64)
+            columns[name] = pa.array([packed(x) if b is not None else None for x, b in zip(np.split(total[at], ends), t.column("block").to_pylist(), strict=True)], pa.binary())
+        out = pa.table([t.column("bucket"), t.column("block"), *columns.values()], ["bucket", "block", *columns])
+        return out.filter(out.column("block").is_valid())
+
+    return sent.groupBy("bucket").applyInArrow(run, "bucket long, block long, background binary, target binary")
+
+
+def losses(rows: DataFrame, answers: DataFrame) -> DataFrame:
+    """Scores of the documents of `dealt`, from the answers to their blocks."""
+
+    def run(t: pa.Table, told: pa.Table) -> pa.Table:
+        t, _ = parted(t)
+        h, pairs, sizes = hashes(t.column("text").to_pylist())
+        keys = np.unique(np.concatenate([h, pairs, [ALL]]))
+        word, pair, last = np.searchsorted(keys, h), np.searchsorted(keys, pairs), np.cumsum(sizes)
+        starts = np.zeros(len(h), bool)
+        starts[(last - sizes)[sizes > 0]] = True
+        before = np.concatenate([[0], word[:-1]]) if len(word) else word
+        told, out = told.sort_by("bucket"), []
+        for name in ("target", "background"):
+            n = np.concatenate([unpacked(b) for b in told.column(name).to_pylist()]).astype(np.int64) if len(t) else np.zeros(len(keys), np.int64)
+            total = max(1, int(n[np.searchsorted(keys, ALL)]))
+            context = np.where(starts, total, n[before])
+            loss = -np.log(MIX[0] * n[pair] / np.maximum(1, context) + MIX[1] * n[word] / total + MIX[2] / (1 << UNI))
             ends = np.concatenate([[0.0], np.cumsum(loss)])
-            last = np.cumsum(sizes)
             out.append((ends[last] - ends[last - sizes]) / np.maximum(1, sizes))
-        return sizes, out[0], out[1]
+        return pa.table([t.column("doc_id"), pa.array(sizes), *map(pa.array, out), pa.array(out[0] - out[1])], ["doc_id", "n_tokens", "target_loss", "background_loss", "score"])
+
+    return rows.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(run, SCORES)
 
 
-def train(docs: DataFrame) -> Models:
-    counts = np.zeros((2, (1 << UNI) + (1 << PAIRS)), np.int64)
-    blocks = counts.reshape(-1, BLOCK)
-    for row in counted(docs).toLocalIterator():
-        blocks[row[0]] = np.frombuffer(row[1], "<i8")
-    return Models(counts.astype(np.int32 if counts.max() < 1 << 31 else np.int64))
+class Models:
+    """The documents counted: rows of `dealt`, and how many blocks they fill."""
 
+    def __init__(self, rows: DataFrame, blocks: int):
+        self.rows, self.blocks = rows, blocks
 
-def scored(docs: DataFrame, models: Models) -> DataFrame:
-    sent = docs.sparkSession.sparkContext.broadcast(models)
+    @property
+    def total(self) -> np.ndarray:
+        """Number of tokens of the background and of the target."""
+
+        def run(t: pa.Table) -> pa.Table:
+            t, good = parted(t)
+            n = [(len((x or "").split()), i in good) for i, x in zip(t.column("doc_id").to_pylist(), t.column("text").to_pylist(), strict=True)]
+            return pa.table({"background": [sum(k for k, _ in n)], "target": [sum(k for k, is_target in n if is_target)]})
 
-    def run(batches):
-        m = sent.value
-        for batch in slices(batches):
-            n, target, background = m.losses(batch.column(1).to_pylist())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), pa.array(target), pa.array(background), pa.array(target - background)], ["doc_id", "n_tokens", "target_loss", "background_loss", "score"])
+        row = self.rows.groupBy("block").applyInArrow(run, "background long, target long").agg(F.sum("background"), F.sum("target")).first()
+        return np.array([v or 0 for v in row], np.int64)
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, target_loss double, background_loss double, score double")
 
+def buckets_of(blocks: int) -> int:
+    return -(-blocks // PER_BUCKET)
 
-def marked(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """text and target of each document."""
-    good = labels.where("quality = 1").select("doc_id", F.lit(True).alias("target")).distinct()
-    return docs.select("doc_id", "text").join(good, "doc_id", "left").select("text", F.coalesce("target", F.lit(False)).alias("target"))
+
+def marked(docs: DataFrame, labels: DataFrame) -> tuple[DataFrame, int]:
+    """Documents dealt to blocks with the labels of the target, and the number of blocks."""
+    blocks = blocks_of(docs)
+    return dealt(docs, blocks, labels.where("quality = 1").select(F.col("doc_id").cast("long").alias("doc_id")).distinct()), blocks
+
+
+def train(docs: tuple[DataFrame, int]) -> Models:
+    return Models(*docs)
+
+
+def scored(docs: DataFrame, models: Models) -> DataFrame:
+    """Scores of any documents."""
+    rows, buckets = dealt(docs, blocks_of(docs)), buckets_of(models.blocks)
+    return losses(rows, sums(counts(models.rows, buckets, ask=False).union(counts(rows, buckets, count=False))))
 
 
 def query(spark, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    return scored(docs, train(marked(docs, table(spark, sf_dir, "labels"))))
+    """Scores of the documents that are counted: what their blocks send is counted and asked for at once."""
+    rows, blocks = marked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return losses(rows, sums(counts(rows, buckets_of(blocks))))

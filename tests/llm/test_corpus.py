@@ -101,6 +101,35 @@ def test_cross_entropy_difference(spark):
     assert lm.scored(docs.where("false"), lm.train(lm.marked(docs.where("false"), labels))).count() == 0
 
 
+def test_cross_entropy_difference_counts_every_word_and_pair(spark, monkeypatch, tmp_path):
+    """As many different words as would fill any fixed cells: scores equal those of plain dictionaries, over several blocks and buckets."""
+    monkeypatch.setattr(lm, "BLOCK", 400_000)
+    r = np.random.default_rng(4)
+    texts = [" ".join(f"w{v}" for v in r.integers(0, 400_000, 5000)) for _ in range(120)] + [None, "", "w1 w1 W2"]
+    good = set(range(0, 120, 3)) | {122}
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(k, int(k in good)) for k in range(len(texts))], "doc_id long, quality int").write.parquet(f"{tmp_path}/labels.parquet")
+    words = [(t or "").lower().split() for t in texts]
+    n = [[collections.Counter(), collections.Counter()] for _ in range(2)]
+    for k, w in enumerate(words):
+        for model in n[: 1 + (k in good)]:
+            model[0].update(w)
+            model[1].update(zip([None, *w], w, strict=False))
+    total = [sum(model[0].values()) for model in n]
+
+    def loss(w, k):
+        uni, pairs = n[k]
+        every = [-np.log(lm.MIX[0] * pairs[a, b] / max(1, uni[a] if a else total[k]) + lm.MIX[1] * uni[b] / total[k] + lm.MIX[2] / (1 << lm.UNI)) for a, b in zip([None, *w], w, strict=False)]
+        return sum(every) / max(1, len(w))
+
+    got = {row.doc_id: row for row in lm.query(spark, str(tmp_path)).collect()}
+    again = {row.doc_id: row for row in lm.scored(spark.read.parquet(f"{tmp_path}/documents.parquet"), lm.train(lm.marked(spark.read.parquet(f"{tmp_path}/documents.parquet"), spark.read.parquet(f"{tmp_path}/labels.parquet")))).collect()}
+    assert len(got) == len(again) == len(texts)
+    for k, w in enumerate(words):
+        assert (got[k].n_tokens, got[k].target_loss, got[k].background_loss) == pytest.approx((len(w), loss(w, 1), loss(w, 0)))
+        assert again[k].score == pytest.approx(got[k].score)
+
+
 def test_media_finds_cropped_and_edited_copies(spark):
     r = np.random.default_rng(2)
     rows = [(k, [float(v) for v in r.normal(size=64)]) for k in range(45)]
