@@ -1,8 +1,8 @@
 """Copies of images by local descriptors: multiscale corners, orientation-normalised binary tests, Hamming tables, consensus.
 
 Corners are local maxima of the Harris response at two scales. Around each, the direction of the patch's centre of mass turns
-a fixed set of 256 pairs of places, and each pair gives a bit: which place is brighter. The bits are cut into TABLES words; two
-descriptors meet if they share a word of one table (an equi-join), and match if they differ in at most NEAR bits. Each match
+a fixed set of 256 pairs of places, and each pair gives a bit: which place is brighter. The bits are cut into TABLES words of 16
+bits; two descriptors meet if a word of one table differs in at most one bit, and match if they differ in at most NEAR bits. Each match
 states a shift, a turn and a change of scale; matches that state about the same are counted, and an image with INLIERS of them
 is a copy, also if it was cropped or its brightness and contrast edited.
 
@@ -14,7 +14,6 @@ are members of one class; null ids are members too.
 
 from __future__ import annotations
 
-import collections
 import functools
 
 import numpy as np
@@ -24,10 +23,12 @@ from pyspark.sql import functions as F
 
 from cloudloom.llm.common import cut, slices, table
 
-CORNERS, TABLES, NEAR, INLIERS, PATCH = (24, 10), 4, 48, 3, 15
+CORNERS, TABLES, NEAR, INLIERS, PATCH = (24, 10), 16, 48, 3, 15
 TURNS = 30
 #: Places fall into bins of so many pixels of shift; each vote goes to the four nearest bins.
 SHIFT = 8
+#: Bytes of corners in a block, and pairs of descriptors that are compared at once.
+BLOCK, STEP = 4_000_000, 200_000
 
 
 def box(x: np.ndarray, r: int) -> np.ndarray:
@@ -97,8 +98,12 @@ def describe(images: np.ndarray) -> list[tuple[np.ndarray, ...]]:
     return out
 
 
+#: A corner as it is sent: its place, turn, scale and bits.
+CORNER = np.dtype([("x", "<i4"), ("y", "<i4"), ("turn", "<i2"), ("scale", "<i2"), ("bits", "<u8", 4)])
+
+
 def descriptors(images: DataFrame) -> DataFrame:
-    """id, x, y, turn, scale, bits (4 longs) of each corner; images: id, width, height, pixels (grey bytes by row)."""
+    """id and corners (packed CORNERs) of each image that has any; images: id, width, height, pixels (grey bytes by row)."""
 
     def run(batches):
         for batch in slices(batches, 64):
@@ -107,57 +112,93 @@ def descriptors(images: DataFrame) -> DataFrame:
                 if p and w and h and len(p) == w * h:
                     sizes.setdefault((h, w), []).append((k, p))
             for (h, w), some in sizes.items():
-                for image, x, y, turn, scale, bits in describe(np.stack([np.frombuffer(p, np.uint8).reshape(h, w) for _, p in some])):
-                    words = np.ascontiguousarray(bits).view(">i8").astype(np.int64)
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([ids[some[i][0]] for i in image], pa.string()), *(pa.array(v.astype(np.int32)) for v in (x, y, turn, scale)), pa.array(list(words), pa.list_(pa.int64()))],
-                        ["id", "x", "y", "turn", "scale", "bits"],
-                    )
-
-    return images.select(F.col("id").cast("string"), "width", "height", "pixels").mapInArrow(run, "id string, x int, y int, turn int, scale int, bits array<long>")
-
-
-def _words(d: DataFrame, name: str) -> DataFrame:
-    """A row for each table of each descriptor: one long of its bits, turned so that each table has its own bits."""
-    return d.select(F.col("id").alias(name), F.struct("x", "y", "turn", "scale", "bits").alias(f"of_{name}"), F.posexplode("bits").alias("table", "word"))
+                found = describe(np.stack([np.frombuffer(p, np.uint8).reshape(h, w) for _, p in some]))
+                if not found:
+                    continue
+                image, x, y, turn, scale, bits = map(np.concatenate, zip(*found, strict=True))
+                corners = np.zeros(len(image), CORNER)
+                corners["x"], corners["y"], corners["turn"], corners["scale"], corners["bits"] = x, y, turn, scale, np.ascontiguousarray(bits).view("<u8")
+                order = np.argsort(image, kind="stable")
+                at, starts = np.unique(image[order], return_index=True)
+                parts = np.split(corners[order], starts[1:]) if len(at) else []
+                yield pa.RecordBatch.from_arrays([pa.array([ids[some[i][0]] for i in at], pa.string()), pa.array([c.tobytes() for c in parts], pa.binary())], ["id", "corners"])
+
+    return images.select(F.col("id").cast("string"), "width", "height", "pixels").mapInArrow(run, "id string, corners binary")
+
+
+def near_pairs(queries: np.ndarray, index: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers of queries and of index whose bits (uint64, 4 each) differ in at most NEAR and that meet: in a table, a query looks at its own word and at those one bit away."""
+    q, d, met = queries.view(np.uint16).reshape(len(queries), -1), index.view(np.uint16).reshape(len(index), -1), []
+    for table_ in range(TABLES):
+        order = np.argsort(d[:, table_], kind="stable")
+        begins = np.concatenate([[0], np.cumsum(np.bincount(d[:, table_], minlength=1 << 16))])
+        for probe in (0, *(1 << k for k in range(16))):
+            words = (q[:, table_] ^ np.uint16(probe)).astype(np.int64)
+            first, n = begins[words], begins[words + 1] - begins[words]
+            ends = np.cumsum(n)
+            steps = [0, *(np.flatnonzero(np.diff(ends // STEP)) + 1), len(q)]
+            for a, b in zip(steps[:-1], steps[1:], strict=True):
+                if not (total := int(n[a:b].sum())):
+                    continue
+                who = np.repeat(np.arange(a, b), n[a:b])
+                whom = order[np.arange(total) + np.repeat(first[a:b] - (ends[a:b] - n[a:b] - (ends[a - 1] if a else 0)), n[a:b])]
+                apart = np.bitwise_count(queries[who] ^ index[whom]).sum(1, dtype=np.int32)
+                good = apart <= NEAR
+                met.append(who[good] * len(index) + whom[good])
+    pairs = np.unique(np.concatenate(met)) if met else np.zeros(0, np.int64)
+    return pairs // max(1, len(index)), pairs % max(1, len(index))
+
+
+def agreeing(q: np.ndarray, q_image: np.ndarray, d: np.ndarray, d_image: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Images of q and d with INLIERS places or more that agree on scale, turn and shift, and how many; q and d: corners that match.
+
+    Bins are of SHIFT in four grids half a bin apart: each bin is two by two cells."""
+    scale = q["scale"].astype(np.int64) - d["scale"]
+    turn = (q["turn"].astype(np.int64) - d["turn"]) % TURNS
+    angle, grown = turn * (2 * np.pi / TURNS), 2.0**scale
+    x, y = d["x"] * grown, d["y"] * grown
+    cx = np.floor(2 * (q["x"] - (np.cos(angle) * x - np.sin(angle) * y)) / SHIFT).astype(np.int64)
+    cy = np.floor(2 * (q["y"] - (np.sin(angle) * x + np.cos(angle) * y)) / SHIFT).astype(np.int64)
+    columns = [q_image, d_image, scale, (turn + 1) // 3]
+    votes = np.concatenate([np.stack([*columns, np.full(len(q), 2 * a + b), (cx + a) // 2, (cy + b) // 2, q["x"], q["y"]], 1) for a in (0, 1) for b in (0, 1)])
+    order = np.lexsort(votes.T[::-1])
+    votes = votes[order]
+    votes = votes[np.concatenate([[True], (votes[1:] != votes[:-1]).any(1)])] if len(votes) else votes
+    bins = votes[:, :7]
+    begins = np.flatnonzero(np.concatenate([[True], (bins[1:] != bins[:-1]).any(1)])) if len(bins) else np.zeros(0, np.int64)
+    n, images = np.diff([*begins, len(bins)]), bins[begins, :2]
+    images, n = images[n >= INLIERS], n[n >= INLIERS]
+    begins = np.flatnonzero(np.concatenate([[True], (images[1:] != images[:-1]).any(1)])) if len(images) else np.zeros(0, np.int64)
+    return images[begins, 0], images[begins, 1], np.maximum.reduceat(n, begins) if len(n) else n
 
 
 def matches(queries: DataFrame, index: DataFrame) -> DataFrame:
-    """query, found, inliers: images of index that hold INLIERS consistent matches with a query image; both are descriptors."""
-    #: Half words are compared: 32 bits of each of the four longs.
-    half = F.col("word").bitwiseAND(0xFFFFFFFF).alias("word")
-    q, d = (_words(t, n).select(n, f"of_{n}", "table", half) for t, n in ((queries, "query"), (index, "found")))
-    met = d.join(q, ["table", "word"]).select("query", "found", "of_query", "of_found", "table")
-    apart = sum((F.bit_count(F.col("of_query.bits")[k].bitwiseXOR(F.col("of_found.bits")[k])) for k in range(4)), F.lit(0))
-    low = lambda side, k: F.col(f"{side}.bits")[k].bitwiseAND(0xFFFFFFFF)
-    once = functools.reduce(lambda a, k: a & ((F.col("table") <= k) | (low("of_query", k) != low("of_found", k))), range(TABLES), F.lit(True))
-    near = met.where(once & (apart <= NEAR))  # a pair that meets in several tables counts in the first
-    scale = F.col("of_query.scale") - F.col("of_found.scale")
-    turn = F.pmod(F.col("of_query.turn") - F.col("of_found.turn"), F.lit(TURNS))
-    angle = turn * (2 * np.pi / TURNS)
-    grown = F.pow(F.lit(2.0), scale.cast("double"))
-    x, y = F.col("of_found.x") * grown, F.col("of_found.y") * grown
-    dx = F.col("of_query.x") - (F.cos(angle) * x - F.sin(angle) * y)
-    dy = F.col("of_query.y") - (F.sin(angle) * x + F.cos(angle) * y)
-    place = F.struct("of_query.x", "of_query.y")
-    cell = [F.floor(2 * d / SHIFT).cast("int").alias(n) for d, n in ((dx, "cx"), (dy, "cy"))]
-    vote = F.struct(scale.alias("scale"), F.floor((turn + 1) / 3).cast("int").alias("turn"), *cell, F.col("of_query.x").alias("x"), F.col("of_query.y").alias("y"))
-    votes = near.groupBy("query", "found").agg(F.collect_set(vote).alias("votes"))  # of two images, so no more than their corners allow
-    return votes.mapInArrow(_agreeing, "query string, found string, inliers long").where(F.col("inliers") >= INLIERS)
-
-
-def _agreeing(batches):
-    """The most places that agree on scale, turn and shift, over bins of SHIFT in four grids half a bin apart: each bin is two by two cells."""
-    for batch in batches:
-        most = []
-        for votes in batch.column(2).to_pylist():
-            bins = collections.defaultdict(set)
-            for v in votes:
-                for a in (0, 1):
-                    for b in (0, 1):
-                        bins[v["scale"], v["turn"], a, b, (v["cx"] + a) // 2, (v["cy"] + b) // 2].add((v["x"], v["y"]))
-            most.append(max(map(len, bins.values())))
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(most, pa.int64())], ["query", "found", "inliers"])
+    """query, found, inliers: images of index that hold INLIERS consistent matches with a query image; both are descriptors.
+
+    Images are dealt to blocks of about BLOCK bytes, whole; each block of queries meets each block of index in the block's own tables."""
+    sizes = [t.agg(F.sum(F.length("corners").cast("long"))).first()[0] or 0 for t in (queries, index)]
+    n_q, n_d = (max(1, -(-size // BLOCK)) for size in sizes)
+
+    def dealt(t: DataFrame, own: str, n: int, other: str, m: int) -> DataFrame:
+        return t.select(F.pmod(F.xxhash64("id"), F.lit(n)).alias(own), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(m - 1).cast("long"))).alias(other), "id", "corners").select("q", "d", "id", "corners")
+
+    def run(asked: pa.Table, held: pa.Table) -> pa.Table:
+        sides = []
+        for t in (asked, held):
+            corners = [np.frombuffer(b, CORNER) for b in t.column("corners").to_pylist()]
+            sides.append((np.concatenate([np.zeros(0, CORNER), *corners]), np.repeat(np.arange(len(corners)), [len(c) for c in corners])))
+        (q, q_image), (d, d_image) = sides
+        i, j = near_pairs(np.ascontiguousarray(q["bits"]), np.ascontiguousarray(d["bits"]))
+        n_images = max(1, held.num_rows)
+        pair = q_image[i] * n_images + d_image[j]
+        _, at, n = np.unique(pair, return_inverse=True, return_counts=True)
+        many = n[at] >= INLIERS
+        i, j = i[many], j[many]
+        a, b, n = agreeing(q[i], q_image[i], d[j], d_image[j])
+        return pa.table([asked.column("id").take(pa.array(a, pa.int64())), held.column("id").take(pa.array(b, pa.int64())), pa.array(n, pa.int64())], ["query", "found", "inliers"])
+
+    left, right = dealt(queries, "q", n_q, "d", n_d), dealt(index, "d", n_d, "q", n_q)
+    return left.groupBy("q", "d").cogroup(right.groupBy("q", "d")).applyInArrow(run, "query string, found string, inliers long")
 
 
 #: Rendering of vectors as images: a sum of plane waves, so that near vectors give near images.
@@ -211,7 +252,7 @@ def search(vectors: DataFrame, is_query) -> DataFrame:
     rows = vectors.select(F.col("vec_id").cast("long"), "embedding", content.alias("id"))
     found = cut(rows.groupBy("id").agg(F.min("vec_id").alias("rep_id"), F.max(F.coalesce(is_query(F.col("vec_id")), F.lit(False))).alias("asked"), F.min("embedding").alias("embedding")), "contents")
     index = cut(descriptors(images(found, False)), "index")
-    asked = descriptors(images(found.where("asked"), True))
+    asked = cut(descriptors(images(found.where("asked"), True)), "asked")
     hits = matches(asked, index)
     reps = found.select("id", "rep_id")
     pairs = hits.join(reps.select(F.col("id").alias("query"), F.col("rep_id").alias("vec_id")), "query").join(reps.select(F.col("id").alias("found"), "rep_id"), "found")

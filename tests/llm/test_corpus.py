@@ -143,6 +143,36 @@ def test_media_finds_cropped_and_edited_copies(spark):
     assert media.search(df.where("false"), lambda i: i % 20 == 0).count() == 0
 
 
+def grey(n, seed):
+    return np.stack([np.frombuffer(p, np.uint8).reshape(media.SIDE, -1) for p in media.rendered([list(v) for v in np.random.default_rng(seed).normal(size=(n, 64))])])
+
+
+def turned(a, degrees, size):
+    """Images turned about their centre and scaled, between pixels."""
+    c, t = (a.shape[1] - 1) / 2, np.deg2rad(degrees)
+    y, x = np.mgrid[0 : a.shape[1], 0 : a.shape[2]] - c
+    u, v = (x * np.cos(t) + y * np.sin(t)) / size + c, (y * np.cos(t) - x * np.sin(t)) / size + c
+    i, j = (np.clip(np.floor(w).astype(int), 0, a.shape[1] - 2) for w in (v, u))
+    f, g = np.clip(v - i, 0, 1), np.clip(u - j, 0, 1)
+    return (a[:, i, j] * (1 - f) * (1 - g) + a[:, i, j + 1] * (1 - f) * g + a[:, i + 1, j] * f * (1 - g) + a[:, i + 1, j + 1] * f * g).astype(np.uint8)
+
+
+@pytest.mark.parametrize("kind", ["crop", "turn 90", "turn 20", "scale", "noise"])
+def test_media_meets_what_brute_force_matches(kind):
+    base = grey(100, 6)
+    noise = np.random.default_rng(1).normal(0, 12, base.shape)
+    copies = {
+        "crop": lambda: base[:, 9:81, 14:86], "turn 90": lambda: np.rot90(base, 1, (1, 2)).copy(), "turn 20": lambda: turned(base, 20, 1),
+        "scale": lambda: turned(base, 0, 1.15), "noise": lambda: np.clip(base + noise, 0, 255).astype(np.uint8),
+    }[kind]()
+    q, d = (np.concatenate([np.ascontiguousarray(part[5]).view(np.uint64) for part in media.describe(x)]) for x in (copies, base))
+    apart = np.stack([np.bitwise_count(d ^ one).sum(1) for one in q])
+    want = set(zip(*np.nonzero(apart <= media.NEAR), strict=True))
+    far = set(zip(*np.nonzero((apart > 40) & (apart <= media.NEAR)), strict=True))
+    got = set(zip(*media.near_pairs(q, d), strict=True))
+    assert got <= want and len(got) >= 0.97 * len(want) and len(got & far) >= 0.95 * len(far) > 0
+
+
 def test_chat(spark):
     rows = [(1, 0, "user", "Hello there\nhow are you?"), (1, 1, "assistant", "> Hello there\n> how are you?\nFine."), (1, 2, "user", "> > how are you?\n> Fine.\nGood"), (1, 3, None, None),
             (None, 1, "user", "> x"), (1, 4, "user", "On x:\n> how  ARE you?\nwell"), (2, 0, "user", "> Fine.\nno")]
