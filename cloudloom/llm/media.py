@@ -1,13 +1,13 @@
 """Copies of images by local descriptors: multiscale corners, orientation-normalised binary tests, Hamming tables, consensus.
 
-Corners are local maxima of the Harris response at two scales. Around each, the direction of the patch's centre of mass turns
+Corners are all local maxima of the Harris response over RESPONSE at two scales, so their number grows with the image's area. Around each, the direction of the patch's centre of mass turns
 a fixed set of 256 pairs of places, and each pair gives a bit: which place is brighter. The bits are cut into TABLES words of 16
 bits; two descriptors meet if a word of one table differs in at most one bit, and match if they differ in at most NEAR bits. Each match
 states a shift, a turn and a change of scale; matches that state about the same are counted, and an image with INLIERS of them
 is a copy, also if it was cropped or its brightness and contrast edited.
 
 Images of equal content are one class and are described once; results hold pairs of classes' representatives and membership.
-CORNERS bounds the descriptors of an image and scale, as the strongest corners. Null or empty pixels, or a size that does not
+Null or empty pixels, or a size that does not
 fit the pixels, have no corners: such a row is a class that matches nothing. Rows are grouped by content, so repeated rows
 are members of one class; null ids are members too.
 """
@@ -23,12 +23,12 @@ from pyspark.sql import functions as F
 
 from cloudloom.llm.common import cut, slices, table
 
-CORNERS, TABLES, NEAR, INLIERS, PATCH = (24, 10), 16, 48, 3, 15
+SCALES, RESPONSE, TABLES, NEAR, INLIERS, PATCH = 2, 1, 16, 48, 3, 15
 TURNS = 30
 #: Places fall into bins of so many pixels of shift; each vote goes to the four nearest bins.
 SHIFT = 8
-#: Bytes of corners in a block, and pairs of descriptors that are compared at once.
-BLOCK, STEP = 4_000_000, 200_000
+#: Bytes of corners in a block, pairs of descriptors that are compared at once, and pixels that are described at once.
+BLOCK, STEP, PIXELS = 4_000_000, 200_000, 1 << 20
 
 
 def box(x: np.ndarray, r: int) -> np.ndarray:
@@ -64,7 +64,7 @@ def tests(seed: int = 5) -> np.ndarray:
 def describe(images: np.ndarray) -> list[tuple[np.ndarray, ...]]:
     """For a stack of grey images of one size: image, x, y, turn, scale (0, 1), bits (uint8, 32) of all corners."""
     out = []
-    for scale, most in enumerate(CORNERS):
+    for scale in range(SCALES):
         x = images.astype(np.float32)
         if scale:
             h, w = x.shape[1] // 2 * 2, x.shape[2] // 2 * 2
@@ -77,22 +77,20 @@ def describe(images: np.ndarray) -> list[tuple[np.ndarray, ...]]:
         a, b, c = box(gx * gx, 2), box(gy * gy, 2), box(gx * gy, 2)
         response = a * b - c * c - 0.05 * (a + b) ** 2
         inner = response[:, edge : h - edge, edge : w - edge]
-        peak = np.where((inner >= largest(inner, 3)) & (inner > 1), inner, -np.inf).reshape(n, -1)
-        most = min(most, peak.shape[1])
-        at = np.argpartition(-peak, most - 1, 1)[:, :most]
-        at = np.take_along_axis(at, np.argsort(at, 1), 1)
-        good = np.isfinite(np.take_along_axis(peak, at, 1))
-        image = np.nonzero(good)[0]
-        flat = at[good]
-        py, px = flat // inner.shape[2] + edge, flat % inner.shape[2] + edge
+        image, row, column = np.nonzero((inner >= largest(inner, 3)) & (inner > RESPONSE))
+        py, px = row + edge, column + edge
         smooth = np.pad(box(x, 1) / 9, ((0, 0), (PATCH, PATCH), (PATCH, PATCH)), mode="edge")
         span = np.arange(-7, 8)
-        patch = smooth[image[:, None, None], (py + PATCH)[:, None, None] + span[:, None], (px + PATCH)[:, None, None] + span]
-        m10, m01 = (patch * span).sum((1, 2)), (patch * span[:, None]).sum((1, 2))
-        turn = np.rint(np.arctan2(m01, m10) * TURNS / (2 * np.pi)).astype(int) % TURNS
-        o = tests()[turn]
-        values = smooth[image[:, None, None], (py + PATCH)[:, None, None] + o[..., 0], (px + PATCH)[:, None, None] + o[..., 1]]
-        bits = np.packbits(values[..., 0] < values[..., 1], axis=1)
+        turns, every = [np.zeros(0, int)], [np.zeros((0, 32), np.uint8)]
+        for at in range(0, len(image), 4096):
+            i, y, x = (v[at : at + 4096, None, None] for v in (image, py + PATCH, px + PATCH))
+            patch = smooth[i, y + span[:, None], x + span]
+            m10, m01 = (patch * span).sum((1, 2)), (patch * span[:, None]).sum((1, 2))
+            turns.append(np.rint(np.arctan2(m01, m10) * TURNS / (2 * np.pi)).astype(int) % TURNS)
+            o = tests()[turns[-1]]
+            values = smooth[i, y + o[..., 0], x + o[..., 1]]
+            every.append(np.packbits(values[..., 0] < values[..., 1], axis=1))
+        turn, bits = np.concatenate(turns), np.concatenate(every)
         f = 1 << scale
         out.append((image, px * f, py * f, turn, np.full(len(image), scale), bits))
     return out
@@ -112,16 +110,19 @@ def descriptors(images: DataFrame) -> DataFrame:
                 if p and w and h and len(p) == w * h:
                     sizes.setdefault((h, w), []).append((k, p))
             for (h, w), some in sizes.items():
-                found = describe(np.stack([np.frombuffer(p, np.uint8).reshape(h, w) for _, p in some]))
-                if not found:
-                    continue
-                image, x, y, turn, scale, bits = map(np.concatenate, zip(*found, strict=True))
-                corners = np.zeros(len(image), CORNER)
-                corners["x"], corners["y"], corners["turn"], corners["scale"], corners["bits"] = x, y, turn, scale, np.ascontiguousarray(bits).view("<u8")
-                order = np.argsort(image, kind="stable")
-                at, starts = np.unique(image[order], return_index=True)
-                parts = np.split(corners[order], starts[1:]) if len(at) else []
-                yield pa.RecordBatch.from_arrays([pa.array([ids[some[i][0]] for i in at], pa.string()), pa.array([c.tobytes() for c in parts], pa.binary())], ["id", "corners"])
+                together = max(1, PIXELS // (w * h))
+                for k in range(0, len(some), together):
+                    part = some[k : k + together]
+                    found = describe(np.stack([np.frombuffer(p, np.uint8).reshape(h, w) for _, p in part]))
+                    if not found:
+                        continue
+                    image, x, y, turn, scale, bits = map(np.concatenate, zip(*found, strict=True))
+                    corners = np.zeros(len(image), CORNER)
+                    corners["x"], corners["y"], corners["turn"], corners["scale"], corners["bits"] = x, y, turn, scale, np.ascontiguousarray(bits).view("<u8")
+                    order = np.argsort(image, kind="stable")
+                    at, starts = np.unique(image[order], return_index=True)
+                    parts = np.split(corners[order], starts[1:]) if len(at) else []
+                    yield pa.RecordBatch.from_arrays([pa.array([ids[part[i][0]] for i in at], pa.string()), pa.array([c.tobytes() for c in parts], pa.binary())], ["id", "corners"])
 
     return images.select(F.col("id").cast("string"), "width", "height", "pixels").mapInArrow(run, "id string, corners binary")
 

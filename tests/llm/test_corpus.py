@@ -173,6 +173,19 @@ def test_media_meets_what_brute_force_matches(kind):
     assert got <= want and len(got) >= 0.97 * len(want) and len(got & far) >= 0.95 * len(far) > 0
 
 
+def test_media_keeps_the_corners_of_every_part(spark):
+    """The weaker half of an image has its own corners beside a strongly textured one, and a crop of it is found."""
+    weak, strong = grey(2, 8)
+    whole = np.hstack([128 + (weak.astype(int) - 128) // 3, np.tile(strong, (1, 3))]).astype(np.uint8)
+    crop = whole[4:92, 2:94].copy()
+
+    def corners(name, a):
+        return media.descriptors(spark.createDataFrame([(name, a.shape[1], a.shape[0], bytearray(a.tobytes()))], "id string, width int, height int, pixels binary"))
+
+    found = media.matches(corners("crop", crop), corners("whole", whole)).collect()
+    assert [(r.query, r.found) for r in found] == [("crop", "whole")] and found[0].inliers >= 10
+
+
 def test_chat(spark):
     rows = [(1, 0, "user", "Hello there\nhow are you?"), (1, 1, "assistant", "> Hello there\n> how are you?\nFine."), (1, 2, "user", "> > how are you?\n> Fine.\nGood"), (1, 3, None, None),
             (None, 1, "user", "> x"), (1, 4, "user", "On x:\n> how  ARE you?\nwell"), (2, 0, "user", "> Fine.\nno")]
