@@ -2,8 +2,8 @@
 
 A line's quote level is the number of ">" before its text. Adjacent lines of one level above 0 are a quoted passage; its hash is
 over its text with case and white space evened out. Messages are hashed as a whole and by line, both without their quotes; a
-passage is joined within its conversation to the earliest message with the same whole, else its lines are joined to messages
-with such a line and the message with the most of them, then the earliest, is taken. Passages of the lowest level are what a
+passage is joined within its conversation to the earliest message with the same whole, else its different lines are joined to all
+earlier messages with such a line and the message with the most of them, then the earliest, is taken. Passages of the lowest level are what a
 message replies to; of several originals the latest one counts, and only turns before the message's own count.
 
 Result: one row for each message, in reply order: conv_id, then the turn of the thread's first message, depth, turn. reply_to is
@@ -63,14 +63,18 @@ def replies(messages: DataFrame) -> DataFrame:
     bodies = known.join(convs, "conv_id", "left_semi").select("conv_id", F.col("turn").alias("origin"), body(F.col("text")).alias("body")).where("body <> ''")
     whole = bodies.groupBy("conv_id", hashed(F.col("body")).alias("hash")).agg(F.min("origin").alias("origin"))
     by_line = bodies.select("conv_id", "origin", F.explode(F.split("body", "\n", -1)).alias("line")).where(evened(F.col("line")) != "")
-    by_line = by_line.groupBy("conv_id", hashed(F.col("line")).alias("hash")).agg(F.min("origin").alias("origin"))
+    by_line = by_line.select("conv_id", "origin", hashed(F.col("line")).alias("hash")).distinct()
+    first_by_line = by_line.groupBy("conv_id", "hash").agg(F.min("origin").alias("origin"))
     lowest = quoted.groupBy("conv_id", "turn", "row").agg(F.min("level").alias("level"))
     direct = quoted.join(lowest, ["conv_id", "turn", "row", "level"])
     full = direct.withColumn("hash", hashed(F.col("text"))).join(whole, ["conv_id", "hash"]).where("origin < turn").select("conv_id", "turn", "row", "passage", "origin")
-    lines = direct.join(full.select("row", "passage"), ["row", "passage"], "left_anti").select("conv_id", "turn", "row", "passage", F.explode("lines").alias("line")).where(evened(F.col("line")) != "")
-    votes = lines.withColumn("hash", hashed(F.col("line"))).join(by_line, ["conv_id", "hash"]).where("origin < turn").groupBy("conv_id", "turn", "row", "passage", "origin").agg(F.count(F.lit(1)).alias("n"))
+    different = F.array_distinct(F.transform(F.filter("lines", lambda s: evened(s) != ""), hashed))
+    left = direct.join(full.select("row", "passage"), ["row", "passage"], "left_anti").select("conv_id", "turn", "row", "passage", different.alias("hashes"))
+    lines = left.select("conv_id", "turn", "row", "passage", F.size("hashes").alias("of"), F.explode("hashes").alias("hash"))
+    one = lines.where("of = 1").join(first_by_line, ["conv_id", "hash"]).where("origin < turn").select("conv_id", "turn", "row", "passage", "origin")  # all have one vote
+    votes = lines.where("of > 1").join(by_line, ["conv_id", "hash"]).where("origin < turn").groupBy("conv_id", "turn", "row", "passage", "origin").agg(F.count(F.lit(1)).alias("n"))
     part = votes.groupBy("conv_id", "turn", "row", "passage").agg(F.max(F.struct("n", (-F.col("origin")).alias("less"))).alias("best")).select("conv_id", "turn", "row", "passage", (-F.col("best.less")).alias("origin"))
-    return full.union(part).groupBy("conv_id", "turn").agg(F.max("origin").alias("reply_to"))
+    return full.union(one).union(part).groupBy("conv_id", "turn").agg(F.max("origin").alias("reply_to"))
 
 
 def threads(links: DataFrame) -> DataFrame:

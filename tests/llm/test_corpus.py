@@ -196,6 +196,12 @@ def test_chat(spark):
     assert deep.depth.tolist() == list(range(20)) and (deep.root == 0).all()
 
 
+def test_chat_counts_all_messages_with_a_line(spark):
+    rows = [(1, 1, "Hi all\nBest, A"), (1, 2, "Hi all\nno"), (1, 5, "Hi all\nBudget is 5\nand more\nBest, A"), (1, 6, "> Hi all\n> Budget is 5\nok"), (1, 7, "> Hi all\n> Hi all\n> Best, A\n> Budget is 5\nok"), (1, 8, "> Hi all\nhi")]
+    got = {r.turn: (r.reply_to, r.root, r.depth) for r in chat.formatted(spark.createDataFrame([(c, t, "user", x) for c, t, x in rows], "conv_id long, turn long, role string, text string")).collect()}
+    assert got == {1: (None, 1, 0), 2: (None, 2, 0), 5: (None, 5, 0), 6: (5, 5, 1), 7: (5, 5, 1), 8: (1, 1, 1)}
+
+
 def test_pipeline_against_stages_by_hand(spark, sf_dir):
     import corpus_pipeline
 
