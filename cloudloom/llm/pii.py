@@ -33,7 +33,7 @@ BASE = {
 #: What a text must contain to be matched at all.
 NEEDED = {"email": r"@[A-Za-z0-9-]", "ip": r"[0-9]\.[0-9]++\.[0-9]++\.[0-9]", "card": r"[0-9](?:[\x20-]?[0-9]){15}", "phone": r"\+[0-9]"}
 GENERATED = {
-    "secret": r"(?i)(?<![a-z0-9])(?:[a-z0-9]++[_-])*+(?:token|secret|apikey|key|password|passwd|pwd|credential|auth)s?\s{0,3}[=:]\s{0,3}[\"']?[^\s\"',;<>]{4,128}[\"']?",
+    "secret": r"(?i)(?<![a-z0-9])(?:[a-z0-9]++[_-])*+(?:token|secret|apikey|key|password|passwd|pwd|credential|auth)s?\s{0,3}[=:]\s{0,3}[\"']?[^\s\"',;<>]{4,}+[\"']?",
     "address": r"(?i)(?<![a-z0-9._%+-])[a-z0-9._%+-]{1,64}+\s{0,3}[\[(]?\s{0,3}(?:\bat\b|@)\s{0,3}[\])]?\s{0,3}[a-z0-9-]{1,63}+\s{0,3}[\[(]?\s{0,3}(?:\bdot\b)\s{0,3}[\])]?\s{0,3}[a-z]{2,24}",
     "number": r"(?<![0-9])[0-9](?:[\x20.-]?[0-9]){8,40}+",
     "group": r"(?<![0-9])[(]?[0-9]{2,4}[)]?[\x20.-][0-9]{2,4}[\x20.-][0-9]{2,6}(?![0-9])",
@@ -119,7 +119,8 @@ def examples(kind: str, n: int = 600, seed: int = 11) -> tuple[list[tuple[str, s
         if kind == "secret":
             name, mark = r.choice(["token", "secret", "api_key", "password", "auth"]), r.choice([" = ", "=", ": "])
             q = r.choice(['"', '"', "'", ""])
-            value = r.choice([hexed(r.randint(16, 64)), mixed(r.randint(12, 60)), w(4) + d(4)]) if good else w(r.randint(4, 12))
+            long = r.choice([mixed(r.randint(100, 1500)), hexed(r.randint(100, 1500)), ".".join(mixed(r.randint(30, 600)) for _ in range(3))]) + r.choice(["", "", "=", "=="])
+            value = r.choice([hexed(r.randint(16, 64)), mixed(r.randint(12, 60)), w(4) + d(4), long]) if good else w(r.randint(4, 12))
             match = f"{name}{mark}{q}{value}{q}" if good else f"{name}: {value}"
         elif kind == "address":
             host, end = w(r.randint(3, 9)), r.choice(["com", "org", "net", "io"])

@@ -138,6 +138,16 @@ def test_pii_redaction_and_trees(spark):
         assert ((pii.model(kind).probability(x) >= pii.THRESHOLD[kind]) == np.array(labels)).mean() > 0.95
 
 
+@pytest.mark.parametrize("n", [100, 129, 300, 1000, 20000])
+def test_pii_covers_the_whole_of_a_long_secret(spark, n):
+    r = random.Random(n)
+    mixed = "".join(r.choice("ABCDEFGHJKabcdefghijk0123456789_-") for _ in range(n))
+    values = [mixed, f"{mixed[: n // 3]}.{mixed[n // 3 : n // 2]}.{mixed[n // 2 :]}", mixed + "=="]
+    texts = [f"the token = {v} was used" for v in values] + [f'api_key: "{v}", and' for v in values]
+    out = [row.text for row in pii.redacted(docs(spark, texts)).orderBy("doc_id").collect()]
+    assert out == ["the [SECRET] was used"] * 3 + ["[SECRET], and"] * 3
+
+
 def test_word_ids_are_those_of_the_library_for_either_case():
     path, r = public_tokenizers.path("word_bpe_49k.json"), random.Random(3)
     words, whole = packing.WordIds(path, 1), Tokenizer.from_file(path)
