@@ -54,6 +54,10 @@ def codewords(k: int, seed: int = 7) -> np.ndarray:
     return best
 
 
+def lettered(text: str | None) -> bool:
+    return any(map(str.isalpha, text or ""))
+
+
 @dataclass
 class Model:
     langs: list[str]
@@ -68,7 +72,7 @@ class Model:
         return np.stack([(np.logaddexp(0, -c * f) * self.trust).sum(1) for c in self.code], 1)
 
     def decide(self, text: str | None) -> tuple[str, float, bool]:
-        if not self.langs or not text or not any(map(str.isalpha, text)):
+        if not self.langs or not lettered(text):
             return UNDETERMINED, 0.0, True
         loss = self.losses(features(text)[None])[0]
         best = int(np.argmin(loss))
@@ -135,14 +139,15 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def accepted(docs: DataFrame, model: Model) -> DataFrame:
-    """The rows of docs whose text has a language, all columns as they were; only `und` texts go."""
+    """The rows of docs whose text is not `und`, all columns as they were. With no language to decide for, only texts that are null or have no letter go."""
     sent, names = docs.sparkSession.sparkContext.broadcast(model), docs.columns
     at = names.index("text")
 
     def run(batches):
         m = sent.value
+        keeps = (lambda t: m.decide(t)[0] != UNDETERMINED) if m.langs else lettered
         for batch in slices(batches):
-            yield batch.filter(pa.array([m.decide(t)[0] != UNDETERMINED for t in batch.column(at).to_pylist()], pa.bool_()))
+            yield batch.filter(pa.array([keeps(t) for t in batch.column(at).to_pylist()], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
 

@@ -78,6 +78,17 @@ def test_language(spark, real):
     assert [r.doc_id for r in kept.collect()] == [2] and kept.columns == ["doc_id", "text", "lang"]
 
 
+def test_language_stage_keeps_texts_when_there_is_nothing_to_learn_from(spark):
+    import corpus_pipeline
+
+    texts = [None, "", "12 34", "the and of", "é"]
+    held = next(k for k in range(99) if zlib.crc32(str(k).encode()) % 5 == 0)
+    unlabelled = docs(spark, texts, lang=[None] * 5)
+    assert sorted(r.doc_id for r in corpus_pipeline.language_id(spark, unlabelled, "").collect()) == [3, 4]
+    one = spark.createDataFrame([(held, "a clean document", "en")], "doc_id long, text string, lang string")
+    assert corpus_pipeline.language_id(spark, one, "").count() == 1
+
+
 @pytest.mark.parametrize("k", [2, 3, 4, 7, 12])
 def test_codewords(k):
     code = language.codewords(k)
