@@ -4,8 +4,8 @@ Markup is stripped into lines, one for each stretch between block-level tags; li
 notices, adverts, forms, scripts, styles and comments have length 0, and a line that is mostly links counts only its other text.
 The lengths are summed over sliding windows of WINDOW lines. Where the sum surges from 0 a block begins, where it dives to 0 it
 ends; the block with the most text is the core. The text between is kept whole, and so is every other line of the innermost
-article or main element that holds the core (without one: of the innermost element that holds it), so that short paragraphs at
-the ends stay. A null html counts as empty; a page with no text gives an empty text.
+article or main element that holds the core (without one: of the innermost element that holds it, or of its parent if that
+holds the whole of another block), so that short paragraphs at the ends and parts after a break stay. A null html counts as empty; a page with no text gives an empty text.
 """
 
 from __future__ import annotations
@@ -121,9 +121,9 @@ def lines_of(html: str) -> list[tuple[str, int, tuple[int, ...], bool]]:
     return lines
 
 
-def core(lengths: list[int], window: int = WINDOW) -> tuple[int, int]:
-    """First and last line of the block with the most text; the window sum surges at its first line and has dived after its last."""
-    best, most, begin, total = (0, -1), 0, None, 0
+def blocks(lengths: list[int], window: int = WINDOW) -> list[tuple[int, int, int]]:
+    """Text, first and last line of each block; the window sum surges at its first line and has dived after its last."""
+    found, begin, total = [], None, 0
     padded = [*lengths, *[0] * window]
     block = 0
     for i in range(len(padded)):
@@ -133,31 +133,53 @@ def core(lengths: list[int], window: int = WINDOW) -> tuple[int, int]:
         if begin is not None:
             total += padded[i]
             if block == 0:
-                if total > most:
-                    best, most = (begin, i - window), total
+                found.append((total, begin, i - window))
                 begin = None
-    if begin is not None and total > most:
-        best = (begin, len(lengths) - 1)
-    return best
+    if begin is not None:
+        found.append((total, begin, len(lengths) - 1))
+    return found
 
 
-def main_text(html: str | None) -> str:
-    lines = lines_of(html or "")
-    first, last = core([0 if out else n for _, n, _, out in lines])
-    if last < first:
-        return ""
-    held = [path for (_, n, path, out) in lines[first : last + 1] if not out and n]
-    common = list(held[0])
-    for path in held[1:]:
+def core(lengths: list[int], window: int = WINDOW) -> tuple[int, int]:
+    """First and last line of the first of the blocks with the most text."""
+    return max(blocks(lengths, window), key=lambda b: b[0], default=(0, 0, -1))[1:]
+
+
+def shared(paths: list[tuple[int, ...]]) -> list[int]:
+    """The open elements that all paths begin with."""
+    common = list(paths[0])
+    for path in paths[1:]:
         k = 0
         while k < min(len(common), len(path)) and common[k] == path[k]:
             k += 1
         common = common[:k]
+    return common
+
+
+def main_text(html: str | None) -> str:
+    lines = lines_of(html or "")
+    lengths = [0 if out else n for _, n, _, out in lines]
+    first, last = core(lengths)
+    if last < first:
+        return ""
+
+    def held_by(a: int, b: int) -> list[tuple[int, ...]]:
+        return [path for (_, n, path, out) in lines[a : b + 1] if not out and n]
+
+    held = held_by(first, last)
+    common = shared(held)
     articles = [k for k, n in enumerate(common) if n < 0]
     if articles:
         common = common[: articles[-1] + 1]
     elif len(held) == 1 and common:
         common = common[:-1]  # a lone paragraph: what its parent holds
+    if not articles and common:  # a break in the text: what the parent holds, if it holds another block
+        parent = common[:-1]
+        for _, a, b in blocks(lengths):
+            other = shared(held_by(a, b)) if a != first else common
+            if other[: len(common)] != common and other[: len(parent)] == parent:
+                common = parent
+                break
     prefix = tuple(common)
     return " ".join(t for t, _, path, out in lines if not out and path[: len(prefix)] == prefix)
 

@@ -114,6 +114,17 @@ def test_html_cases(page, text):
     assert html.main_text(page) == text
 
 
+@pytest.mark.parametrize("lines", [1, 2, 3, 5])
+@pytest.mark.parametrize("part", ["{}", "<p>{}</p><p>{} more</p>"])
+def test_html_joins_parts_around_a_break(lines, part):
+    """Adverts of any number of lines between the parts of a page without article or main."""
+    first, second = part.format("A long first text.", "And the first"), part.format("The second part.", "And the second")
+    advert = "<div class='ad'>" + "<p>x</p>" * lines + "</div>"
+    want = " ".join(re.sub("<[^>]*>", " ", first + " " + second).split())
+    assert html.main_text(f"<html><body><nav><p>a</p></nav><div><div>{first}</div>{advert}<div>{second}</div></div></body></html>") == want
+    assert html.main_text(f"<body><div><div>{first}</div>{advert}<section><div>{second}</div></section></div><footer>end</footer></body>") == want
+
+
 def luhn(d):
     return sum((int(c) * 2 - 9 * (int(c) > 4)) if i % 2 else int(c) for i, c in enumerate(reversed(d))) % 10 == 0
 
