@@ -7,7 +7,6 @@ Special tokens that stand in a text become their ids, as the library does unless
 
 from __future__ import annotations
 
-import functools
 import hashlib
 import json
 import re
@@ -17,7 +16,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from cloudloom.llm.common import slices, table
+from cloudloom.llm.common import held, mapped, slices, table
 
 #: Unicode's White_Space characters, and the splitting pattern of the vocabulary.
 SPACE = "\t-\r \x85\xa0  -     　"
@@ -147,10 +146,9 @@ class ByteBPE:
         return b"".join(map(self.strings.__getitem__, ids)).decode("utf-8", "replace")
 
 
-@functools.cache
 def encoder(path: str) -> ByteBPE:
     """One for each Python worker; later tasks find its dictionaries filled."""
-    return ByteBPE(path)
+    return held(f"byte bpe {path}", lambda: ByteBPE(path))
 
 
 def encoded(df: DataFrame, path: str, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
@@ -164,7 +162,7 @@ def encoded(df: DataFrame, path: str, text: str = "text", keep: tuple[str, ...]
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(ids, pa.list_(pa.int32())), pa.array([bpe.decode(x) for x in ids], pa.string())], [*keep, "ids", "decoded"])
 
     kept = [f"{c} {t}" for c, t in picked.dtypes[: len(keep)]]
-    return picked.mapInArrow(run, ", ".join([*kept, "ids array<int>", "decoded string"]))
+    return mapped(picked, run, ", ".join([*kept, "ids array<int>", "decoded string"]))
 
 
 def digests(df: DataFrame, path: str, text: str = "text") -> DataFrame:
@@ -180,7 +178,7 @@ def digests(df: DataFrame, path: str, text: str = "text") -> DataFrame:
             n, a, b = zip(*rows, strict=True)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(a), pa.array(b)], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return df.select("doc_id", text).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return mapped(df.select("doc_id", text), run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def query(spark, sf_dir: str) -> DataFrame:

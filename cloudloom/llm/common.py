@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 _own: dict[str, str] = {}
@@ -57,3 +59,29 @@ def slices(batches, size: int = 256):
     for batch in batches:
         for at in range(0, batch.num_rows, size):
             yield batch.slice(at, size)
+    pa.default_memory_pool().release_unused()
+
+
+#: Bounds of the Arrow batches that are sent to Python workers.
+BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": 2048, "spark.sql.execution.arrow.maxBytesPerBatch": 4 << 20}
+
+
+def mapped(df: DataFrame, run, schema) -> DataFrame:
+    """df.mapInArrow in batches of bounded bytes. Spark takes the bounds from the session when the plan runs, so they stay set there; bounds that the user has set are left as they are."""
+    for k, most in BATCH.items():
+        if df.sparkSession.conf.get(k, None) is None:
+            df.sparkSession.conf.set(k, str(most))
+    return df.mapInArrow(run, schema)
+
+
+_held: dict[str, object] = {}
+
+
+def held(name: str, make):
+    """What a Python worker keeps from task to task, of one operator at a time: workers outlive a query, so what the one before kept is let go."""
+    if name not in _held:
+        _held.clear()
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        _held[name] = make()
+    return _held[name]

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-import functools
-
 import numpy as np
 import xxhash
 
-KEPT_WORDS = 300_000
+from cloudloom.llm.common import held
+
+KEPT_WORDS = 100_000
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -17,13 +17,8 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-@functools.cache
-def _known() -> dict[str, int]:
-    return {}
-
-
 def word_hashes(words: list[str]) -> np.ndarray:
-    known = _known()
+    known = held("word hashes", dict)
     if len(known) > KEPT_WORDS:
         known.clear()
     try:

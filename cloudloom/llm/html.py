@@ -16,7 +16,7 @@ from html import unescape
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from cloudloom.llm.common import slices, table
+from cloudloom.llm.common import mapped, slices, table
 
 WINDOW = 3
 #: Fixed values of HTML.
@@ -192,7 +192,7 @@ def extracted(pages: DataFrame) -> DataFrame:
             texts = [main_text(h) for h in batch.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array(list(map(len, texts)), pa.int64())], ["page_id", "url", "text", "n_chars"])
 
-    return pages.select("page_id", "url", "html").mapInArrow(run, "page_id long, url string, text string, n_chars long")
+    return mapped(pages.select("page_id", "url", "html"), run, "page_id long, url string, text string, n_chars long")
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cloudloom.llm.common import slices, table
+from cloudloom.llm.common import mapped, slices, table
 
 SAMPLE, CELLS, MARGIN, STEPS = 3000, 4096, 0.05, 80
 UNDETERMINED = "und"
@@ -120,7 +120,7 @@ def train(docs: DataFrame, sample: int = SAMPLE) -> Model:
             x = [features(t).astype(np.float16).tobytes() for t in batch.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(x, pa.binary())], ["doc_id", "lang", "x"])
 
-    got = chosen.select("doc_id", "lang", "text").mapInArrow(run, "doc_id long, lang string, x binary").toPandas().sort_values(["doc_id", "lang"], kind="stable")
+    got = mapped(chosen.select("doc_id", "lang", "text"), run, "doc_id long, lang string, x binary").toPandas().sort_values(["doc_id", "lang"], kind="stable")
     x = np.stack([np.frombuffer(v, np.float16) for v in got["x"]]).astype(np.float32) if len(got) else np.zeros((0, CELLS), np.float32)
     return fit(x, got["lang"].tolist())
 
@@ -135,7 +135,7 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
             lang, score, unsure = zip(*[m.decide(t) for t in batch.column(1).to_pylist()], strict=True)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(lang), pa.array(score), pa.array(unsure)], ["doc_id", "lang_pred", "score", "ambiguous"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, lang_pred string, score double, ambiguous boolean")
+    return mapped(docs.select("doc_id", "text"), run, "doc_id long, lang_pred string, score double, ambiguous boolean")
 
 
 def accepted(docs: DataFrame, model: Model) -> DataFrame:
@@ -149,7 +149,7 @@ def accepted(docs: DataFrame, model: Model) -> DataFrame:
         for batch in slices(batches):
             yield batch.filter(pa.array([keeps(t) for t in batch.column(at).to_pylist()], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return mapped(docs, run, docs.schema)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

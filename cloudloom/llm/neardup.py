@@ -29,7 +29,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cloudloom.llm.common import cut, slices, table
+from cloudloom.llm.common import cut, mapped, slices, table
 from cloudloom.llm.components import components
 from cloudloom.llm.hashing import mix, word_hashes
 
@@ -134,7 +134,7 @@ def signatures(docs: DataFrame) -> DataFrame:
                 bands.append(band_values(bagminhash(bag, counts, BANDS * ROWS)))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys, pa.binary()), pa.array(bands, pa.list_(pa.int64()))], ["doc_id", "key", "bands"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, key binary, bands array<long>")
+    return mapped(docs.select(F.col("doc_id").cast("long"), "text"), run, "doc_id long, key binary, bands array<long>")
 
 
 def _bags(docs: DataFrame, ids: DataFrame, keys: DataFrame) -> DataFrame:
@@ -151,8 +151,9 @@ def _bags(docs: DataFrame, ids: DataFrame, keys: DataFrame) -> DataFrame:
             words = [words_of(codec.decompress(t).decode()) for t in batch.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array(map(key_of, words), pa.binary()), pa.array([elements(w).view(np.int64) for w in words], pa.list_(pa.int64()))], ["key", "bag"])
 
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null and text is not null").mapInArrow(packed, "doc_id long, text binary").join(ids, "doc_id", "left_semi").select("text")
-    made = texts.mapInArrow(run, "key binary, bag array<long>").join(keys, "key", "left_semi")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null and text is not null")
+    asked = mapped(texts, packed, "doc_id long, text binary").join(ids, "doc_id", "left_semi").select("text")
+    made = mapped(asked, run, "key binary, bag array<long>").join(keys, "key", "left_semi")
     return made.dropDuplicates(["key"])
 
 
@@ -212,7 +213,7 @@ def _compared(rows: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(found_a, pa.binary()), pa.array(found_b, pa.binary())], ["a", "b"])
 
     rows = rows.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j", F.desc("held"))
-    return rows.select("bucket", "i", "j", "held", "minor", "key", "root", "bands", "bag").mapInArrow(run, "a binary, b binary")
+    return mapped(rows.select("bucket", "i", "j", "held", "minor", "key", "root", "bands", "bag"), run, "a binary, b binary")
 
 
 def _pivot_blocks(found: DataFrame, bags: DataFrame) -> DataFrame:

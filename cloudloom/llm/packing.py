@@ -10,7 +10,6 @@ sequence_id holds the task's partition above bit 32.
 
 from __future__ import annotations
 
-import functools
 import heapq
 import zlib
 from array import array
@@ -20,7 +19,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from cloudloom.llm.common import slices, table
+from cloudloom.llm.common import held, mapped, slices, table
 
 LENGTH, GROUP, KEPT_CHUNKS = 2048, 4_000_000, 600_000
 LINEAR, QUADRATIC = 1.0, 1.0 / LENGTH
@@ -164,10 +163,9 @@ class WordIds:
         return self.many([text])[0]
 
 
-@functools.cache
 def word_ids(path: str, end: int) -> WordIds:
     """One for each Python worker; later tasks find its dictionary filled."""
-    return WordIds(path, end)
+    return held(f"word ids {path} {end}", lambda: WordIds(path, end))
 
 
 def packed(df: DataFrame, path: str, end: int = 1, length: int = LENGTH, text: str = "text", group: int = GROUP) -> DataFrame:
@@ -205,7 +203,7 @@ def packed(df: DataFrame, path: str, end: int = 1, length: int = LENGTH, text: s
         if docs:
             yield flush(True)
 
-    return df.select("doc_id", text).mapInArrow(run, ", ".join(f"{f} long" for f, _ in fields))
+    return mapped(df.select("doc_id", text), run, ", ".join(f"{f} long" for f, _ in fields))
 
 
 def query(spark, sf_dir: str) -> DataFrame:
