@@ -1,34 +1,44 @@
-"""Copies of images by local descriptors: multiscale corners, orientation-normalised binary tests, Hamming tables, consensus.
+"""Copies of images by local descriptors: multiscale corners, orientation-normalised binary tests, Hamming-table joins, consensus.
 
-Corners are all local maxima of the Harris response over RESPONSE at two scales, so their number grows with the image's area. Around each, the direction of the patch's centre of mass turns
-a fixed set of 256 pairs of places, and each pair gives a bit: which place is brighter. The bits are cut into TABLES words of 16
-bits; two descriptors meet if a word of one table differs in at most one bit, and match if they differ in at most NEAR bits. Each match
-states a shift, a turn and a change of scale; matches that state about the same are counted, and an image with INLIERS of them
-is a copy, also if it was cropped or its brightness and contrast edited.
+Corners are all local maxima of the Harris response over RESPONSE at two scales, so their number grows with the image's area.
+Around each, the direction of the patch's centre of mass turns a fixed set of 256 pairs of places, and each pair gives a bit:
+which place is brighter.
+
+A table's word is some of the 256 bits, as many as the index needs for words to be rare: work grows with the rows, not with
+queries times index. A query corner looks up its own word and those that differ in up to FLIPS of its UNSURE least certain bits
+(the tests whose two places are least apart in brightness). Words are dealt to cells by their first bits; a cell with many query
+corners is cut into blocks, its index corners into as many parts, and in a task a block is held while index corners stream past
+it. Corners that meet and differ in at most NEAR bits vote for a shift, a turn and a change of scale; a pair of images with
+CANDIDATE votes that agree is then compared exactly: all its pairs of corners within NEAR bits vote, and with INLIERS that agree
+the one is a copy of the other, also if it was cropped or its brightness and contrast edited.
 
 Images of equal content are one class and are described once; results hold pairs of classes' representatives and membership.
-Null or empty pixels, or a size that does not
-fit the pixels, have no corners: such a row is a class that matches nothing. Rows are grouped by content, so repeated rows
-are members of one class; null ids are members too.
+Null or empty pixels, or a size that does not fit the pixels, have no corners: such a row is a class that matches nothing. Rows
+are grouped by content, so repeated rows are members of one class; null ids are members too. An image of any size is described
+whole. An empty table gives no rows. Extra columns are not read. Of ties in inliers both pairs stand.
 """
 
 from __future__ import annotations
 
 import functools
+import itertools
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cloudloom.llm.common import cut, slices, table
+from cloudloom.llm.common import cut, dropped, mapped, slices, table
 
-SCALES, RESPONSE, TABLES, NEAR, INLIERS, PATCH = 2, 1, 16, 48, 3, 15
+SCALES, RESPONSE, NEAR, CANDIDATE, INLIERS, PATCH = 2, 1, 48, 2, 3, 15
 TURNS = 30
+UNSURE, FLIPS = 10, 3
 #: Places fall into bins of so many pixels of shift; each vote goes to the four nearest bins.
 SHIFT = 8
-#: Bytes of corners in a block, pairs of descriptors that are compared at once, and pixels that are described at once.
-BLOCK, STEP, PIXELS = 4_000_000, 200_000, 1 << 20
+#: Corners of a cell and of a block of queries, pairs of descriptors that are compared at once, and pixels that are described at once.
+CELL, BLOCK, STEP, PIXELS = 1 << 15, 1 << 15, 200_000, 1 << 20
+#: Bits of a word that name its cell, at most: the sizes of so many cells for each table are what the driver holds and sends.
+CELL_BITS = 16
 
 
 def box(x: np.ndarray, r: int) -> np.ndarray:
@@ -61,8 +71,14 @@ def tests(seed: int = 5) -> np.ndarray:
     return np.rint(np.stack([sin * x + cos * y, cos * x - sin * y], -1)).astype(int)
 
 
-def describe(images: np.ndarray) -> list[tuple[np.ndarray, ...]]:
-    """For a stack of grey images of one size: image, x, y, turn, scale (0, 1), bits (uint8, 32) of all corners."""
+@functools.cache
+def places(table_: int, size: int) -> np.ndarray:
+    """The tests whose bits are a table's word."""
+    return np.random.default_rng(100 + table_).permutation(256)[:size]
+
+
+def describe(images: np.ndarray, tables: int = 0, size: int = 0) -> list[tuple[np.ndarray, ...]]:
+    """For a stack of grey images of one size: image, x, y, turn, scale (0, 1), bits (uint8, 32) of all corners; and for each of the tables the least certain bits of its word."""
     out = []
     for scale in range(SCALES):
         x = images.astype(np.float32)
@@ -81,7 +97,7 @@ def describe(images: np.ndarray) -> list[tuple[np.ndarray, ...]]:
         py, px = row + edge, column + edge
         smooth = np.pad(box(x, 1) / 9, ((0, 0), (PATCH, PATCH), (PATCH, PATCH)), mode="edge")
         span = np.arange(-7, 8)
-        turns, every = [np.zeros(0, int)], [np.zeros((0, 32), np.uint8)]
+        turns, every, doubt = [np.zeros(0, int)], [np.zeros((0, 32), np.uint8)], [np.zeros((0, tables, UNSURE), np.uint8)]
         for at in range(0, len(image), 4096):
             i, y, x = (v[at : at + 4096, None, None] for v in (image, py + PATCH, px + PATCH))
             patch = smooth[i, y + span[:, None], x + span]
@@ -90,22 +106,30 @@ def describe(images: np.ndarray) -> list[tuple[np.ndarray, ...]]:
             o = tests()[turns[-1]]
             values = smooth[i, y + o[..., 0], x + o[..., 1]]
             every.append(np.packbits(values[..., 0] < values[..., 1], axis=1))
-        turn, bits = np.concatenate(turns), np.concatenate(every)
+            if tables:
+                apart = np.abs(values[..., 0] - values[..., 1])
+                doubt.append(np.stack([np.argsort(apart[:, places(t, size)], 1, kind="stable")[:, :UNSURE] for t in range(tables)], 1).astype(np.uint8))
         f = 1 << scale
-        out.append((image, px * f, py * f, turn, np.full(len(image), scale), bits))
+        out.append((image, px * f, py * f, np.concatenate(turns), np.full(len(image), scale), np.concatenate(every), np.concatenate(doubt)))
     return out
 
 
-#: A corner as it is sent: its place, turn, scale and bits.
-CORNER = np.dtype([("x", "<i4"), ("y", "<i4"), ("turn", "<i2"), ("scale", "<i2"), ("bits", "<u8", 4)])
+#: A corner: its place, turn, scale and bits.
+CORNER = np.dtype([("x", "<i4"), ("y", "<i4"), ("turn", "u1"), ("scale", "u1"), ("bits", "u1", 32)])
 
 
-def descriptors(images: DataFrame) -> DataFrame:
-    """id and corners (packed CORNERs) of each image that has any; images: id, width, height, pixels (grey bytes by row)."""
+def asking(tables: int) -> np.dtype:
+    """A corner of a query, with the least certain bits of its words."""
+    return np.dtype([*CORNER.descr, ("doubt", "u1", (tables, UNSURE))])
+
+
+def descriptors(images: DataFrame, tables: int = 0, size: int = 0) -> DataFrame:
+    """id and corners (packed CORNERs, or those of `asking` if there are tables) of each image that has any; images: id, width, height, pixels (grey bytes by row)."""
+    kind = asking(tables) if tables else CORNER
 
     def run(batches):
         for batch in slices(batches, 64):
-            ids, sizes = batch.column(0).to_pylist(), {}
+            ids, sizes = batch.column(0), {}
             for k, (w, h, p) in enumerate(zip(*(batch.column(c).to_pylist() for c in (1, 2, 3)), strict=True)):
                 if p and w and h and len(p) == w * h:
                     sizes.setdefault((h, w), []).append((k, p))
@@ -113,45 +137,214 @@ def descriptors(images: DataFrame) -> DataFrame:
                 together = max(1, PIXELS // (w * h))
                 for k in range(0, len(some), together):
                     part = some[k : k + together]
-                    found = describe(np.stack([np.frombuffer(p, np.uint8).reshape(h, w) for _, p in part]))
+                    found = describe(np.stack([np.frombuffer(p, np.uint8).reshape(h, w) for _, p in part]), tables, size)
                     if not found:
                         continue
-                    image, x, y, turn, scale, bits = map(np.concatenate, zip(*found, strict=True))
-                    corners = np.zeros(len(image), CORNER)
-                    corners["x"], corners["y"], corners["turn"], corners["scale"], corners["bits"] = x, y, turn, scale, np.ascontiguousarray(bits).view("<u8")
+                    image, x, y, turn, scale, bits, doubt = map(np.concatenate, zip(*found, strict=True))
+                    corners = np.zeros(len(image), kind)
+                    corners["x"], corners["y"], corners["turn"], corners["scale"], corners["bits"] = x, y, turn, scale, bits
+                    if tables:
+                        corners["doubt"] = doubt
                     order = np.argsort(image, kind="stable")
                     at, starts = np.unique(image[order], return_index=True)
                     parts = np.split(corners[order], starts[1:]) if len(at) else []
-                    yield pa.RecordBatch.from_arrays([pa.array([ids[part[i][0]] for i in at], pa.string()), pa.array([c.tobytes() for c in parts], pa.binary())], ["id", "corners"])
+                    yield pa.RecordBatch.from_arrays([ids.take(pa.array([part[i][0] for i in at], pa.int64())), pa.array([c.tobytes() for c in parts], pa.binary())], ["id", "corners"])
 
-    return images.select(F.col("id").cast("string"), "width", "height", "pixels").mapInArrow(run, "id string, corners binary")
+    kept = dict(images.dtypes)["id"]
+    return mapped(images.select("id", "width", "height", "pixels"), run, f"id {kept}, corners binary")
 
 
 def near_pairs(queries: np.ndarray, index: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Numbers of queries and of index whose bits (uint64, 4 each) differ in at most NEAR and that meet: in a table, a query looks at its own word and at those one bit away."""
-    q, d, met = queries.view(np.uint16).reshape(len(queries), -1), index.view(np.uint16).reshape(len(index), -1), []
-    for table_ in range(TABLES):
-        order = np.argsort(d[:, table_], kind="stable")
-        begins = np.concatenate([[0], np.cumsum(np.bincount(d[:, table_], minlength=1 << 16))])
-        for probe in (0, *(1 << k for k in range(16))):
-            words = (q[:, table_] ^ np.uint16(probe)).astype(np.int64)
-            first, n = begins[words], begins[words + 1] - begins[words]
-            ends = np.cumsum(n)
-            steps = [0, *(np.flatnonzero(np.diff(ends // STEP)) + 1), len(q)]
-            for a, b in zip(steps[:-1], steps[1:], strict=True):
-                if not (total := int(n[a:b].sum())):
-                    continue
-                who = np.repeat(np.arange(a, b), n[a:b])
-                whom = order[np.arange(total) + np.repeat(first[a:b] - (ends[a:b] - n[a:b] - (ends[a - 1] if a else 0)), n[a:b])]
-                apart = np.bitwise_count(queries[who] ^ index[whom]).sum(1, dtype=np.int32)
-                good = apart <= NEAR
-                met.append(who[good] * len(index) + whom[good])
-    pairs = np.unique(np.concatenate(met)) if met else np.zeros(0, np.int64)
-    return pairs // max(1, len(index)), pairs % max(1, len(index))
+    """Numbers of queries and of index whose bits (uint64, 4 each) differ in at most NEAR: all are compared."""
+    found, rows = [], max(1, STEP // max(1, len(index)))
+    for at in range(0, len(queries), rows):
+        apart = sum(np.bitwise_count(queries[at : at + rows, None, k] ^ index[None, :, k]).astype(np.int16) for k in range(4))
+        i, j = np.nonzero(apart <= NEAR)
+        found.append((i + at, j))
+    if not found:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    return np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
+
+
+def word_size(corners: int) -> int:
+    """Bits of a word for an index of so many corners, so that a word has a few of them."""
+    return min(max(int(corners).bit_length() - 1, 12), 48)
+
+
+def tables_for(size: int) -> int:
+    """One table for words of up to 24 bits; longer words differ more often, so there are more tables."""
+    return 1 + max(0, size - 24) // 3
+
+
+def words(bits: np.ndarray, table_: int, size: int) -> np.ndarray:
+    on = np.unpackbits(bits, axis=1)[:, places(table_, size)]
+    return on.astype(np.uint64) @ (np.uint64(1) << np.arange(size, dtype=np.uint64))
+
+
+@functools.cache
+def flips() -> np.ndarray:
+    """Which of the UNSURE bits each probe flips."""
+    return np.array([[k in c for c in itertools.chain.from_iterable(itertools.combinations(range(UNSURE), n) for n in range(FLIPS + 1))] for k in range(UNSURE)], np.uint64)
+
+
+def probes(word: np.ndarray, doubt: np.ndarray) -> np.ndarray:
+    """The words that each query corner looks up."""
+    return word[:, None] ^ ((np.uint64(1) << doubt.astype(np.uint64)) @ flips())
+
+
+def squeezed(x: np.ndarray) -> bytes:
+    """Records by planes of bytes, compressed."""
+    return pa.compress(np.ascontiguousarray(x.view(np.uint8).reshape(len(x), -1).T).tobytes(), "zstd", asbytes=True)
+
+
+def loosened(b: bytes, n: int, kind: np.dtype) -> np.ndarray:
+    planes = np.frombuffer(pa.decompress(b, n * kind.itemsize, "zstd", asbytes=True), np.uint8)
+    return np.ascontiguousarray(planes.reshape(kind.itemsize, n).T).reshape(-1).view(kind)
+
+
+def numbered(kind: np.dtype) -> np.dtype:
+    return np.dtype([("image", "<i8"), ("word", "<u8"), *kind.descr])
+
 
+DEALT = "table int, cell long, block int, part int, held boolean, n int, corners binary"
 
-def agreeing(q: np.ndarray, q_image: np.ndarray, d: np.ndarray, d_image: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Images of q and d with INLIERS places or more that agree on scale, turn and shift, and how many; q and d: corners that match.
+
+def unpacked(batch: pa.RecordBatch, kind: np.dtype) -> np.ndarray:
+    """The corners of all images of a batch (id, corners), numbered."""
+    blobs = batch.column(1).to_pylist()
+    sizes = [len(b) // kind.itemsize for b in blobs]
+    out = np.zeros(sum(sizes), numbered(kind))
+    flat = np.frombuffer(b"".join(blobs), kind)
+    for name in kind.names:
+        out[name] = flat[name]
+    out["image"] = np.repeat(batch.column(0).to_numpy(zero_copy_only=False), sizes)
+    return out
+
+
+def in_rows(keys: list[np.ndarray], corners: np.ndarray, table_: int, is_held: bool) -> pa.RecordBatch:
+    """A row for each different (cell, block, part) with its corners."""
+    order = np.lexsort(keys[::-1])
+    keys, corners = [k[order] for k in keys], corners[order]
+    new = np.concatenate([[True], np.any([k[1:] != k[:-1] for k in keys], axis=0)]) if len(corners) else np.zeros(0, bool)
+    starts = np.flatnonzero(new)
+    ends = [*starts[1:], len(corners)]
+    cell, block, part = (k[starts] for k in keys)
+    blobs = [squeezed(corners[a:b]) for a, b in zip(starts, ends, strict=False)]
+    n = np.diff([*starts, len(corners)]) if len(starts) else starts
+    columns = [pa.array(np.full(len(starts), table_), pa.int32()), pa.array(cell, pa.int64()), pa.array(block, pa.int32()), pa.array(part, pa.int32()), pa.array(np.full(len(starts), is_held)), pa.array(n, pa.int32()), pa.array(blobs, pa.binary())]
+    return pa.RecordBatch.from_arrays(columns, ["table", "cell", "block", "part", "held", "n", "corners"])
+
+
+def dealt_queries(asked: DataFrame, tables: int, size: int, cell_bits: int) -> DataFrame:
+    """Rows of DEALT: each query corner once for each cell that it looks into; one block of a cell for each batch of images, as yet."""
+    kind, shift = asking(tables), np.uint64(size - cell_bits)
+
+    def run(batches):
+        for batch in slices(batches):
+            corners = unpacked(batch, kind)
+            for t in range(tables):
+                corners["word"] = words(corners["bits"], t, size)
+                cells = probes(corners["word"], corners["doubt"][:, t]) >> shift
+                cells.sort(1)
+                first = np.concatenate([np.ones((len(cells), 1), bool), cells[:, 1:] != cells[:, :-1]], 1)
+                who, at = np.nonzero(first)
+                zero = np.zeros(len(who), np.int64)
+                yield in_rows([cells[who, at].astype(np.int64), zero, zero], corners[who], t, True)
+
+    return mapped(asked, run, DEALT)
+
+
+def dealt_index(index: DataFrame, size: int, cell_bits: int, blocks: dict[tuple[int, int], int]) -> DataFrame:
+    """Rows of DEALT: the corners of cells that a query looks into, in one of as many parts as the cell has blocks of queries, for each of these blocks."""
+    shift, sent, tables = np.uint64(size - cell_bits), index.sparkSession.sparkContext.broadcast(blocks), tables_for(size)
+
+    def run(batches):
+        n_blocks = np.zeros((tables, 1 << cell_bits), np.int32)
+        for (t, cell), n in sent.value.items():
+            n_blocks[t, cell] = n
+        for batch in slices(batches):
+            corners = unpacked(batch, CORNER)
+            for t in range(tables):
+                corners["word"] = words(corners["bits"], t, size)
+                cell = (corners["word"] >> shift).astype(np.int64)
+                n = n_blocks[t, cell]
+                who = np.repeat(np.arange(len(corners)), n)
+                block = np.arange(len(who)) - np.repeat(np.cumsum(n) - n, n)
+                part = (corners["image"][who] * 0x9E3779B1 >> 16) % np.maximum(n[who], 1)
+                yield in_rows([cell[who], block, part], corners[who], t, False)
+
+    return mapped(index, run, DEALT)
+
+
+def blocked(asked: DataFrame) -> tuple[DataFrame, dict[tuple[int, int], int]]:
+    """The rows of `dealt_queries` in blocks of about BLOCK corners, for each part of their cell; and the number of blocks of each cell, of which there are at most 2^CELL_BITS for each table."""
+    sizes = {(r["table"], r.cell): max(1, -(-r.n // BLOCK)) for r in asked.groupBy("table", "cell").agg(F.sum("n").alias("n")).collect()}
+    many = [(t, c, n) for (t, c), n in sizes.items() if n > 1]
+    if not many:
+        return asked, sizes
+    n = F.coalesce("blocks", F.lit(1))
+    rows = asked.join(F.broadcast(asked.sparkSession.createDataFrame(many, "table int, cell long, blocks int")), ["table", "cell"], "left")
+    block = F.pmod(F.xxhash64("corners"), n).cast("int")
+    rows = rows.withColumn("block", block).withColumn("part", F.explode(F.sequence(F.lit(0), n - 1)))
+    return rows.select(asked.columns), sizes
+
+
+def met(rows: DataFrame, tables: int) -> DataFrame:
+    """query, found, and the poses q and d of corners that meet in a cell and differ in at most NEAR bits."""
+    asks, index = numbered(asking(tables)), numbered(CORNER)
+
+    def pose(c: np.ndarray) -> np.ndarray:
+        return (c["x"].astype(np.int64) << 40) | (c["y"].astype(np.int64) << 16) | (c["turn"].astype(np.int64) << 8) | c["scale"]
+
+    def compared(block: tuple, d: np.ndarray) -> pa.RecordBatch:
+        q, q_bits, looked_up, owner = block
+        d_bits = np.ascontiguousarray(d["bits"]).view("<u8")
+        first, last = (np.searchsorted(looked_up, d["word"], side=s) for s in ("left", "right"))
+        n = last - first
+        ends, out = np.cumsum(n), []
+        steps = [0, *(np.flatnonzero(np.diff(ends // STEP)) + 1), len(d)]
+        for a, b in zip(steps[:-1], steps[1:], strict=True):
+            total = int(n[a:b].sum())
+            whom = np.repeat(np.arange(a, b), n[a:b])
+            who = owner[np.arange(total) + np.repeat(first[a:b] - (ends[a:b] - n[a:b] - (ends[a - 1] if a else 0)), n[a:b])]
+            good = np.bitwise_count(q_bits[who] ^ d_bits[whom]).sum(1, dtype=np.int32) <= NEAR
+            out.append((who[good], whom[good]))
+        who, whom = (np.concatenate([o[k] for o in out]) for k in (0, 1))
+        return pa.RecordBatch.from_arrays([pa.array(q["image"][who]), pa.array(d["image"][whom]), pa.array(pose(q)[who]), pa.array(pose(d)[whom])], ["query", "found", "q", "d"])
+
+    def run(batches):
+        now, waiting, block, passing = None, [], None, []
+        for batch in slices(batches, 1024):
+            for key, is_held, n, blob in zip(zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True), *(batch.column(k).to_pylist() for k in (4, 5, 6)), strict=True):
+                if key != now:
+                    if block and passing:
+                        yield compared(block, np.concatenate(passing))
+                    now, waiting, block, passing = key, [], None, []
+                if is_held:
+                    waiting.append(loosened(blob, n, asks))
+                    continue
+                if block is None:
+                    if not waiting:
+                        continue
+                    q, waiting = np.concatenate(waiting), []
+                    looked_up = probes(q["word"], q["doubt"][:, key[0]])
+                    owner = np.repeat(np.arange(len(q)), looked_up.shape[1])
+                    looked_up = looked_up.reshape(-1)
+                    order = np.argsort(looked_up, kind="stable")
+                    block = q, np.ascontiguousarray(q["bits"]).view("<u8"), looked_up[order], owner[order]
+                passing.append(loosened(blob, n, index))
+                if sum(map(len, passing)) >= 1 << 14:
+                    yield compared(block, np.concatenate(passing))
+                    passing = []
+        if block and passing:
+            yield compared(block, np.concatenate(passing))
+
+    rows = rows.repartition("table", "cell", "block", "part").sortWithinPartitions("table", "cell", "block", "part", F.desc("held"))
+    return mapped(rows, run, "query long, found long, q long, d long")
+
+
+def agreeing(q: np.ndarray, q_image: np.ndarray, d: np.ndarray, d_image: np.ndarray, least: int = INLIERS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Images of q and d with `least` places or more that agree on scale, turn and shift, and how many; q and d: corners that match.
 
     Bins are of SHIFT in four grids half a bin apart: each bin is two by two cells."""
     scale = q["scale"].astype(np.int64) - d["scale"]
@@ -168,38 +361,66 @@ def agreeing(q: np.ndarray, q_image: np.ndarray, d: np.ndarray, d_image: np.ndar
     bins = votes[:, :7]
     begins = np.flatnonzero(np.concatenate([[True], (bins[1:] != bins[:-1]).any(1)])) if len(bins) else np.zeros(0, np.int64)
     n, images = np.diff([*begins, len(bins)]), bins[begins, :2]
-    images, n = images[n >= INLIERS], n[n >= INLIERS]
+    images, n = images[n >= least], n[n >= least]
     begins = np.flatnonzero(np.concatenate([[True], (images[1:] != images[:-1]).any(1)])) if len(images) else np.zeros(0, np.int64)
     return images[begins, 0], images[begins, 1], np.maximum.reduceat(n, begins) if len(n) else n
 
 
-def matches(queries: DataFrame, index: DataFrame) -> DataFrame:
-    """query, found, inliers: images of index that hold INLIERS consistent matches with a query image; both are descriptors.
+def candidates(votes: DataFrame) -> DataFrame:
+    """query and found of images with CANDIDATE votes that agree. A pair has at most its two images' corners."""
+    pairs = votes.groupBy("query", "found").agg(F.collect_list(F.struct("q", "d")).alias("v")).where(F.size("v") >= CANDIDATE)
+
+    def corners(pose: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(pose), CORNER)
+        out["x"], out["y"], out["turn"], out["scale"] = pose >> 40, pose >> 16 & 0xFFFFFF, pose >> 8 & 255, pose & 255
+        return out
 
-    Images are dealt to blocks of about BLOCK bytes, whole; each block of queries meets each block of index in the block's own tables."""
-    sizes = [t.agg(F.sum(F.length("corners").cast("long"))).first()[0] or 0 for t in (queries, index)]
-    n_q, n_d = (max(1, -(-size // BLOCK)) for size in sizes)
+    def run(batches):
+        for batch in slices(batches, 512):
+            v, sizes = batch.column(2).flatten(), np.diff(batch.column(2).offsets.to_numpy())
+            q, d = (corners(v.field(k).to_numpy(zero_copy_only=False)) for k in (0, 1))
+            row = np.repeat(np.arange(len(sizes)), sizes)
+            good = pa.array(np.unique(agreeing(q, row, d, row, CANDIDATE)[0]), pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(good), batch.column(1).take(good)], ["query", "found"])
+
+    return mapped(pairs, run, "query long, found long")
 
-    def dealt(t: DataFrame, own: str, n: int, other: str, m: int) -> DataFrame:
-        return t.select(F.pmod(F.xxhash64("id"), F.lit(n)).alias(own), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(m - 1).cast("long"))).alias(other), "id", "corners").select("q", "d", "id", "corners")
 
-    def run(asked: pa.Table, held: pa.Table) -> pa.Table:
-        sides = []
-        for t in (asked, held):
-            corners = [np.frombuffer(b, CORNER) for b in t.column("corners").to_pylist()]
-            sides.append((np.concatenate([np.zeros(0, CORNER), *corners]), np.repeat(np.arange(len(corners)), [len(c) for c in corners])))
-        (q, q_image), (d, d_image) = sides
-        i, j = near_pairs(np.ascontiguousarray(q["bits"]), np.ascontiguousarray(d["bits"]))
-        n_images = max(1, held.num_rows)
-        pair = q_image[i] * n_images + d_image[j]
-        _, at, n = np.unique(pair, return_inverse=True, return_counts=True)
-        many = n[at] >= INLIERS
-        i, j = i[many], j[many]
-        a, b, n = agreeing(q[i], q_image[i], d[j], d_image[j])
-        return pa.table([asked.column("id").take(pa.array(a, pa.int64())), held.column("id").take(pa.array(b, pa.int64())), pa.array(n, pa.int64())], ["query", "found", "inliers"])
+def confirmed(pairs: DataFrame, asked: DataFrame, index: DataFrame, tables: int) -> DataFrame:
+    """query, found and inliers of the pairs whose corners, all compared, hold INLIERS matches that agree."""
 
-    left, right = dealt(queries, "q", n_q, "d", n_d), dealt(index, "d", n_d, "q", n_q)
-    return left.groupBy("q", "d").cogroup(right.groupBy("q", "d")).applyInArrow(run, "query string, found string, inliers long")
+    def run(batches):
+        for batch in slices(batches, 64):
+            out = []
+            for k, (a, b) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)):
+                q, d = np.frombuffer(a, asking(tables)), np.frombuffer(b, CORNER)
+                i, j = near_pairs(*(np.ascontiguousarray(c["bits"]).view("<u8") for c in (q, d)))
+                zero = np.zeros(len(i), np.int64)
+                n = agreeing(q[i], zero, d[j], zero)[2]
+                if len(n):
+                    out.append((k, int(n[0])))
+            at = pa.array([k for k, _ in out], pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array([n for _, n in out], pa.int64())], ["query", "found", "inliers"])
+
+    both = pairs.join(index.select(F.col("id").alias("found"), F.col("corners").alias("d")), "found")
+    both = both.join(asked.select(F.col("id").alias("query"), F.col("corners").alias("q")), "query")
+    return mapped(both.select("query", "found", "q", "d"), run, "query long, found long, inliers long")
+
+
+def matches(queries: DataFrame, index: DataFrame, corners: int, again=None) -> DataFrame:
+    """query, found, inliers: images of index that hold INLIERS consistent matches with a query image. Both hold images (id long, width, height, pixels); index has about so many corners.
+
+    again gives the images of index whose id is in a table, if there is a cheaper way to them than to join the whole index."""
+    size = word_size(corners)
+    tables, cell_bits = tables_for(size), min(CELL_BITS, max(2, (int(corners) // CELL).bit_length()))
+    asked = cut(descriptors(queries, tables, size), "asked")
+    held_rows = cut(dealt_queries(asked, tables, size, cell_bits), "asked-cells")
+    rows, blocks = blocked(held_rows)
+    votes = met(rows.select(*[c.split()[0] for c in DEALT.split(", ")]).union(dealt_index(descriptors(index), size, cell_bits, blocks)), tables)
+    pairs = cut(candidates(votes), "candidates")
+    dropped(held_rows)
+    ids = pairs.select(F.col("found").alias("id")).distinct()
+    return confirmed(pairs, asked, descriptors(again(ids) if again else index.join(ids, "id", "left_semi")), tables)
 
 
 #: Rendering of vectors as images: a sum of plane waves, so that near vectors give near images.
@@ -235,29 +456,32 @@ def edited(pixels: bytes, key: int) -> tuple[int, int, bytes]:
 
 
 def images(vectors: DataFrame, edit: bool) -> DataFrame:
-    """id, width, height, pixels of vectors (id, embedding), as they are or edited."""
+    """id, width, height, pixels of vectors (id, key, embedding), as they are or edited as key says."""
 
     def run(batches):
         for batch in slices(batches, 64):
-            ids = batch.column(0).to_pylist()
-            made = [(p and (edited(p, int(i[:12], 16)) if edit else (SIDE, SIDE, p))) or (None, None, None) for i, p in zip(ids, rendered(batch.column(1).to_pylist()), strict=True)]
+            keys = batch.column(1).to_pylist()
+            made = [(p and (edited(p, int(i[:12], 16)) if edit else (SIDE, SIDE, p))) or (None, None, None) for i, p in zip(keys, rendered(batch.column(2).to_pylist()), strict=True)]
             w, h, p = zip(*made, strict=True)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(w, pa.int32()), pa.array(h, pa.int32()), pa.array(p, pa.binary())], ["id", "width", "height", "pixels"])
 
-    return vectors.select("id", "embedding").mapInArrow(run, "id string, width int, height int, pixels binary")
+    return mapped(vectors.select("id", "key", "embedding"), run, "id long, width int, height int, pixels binary")
+
+
+#: Corners of a rendered image, on average; it decides the size of words only.
+CORNERS = 60
 
 
 def search(vectors: DataFrame, is_query) -> DataFrame:
     """row_kind `member`: vec_id and rep_id (its class) for each row; `match`: a query class and a class in which the edited query was found, with inliers. vectors: vec_id, embedding."""
-    content = F.coalesce(F.md5(F.to_json(F.struct("embedding")).cast("binary")), F.lit(""))
-    rows = vectors.select(F.col("vec_id").cast("long"), "embedding", content.alias("id"))
-    found = cut(rows.groupBy("id").agg(F.min("vec_id").alias("rep_id"), F.max(F.coalesce(is_query(F.col("vec_id")), F.lit(False))).alias("asked"), F.min("embedding").alias("embedding")), "contents")
-    index = cut(descriptors(images(found, False)), "index")
-    asked = cut(descriptors(images(found.where("asked"), True)), "asked")
-    hits = matches(asked, index)
+    content = F.coalesce(F.md5(F.to_json(F.struct("embedding")).cast("binary")), F.lit("0"))
+    rows = vectors.select(F.col("vec_id").cast("long"), "embedding", content.alias("key"))
+    classes = rows.groupBy("key").agg(F.min("vec_id").alias("rep_id"), F.max(F.coalesce(is_query(F.col("vec_id")), F.lit(False))).alias("asked"), F.min("embedding").alias("embedding"))
+    found = cut(classes.select(F.monotonically_increasing_id().alias("id"), "*"), "contents")
+    hits = matches(images(found.where("asked"), True), images(found, False), CORNERS * found.count(), lambda ids: images(found.join(ids, "id", "left_semi"), False))
     reps = found.select("id", "rep_id")
     pairs = hits.join(reps.select(F.col("id").alias("query"), F.col("rep_id").alias("vec_id")), "query").join(reps.select(F.col("id").alias("found"), "rep_id"), "found")
-    members = rows.join(reps, "id").select(F.lit("member").alias("row_kind"), "vec_id", "rep_id", F.lit(None).cast("long").alias("inliers"))
+    members = rows.join(found.select("key", "rep_id"), "key").select(F.lit("member").alias("row_kind"), "vec_id", "rep_id", F.lit(None).cast("long").alias("inliers"))
     return members.union(pairs.select(F.lit("match"), "vec_id", "rep_id", "inliers"))
 
 

@@ -179,11 +179,49 @@ def test_media_keeps_the_corners_of_every_part(spark):
     whole = np.hstack([128 + (weak.astype(int) - 128) // 3, np.tile(strong, (1, 3))]).astype(np.uint8)
     crop = whole[4:92, 2:94].copy()
 
-    def corners(name, a):
-        return media.descriptors(spark.createDataFrame([(name, a.shape[1], a.shape[0], bytearray(a.tobytes()))], "id string, width int, height int, pixels binary"))
+    found = media.matches(pictures(spark, {1: crop}), pictures(spark, {2: whole}), 200).collect()
+    assert [(r.query, r.found) for r in found] == [(1, 2)] and found[0].inliers >= 10
 
-    found = media.matches(corners("crop", crop), corners("whole", whole)).collect()
-    assert [(r.query, r.found) for r in found] == [("crop", "whole")] and found[0].inliers >= 10
+
+def pictures(spark, arrays):
+    rows = [(k, a.shape[1], a.shape[0], bytearray(a.tobytes())) for k, a in arrays.items()]
+    return spark.createDataFrame(rows, "id long, width int, height int, pixels binary")
+
+
+@pytest.mark.parametrize("size", [17, 21, 24, 27])
+def test_media_finds_the_images_that_brute_force_finds(spark, monkeypatch, size):
+    """Of all pairs of images with enough agreeing matches among all pairs of their corners, by the words of indexes of 0.1 to 270 million corners; blocks and parts of cells are small, so there are many."""
+    monkeypatch.setattr(media, "BLOCK", 60)
+    monkeypatch.setattr(media, "word_size", lambda corners: size)
+    base = grey(40, 6)
+    noise = np.random.default_rng(1).normal(0, 12, base.shape)
+    border = np.pad(base[:, 10:86, 10:86], [(0, 0), (20, 20), (20, 20)], constant_values=30)
+    half = (base[:, ::2, ::2].astype(int) + base[:, 1::2, ::2] + base[:, ::2, 1::2] + base[:, 1::2, 1::2]) // 4
+    copies = [base[:, 9:81, 14:86], np.rot90(base, 1, (1, 2)), turned(base, 20, 1), turned(base, 0, 1.15), np.clip(base + noise, 0, 255), border, half]
+    queries = {100 * kind + k: np.ascontiguousarray(a).astype(np.uint8) for kind, one in enumerate(copies) for k, a in enumerate(one)}
+    got = {(r.query, r.found): r.inliers for r in media.matches(pictures(spark, queries), pictures(spark, dict(enumerate(base))), 10**5).collect()}
+    corners = lambda a: np.concatenate([np.concatenate(c) if c else np.zeros(0, media.CORNER) for c in [[packed(p) for p in media.describe(a[None])]]])
+    held, want = [corners(a) for a in base], {}
+    for k, a in queries.items():
+        q = corners(a)
+        for i, d in enumerate(held):
+            x, y = np.nonzero(np.bitwise_count(np.ascontiguousarray(q["bits"]).view("<u8")[:, None] ^ np.ascontiguousarray(d["bits"]).view("<u8")).sum(2) <= media.NEAR)
+            n = media.agreeing(q[x], np.zeros(len(x), int), d[y], np.zeros(len(x), int))[2]
+            if len(n):
+                want[k, i] = int(n[0])
+    assert got.items() <= want.items() and {k % 100 for k, _ in want} == set(range(40))
+    for kind in range(len(copies)):
+        of = {p for p in want if p[0] // 100 == kind}
+        share = len(of & set(got)) / len(of)
+        print(f"size {size} kind {kind}: {share:.3f} of {len(of)}")
+        assert share >= 0.9, (kind, share)
+
+
+def packed(part):
+    image, x, y, turn, scale, bits, _ = part
+    out = np.zeros(len(x), media.CORNER)
+    out["x"], out["y"], out["turn"], out["scale"], out["bits"] = x, y, turn, scale, bits
+    return out
 
 
 def test_chat(spark):
