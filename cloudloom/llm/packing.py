@@ -2,10 +2,13 @@
 
 A document costs LINEAR for each token and QUADRATIC for each pair of tokens (attention). Documents are packed in groups of
 GROUP tokens as they are read, so nothing is shuffled and a task holds one group. In a group, whole sequences are cut from long
-documents; what is left goes, in descending order of cost, to the sequence of the lowest cost that has token capacity for it,
-and is cut only where no sequence has. Tokens beyond the last full sequence wait for the next group; those of a task's last
-group fill sequences whose lengths are powers of two, which need no padding. A null text counts as empty: its end token alone.
-sequence_id holds the task's partition above bit 32.
+documents; what is left goes, in descending order of cost, to the sequence of the lowest cost of all that have token capacity for
+it, and is cut only where no sequence has. Tokens beyond the last full sequence wait for the next group; those of a task's last
+group fill sequences whose lengths are powers of two, which need no padding. sequence_id holds the task's partition above bit 32.
+
+A null text counts as empty: its end token alone. Of equal costs the document read first goes first, to the sequence of the
+smallest number. Rows that repeat a doc_id are documents each. A text of any length is cut over sequences whole. An empty table
+gives no rows. Other columns than doc_id and the text are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -23,8 +26,6 @@ from cloudloom.llm.common import held, mapped, slices, table
 
 LENGTH, GROUP, KEPT_CHUNKS = 2048, 4_000_000, 600_000
 LINEAR, QUADRATIC = 1.0, 1.0 / LENGTH
-#: Sequences looked at for one that takes a piece whole.
-LOOKED_AT = 8
 #: Up to here lower case is the same for Python and the tokenizer, which lower-cases, so words of either case are asked for once.
 LATIN = "\u024f"
 #: Marks that may follow a word in a chunk; together they are one token of the splitting pattern.
@@ -35,6 +36,46 @@ def cost(n: int) -> float:
     return LINEAR * n + QUADRATIC * n * n
 
 
+class Sequences:
+    """Sequences by the room left in them: a heap for each room, and a tree over the rooms with the cheapest sequence of each half."""
+
+    def __init__(self, count: int, length: int):
+        self.length, self.size, self.none = length, 1 << length.bit_length(), (float("inf"), -1, 0)
+        self.heaps: list[list[tuple[float, int]]] = [[] for _ in range(length + 1)]
+        self.tree = [self.none] * (2 * self.size)
+        if count:
+            self.heaps[length] = [(0.0, b) for b in range(count)]
+            self._up(length)
+
+    def _up(self, room: int) -> None:
+        at, heap, tree = room + self.size, self.heaps[room], self.tree
+        tree[at] = (*heap[0], room) if heap else self.none
+        while at > 1:
+            at >>= 1
+            tree[at] = min(tree[2 * at], tree[2 * at + 1])
+
+    def put(self, spent: float, number: int, room: int) -> None:
+        if room:
+            heapq.heappush(self.heaps[room], (spent, number))
+            self._up(room)
+
+    def take(self, room: int) -> tuple[float, int, int] | None:
+        """The cheapest sequence, the first of equal ones, with so much room; it is taken out."""
+        low, high, best = room + self.size, self.length + 1 + self.size, self.none
+        while low < high:
+            if low & 1:
+                best, low = min(best, self.tree[low]), low + 1
+            if high & 1:
+                high -= 1
+                best = min(best, self.tree[high])
+            low, high = low >> 1, high >> 1
+        if best[1] < 0:
+            return None
+        heapq.heappop(self.heaps[best[2]])
+        self._up(best[2])
+        return best
+
+
 def pack(lengths: list[int], length: int = LENGTH, last: bool = True) -> tuple[list[list[tuple[int, int, int]]], list[tuple[int, int, int]]]:
     """Sequences as lists of (document, start, length), and the pieces that wait for the next group (none if it is the last)."""
     full, rest = [], []
@@ -55,23 +96,14 @@ def pack(lengths: list[int], length: int = LENGTH, last: bool = True) -> tuple[l
             rest.append((doc, at, n - cut))
     rest.sort(key=lambda p: (-cost(p[2]), p[0], p[1]))
     held: list[list[tuple[int, int, int]]] = [[] for _ in range(bins)]
-    queue = [(0.0, b, length) for b in range(bins)]
+    open_ = Sequences(bins, length)
     for doc, at, n in rest:
-        while n:
-            seen = []
-            while queue and len(seen) < LOOKED_AT:
-                seen.append(heapq.heappop(queue))
-                if seen[-1][2] >= n:
-                    break
-            best = len(seen) - 1 if seen[-1][2] >= n else 0
-            spent, b, room = seen.pop(best)
-            for x in seen:
-                heapq.heappush(queue, x)
-            cut = min(n, room)
-            held[b].append((doc, at, cut))
-            if room > cut:
-                heapq.heappush(queue, (spent + cost(cut), b, room - cut))
-            at, n = at + cut, n - cut
+        while n:  # cut only where no sequence has room for the whole
+            spent, b, room = open_.take(n) or open_.take(1)
+            part = min(n, room)
+            held[b].append((doc, at, part))
+            open_.put(spent + cost(part), b, room - part)
+            at, n = at + part, n - part
     if last and wait:
         todo, size = wait[::-1], 1 << (sum(p[2] for p in wait).bit_length() - 1)
         while todo:

@@ -66,6 +66,36 @@ def test_packing_prefers_the_cheapest_sequence():
     assert [[(p[0], p[2]) for p in s] for s in sequences] == [[(0, 60), (3, 30), (4, 10)], [(1, 50), (2, 40), (4, 10)]] and not wait
 
 
+def test_packing_takes_the_cheapest_sequence_of_all_with_room():
+    """Against a plain search over all sequences."""
+    r = random.Random(5)
+    for _ in range(30):
+        length = r.choice([16, 100, 128])
+        lengths = [r.randint(1, 3 * length) for _ in range(r.randint(1, 60))]
+        got, wait = packing.pack(lengths, length, last=False)
+        spent = sum(p[2] for s in got for p in s) + sum(p[2] for p in wait)
+        assert spent == sum(lengths) and all(sum(p[2] for p in s) == length for s in got) and sum(p[2] for p in wait) < length
+        pieces = sorted([(d, n - n % length, n % length) for d, n in enumerate(lengths) if n % length], key=lambda p: (-packing.cost(p[2]), p[0], p[1]))
+        left = sum(p[2] for p in pieces) % length
+        while left:
+            d, at, n = pieces.pop()
+            if n > left:
+                pieces.append((d, at, n - left))
+            left -= min(n, left)
+        pieces.sort(key=lambda p: (-packing.cost(p[2]), p[0], p[1]))
+        bins = [[0.0, length, []] for _ in range(sum(p[2] for p in pieces) // length)]
+        for d, at, n in pieces:
+            while n:
+                fits = [b for b in bins if b[1] >= n] or [b for b in bins if b[1]]
+                best = min(fits, key=lambda b: b[0])
+                part = min(n, best[1])
+                best[0], best[1] = best[0] + packing.cost(part), best[1] - part
+                best[2].append((d, at, part))
+                at, n = at + part, n - part
+        whole = [[(d, at, length)] for d, n in enumerate(lengths) for at in range(0, n - n % length, length)]
+        assert got == whole + [b[2] for b in bins]
+
+
 def test_language(spark, real):
     model = language.train(real)
     got = {r.doc_id: r for r in language.predict(real, model).collect()}
@@ -125,6 +155,55 @@ def test_html_joins_parts_around_a_break(lines, part):
     assert html.main_text(f"<body><div><div>{first}</div>{advert}<section><div>{second}</div></section></div><footer>end</footer></body>") == want
 
 
+LONG = "The article goes on for a good while, with many words and a full stop at the end of it all."
+
+
+@pytest.mark.parametrize("page, text", [
+    (f'<main><p title="a hidden gem">{LONG}</p><p>End.</p></main>', f"{LONG} End."),
+    (f'<article><section id="side-effects"><p>{LONG}</p></section><div class="share-price">It rose.</div></article>', f"{LONG} It rose."),
+    (f'<div class="post"><p>{LONG}</p><div class="share-buttons main-share">x</div><div class="comment-list" id=comments><p>{LONG} {LONG}</p></div></div>', LONG),
+    (f"<body><article><p>{LONG}</p><p>{LONG}</p></article><article><p>{LONG}</p></article></body>", f"{LONG} {LONG}"),
+    (f"<div><div>Home</div><div>Products</div><div>Contact</div><div id=c><p>{LONG}</p><p>{LONG}</p><p>Yes.</p></div><div>Imprint</div></div>", f"{LONG} {LONG} Yes."),
+    (f"<p hidden>{LONG}</p><p style='display: none'>{LONG}</p><p aria-hidden=true>{LONG}</p><div><p>{LONG}</p><p>x &lt; y</p></div>", f"{LONG} x < y"),
+    (f'<article><p class="lead" data-x="a>b">{LONG}</p><a href="x>{LONG}</a><p>On.</p></article>', f"{LONG} {LONG} On."),
+    (f"<table><tr><td>{LONG}<td>b<tr><td>c</table>", f"{LONG} b c"), ("<br>" * 50, ""), ("<article></article>", ""), ("a < b and c > d", "a < b and c > d"),
+    (f"<article><p>{LONG}<aside>no</aside><p>Tail</article><!-- open {LONG}", f"{LONG} Tail")])
+def test_html_keeps_what_only_looks_like_boilerplate(page, text):
+    assert html.main_text(page) == text
+
+
+def test_html_sums_windows_as_plain_sums_do():
+    r = random.Random(2)
+    for _ in range(200):
+        weights = [r.choice([0, 0, 3, 40]) for _ in range(r.randint(0, 25))]
+        breaks = [False] + [r.random() < 0.1 for _ in weights[1:]] if weights else []
+        part = [sum(breaks[: i + 1]) for i in range(len(weights))]
+        want = [sum(weights[j] for j in range(max(0, i - 1), min(len(weights), i + 2)) if part[j] == part[i]) for i in range(len(weights))]
+        sums = html.window_sums(weights, breaks, 3)
+        assert sums == want
+        level = html.level_of(sums)
+        inside = {i for a, b in html.runs(sums, level, breaks) for i in range(a, b + 1)}
+        assert inside == {i for i, s in enumerate(want) if s > level}
+
+
+@pytest.mark.parametrize("piece", ['<a "', "<!", "<", "<div>", "<p>x", '"<a>', "</x>", "<a b='>"])
+def test_html_reads_broken_pages_in_linear_time(piece):
+    import time
+
+    began = time.process_time()
+    html.main_text(piece * (1_000_000 // len(piece)))
+    assert time.process_time() - began < 8
+
+
+def test_html_of_tables(spark):
+    names = "page_id long, url string, html string, text string, n_chars string"
+    rows = [(1, "u", "<p>a b</p>", "old", "x"), (1, "u", "<p>a b</p>", "old", "x"), (None, None, None, None, None), (2, "", "", "", "")]
+    df = spark.createDataFrame(rows, names)
+    got = sorted(map(tuple, html.extracted(df).collect()), key=str)
+    assert got == sorted([(1, "u", "a b", 3), (1, "u", "a b", 3), (None, None, "", 0), (2, "", "", 0)], key=str)
+    assert html.extracted(df.where("false")).collect() == []
+
+
 def luhn(d):
     return sum((int(c) * 2 - 9 * (int(c) > 4)) if i % 2 else int(c) for i, c in enumerate(reversed(d))) % 10 == 0
 
