@@ -1,16 +1,26 @@
-"""Cross-entropy difference of two n-gram models that share one vocabulary.
+"""Cross-entropy difference of two matched n-gram models that share one vocabulary.
 
 Words (lower-cased, between white space) and pairs of words are counted under their full 64-bit hashes, so what is gathered grows
-with the input. The target model counts the target documents, the background model all documents; both use the same
-interpolation of relative frequencies (pair, word, uniform over 2^UNI words), so their sizes need no matching. A document's score
-is its mean loss per token under the target model less that under the background model: the lower, the more like the target.
+with the input. The target model counts the target documents, the background model all documents. The models are matched in
+size: a background count n becomes the whole number next below n p + u, with p the target's share of all tokens and u a number
+from 0 to 1 that the hash decides, so that the background has as many tokens as the target and leaves out as many rare words and
+pairs, though it has met all documents. A document is scored without itself: its own counts are taken off first, from the target
+too if it is target.
+
+The vocabulary, shared by both models, is the words that other documents have; any other word is the unknown word, of one
+probability in both. A known word's probability is MIX[0] of the pair's share of its first word's count (where that word has
+none, its weight goes to the next part), MIX[1] of the word's share of the model, and MIX[2] of the word's share of all
+documents. A document's score is the mean over its tokens of the loss under the target model less that under the background
+model: the lower, the more like the target.
 
 Documents are dealt to blocks of about BLOCK characters by doc_id. A block counts its different hashes and sends them, sorted and
 packed, to buckets of the hashes' range; a bucket adds up what all blocks sent and answers each block with the sums of its own
 hashes, from which the block scores its documents. No task sees more than a block or a bucket, and nothing is broadcast.
 
 Texts that are null or empty have no token and score 0. A document without label is not target. If a doc_id has several labels,
-one of quality 1 makes it target. With no target document the target model is uniform.
+one of quality 1 makes it target. Rows that repeat a doc_id are documents each. With no target document, and with no other
+document, a model is the shared words alone. A very long text is a block of its own. An empty table gives no rows. Only doc_id,
+text and quality are read, whatever other columns there are; tied scores stay tied.
 """
 
 from __future__ import annotations
@@ -23,13 +33,12 @@ from pyspark.sql import functions as F
 from cloudloom.llm.common import table
 from cloudloom.llm.hashing import mix, word_hashes
 
-UNI = 18
 #: Characters of a block, and blocks for each bucket.
 BLOCK, PER_BUCKET = 4_000_000, 4
-#: Weights of pair, word and uniform.
+#: Weights of pair, word and the word in all documents.
 MIX = (0.4, 0.55, 0.05)
 START = np.uint64(0x51A27)
-#: The hash under which all tokens are counted.
+#: The hash under which all tokens are counted; texts with tokens are counted under START, the word before their first.
 ALL = np.uint64(0x9E3779B97F4A7C15)
 KEYS = "bucket long, block long, keys binary, background binary, target binary"
 SCORES = "doc_id long, n_tokens long, target_loss double, background_loss double, score double"
@@ -89,9 +98,10 @@ def counts(rows: DataFrame, buckets: int, count: bool = True, ask: bool = True)
         block = t.column("block")[0].as_py()
         t, good = parted(t)
         h, pairs, sizes = hashes(t.column("text").to_pylist())
-        of_target = np.repeat(np.array([i in good for i in t.column("doc_id").to_pylist()], bool), sizes)
-        keys, n = np.unique(np.concatenate([h, pairs]), return_counts=True)
-        some, n_some = np.unique(np.concatenate([h[of_target], pairs[of_target]]), return_counts=True)
+        is_target = np.array([i in good for i in t.column("doc_id").to_pylist()], bool)
+        of_target, begun = np.repeat(is_target, sizes), lambda some: np.full(int((some & (sizes > 0)).sum()), START)
+        keys, n = np.unique(np.concatenate([h, pairs, begun(np.ones(len(sizes), bool))]), return_counts=True)
+        some, n_some = np.unique(np.concatenate([h[of_target], pairs[of_target], begun(is_target)]), return_counts=True)
         target = np.zeros(len(keys), np.int64)
         target[np.searchsorted(keys, some)] = n_some
         at = np.searchsorted(keys, ALL)
@@ -126,23 +136,53 @@ def sums(sent: DataFrame) -> DataFrame:
     return sent.groupBy("bucket").applyInArrow(run, "bucket long, block long, background binary, target binary")
 
 
-def losses(rows: DataFrame, answers: DataFrame) -> DataFrame:
-    """Scores of the documents of `dealt`, from the answers to their blocks."""
+def own_counts(keys: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """How often each token's key occurs in the token's document; keys: whole numbers from 0."""
+    _, at, n = np.unique(doc * (int(keys.max(initial=0)) + 1) + keys, return_inverse=True, return_counts=True)
+    return n[at]
+
+
+def spread(keys: np.ndarray) -> np.ndarray:
+    """A number from 0 to 1 for each hash."""
+    return (mix(keys) >> np.uint64(11)) * 2.0**-53
+
+
+def losses(rows: DataFrame, answers: DataFrame, counted: bool = True) -> DataFrame:
+    """Scores of the documents of `dealt`, from the answers to their blocks. counted: whether the models have counted these documents."""
 
     def run(t: pa.Table, told: pa.Table) -> pa.Table:
-        t, _ = parted(t)
+        t, good = parted(t)
         h, pairs, sizes = hashes(t.column("text").to_pylist())
-        keys = np.unique(np.concatenate([h, pairs, [ALL]]))
-        word, pair, last = np.searchsorted(keys, h), np.searchsorted(keys, pairs), np.cumsum(sizes)
-        starts = np.zeros(len(h), bool)
-        starts[(last - sizes)[sizes > 0]] = True
+        filled = np.flatnonzero(sizes)
+        keys, at = np.unique(np.concatenate([h, pairs, np.full(len(filled), START)]), return_inverse=True)
+        word, pair = at[: len(h)], at[len(h) : 2 * len(h)]
+        told, place = told.sort_by("bucket"), np.searchsorted(keys, ALL)
+        sums = [np.concatenate([np.zeros(0, np.uint64), *map(unpacked, told.column(name).to_pylist())]).astype(np.int64) for name in ("background", "target")]
+        total, sums = [int(n[place]) if len(n) else 0 for n in sums], [np.delete(n, place) if len(n) else np.zeros(len(keys), np.int64) for n in sums]
+        doc, last = np.repeat(np.arange(len(sizes)), sizes), np.cumsum(sizes)
+        first = (last - sizes)[filled]
         before = np.concatenate([[0], word[:-1]]) if len(word) else word
-        told, out = told.sort_by("bucket"), []
-        for name in ("target", "background"):
-            n = np.concatenate([unpacked(b) for b in told.column(name).to_pylist()]).astype(np.int64) if len(t) else np.zeros(len(keys), np.int64)
-            total = max(1, int(n[np.searchsorted(keys, ALL)]))
-            context = np.where(starts, total, n[before])
-            loss = -np.log(MIX[0] * n[pair] / np.maximum(1, context) + MIX[1] * n[word] / total + MIX[2] / (1 << UNI))
+        before[first] = at[2 * len(h) :]
+        in_target = np.array([i in good for i in t.column("doc_id").to_pylist()], bool)[doc]
+        own_word, own_pair = (own_counts(k, doc) if counted else np.zeros(len(h), np.int64) for k in (word, pair))
+        own_before = np.concatenate([[0], own_word[:-1]]) if len(word) else own_word
+        own_before[first] = int(counted)
+        own = own_word, own_pair, own_before
+        every_word, every_pair, every_before = (sums[0][k] - o for k, o in zip((word, pair, before), own, strict=True))
+        sizes_here = sizes[doc] * int(counted)
+        all_tokens = total[0] - sizes_here
+        share, known, shared = total[1] / max(1, total[0]), every_word > 0, every_word / np.maximum(1, all_tokens)
+        thinned = lambda n, k: np.floor(n * share + spread(keys)[k])
+        models = (
+            [sums[1][k] - o * in_target for k, o in zip((word, pair, before), own, strict=True)] + [total[1] - sizes_here * in_target],
+            [thinned(n, k) for n, k in zip((every_word, every_pair, every_before), (word, pair, before), strict=True)] + [all_tokens * share],
+        )
+        out = []
+        for n_word, n_pair, n_before, tokens in models:
+            of_pair = np.where(n_before > 0, MIX[0], 0.0)
+            p = of_pair * np.minimum(1, n_pair / np.maximum(1, n_before)) + (MIX[0] + MIX[1] - of_pair) * n_word / np.maximum(1, tokens) + MIX[2] * shared
+            p = np.where(tokens < 1, shared, p)
+            loss = -np.log(np.where(known, p, MIX[2] / (all_tokens + 1)))
             ends = np.concatenate([[0.0], np.cumsum(loss)])
             out.append((ends[last] - ends[last - sizes]) / np.maximum(1, sizes))
         return pa.table([t.column("doc_id"), pa.array(sizes), *map(pa.array, out), pa.array(out[0] - out[1])], ["doc_id", "n_tokens", "target_loss", "background_loss", "score"])
@@ -184,9 +224,9 @@ def train(docs: tuple[DataFrame, int]) -> Models:
 
 
 def scored(docs: DataFrame, models: Models) -> DataFrame:
-    """Scores of any documents."""
+    """Scores of documents that the models have not counted."""
     rows, buckets = dealt(docs, blocks_of(docs)), buckets_of(models.blocks)
-    return losses(rows, sums(counts(models.rows, buckets, ask=False).union(counts(rows, buckets, count=False))))
+    return losses(rows, sums(counts(models.rows, buckets, ask=False).union(counts(rows, buckets, count=False))), counted=False)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

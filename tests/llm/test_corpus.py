@@ -94,40 +94,89 @@ def test_cross_entropy_difference(spark):
     models = lm.train(lm.marked(docs, labels))
     assert models.total.tolist() == [200, 40]
     got = {r.doc_id: r for r in lm.scored(docs, models).collect()}
-    assert got[2].score < 0 < got[7].score and got[10].score == got[11].score == 0
-    n, p = 40, 10 / 40  # each word is a quarter of the target; within a text a pair follows its first word always
-    want = -np.log(lm.MIX[0] * min(1, (5 - 0) * 2 / 10) + lm.MIX[1] * p + lm.MIX[2] / (1 << lm.UNI))
-    assert got[2].n_tokens == 20 and got[2].target_loss == pytest.approx(want, abs=0.2) and n == 40
+    assert got[2].score < 0 < got[7].score and got[10].score == got[11].score == 0 and got[2].n_tokens == 20
     assert lm.scored(docs.where("false"), lm.train(lm.marked(docs.where("false"), labels))).count() == 0
 
 
-def test_cross_entropy_difference_counts_every_word_and_pair(spark, monkeypatch, tmp_path):
-    """As many different words as would fill any fixed cells: scores equal those of plain dictionaries, over several blocks and buckets."""
-    monkeypatch.setattr(lm, "BLOCK", 400_000)
-    r = np.random.default_rng(4)
-    texts = [" ".join(f"w{v}" for v in r.integers(0, 400_000, 5000)) for _ in range(120)] + [None, "", "w1 w1 W2"]
-    good = set(range(0, 120, 3)) | {122}
-    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
-    spark.createDataFrame([(k, int(k in good)) for k in range(len(texts))], "doc_id long, quality int").write.parquet(f"{tmp_path}/labels.parquet")
+def brute_scores(texts, good, new=None):
+    """n_tokens and both losses by plain dictionaries; of the counted texts each without itself, or of new texts."""
     words = [(t or "").lower().split() for t in texts]
-    n = [[collections.Counter(), collections.Counter()] for _ in range(2)]
+    n = [[collections.Counter(), collections.Counter(), 0] for _ in range(2)]
+
+    def counted(w):
+        return collections.Counter([None] * bool(w) + w), collections.Counter(zip([None, *w], w, strict=False))
+
     for k, w in enumerate(words):
         for model in n[: 1 + (k in good)]:
-            model[0].update(w)
-            model[1].update(zip([None, *w], w, strict=False))
-    total = [sum(model[0].values()) for model in n]
+            for c, more in zip(model, counted(w), strict=False):
+                c.update(more)
+            model[2] += len(w)
+    share = n[1][2] / max(1, n[0][2])
+
+    def hashed(a, b=None):
+        x, y = (lm.START if v is None else np.uint64(lm.word_hashes([v])[0]) for v in (a, b))
+        return lm.mix(np.array([x]) * np.uint64(0xD6E8FEB86659FD93) + y) if b is not None else np.array([x])
+
+    def thin(count, key):
+        return np.floor(count * share + lm.spread(key)[0])
+
+    out = []
+    for k, w in enumerate(words if new is None else [(t or "").lower().split() for t in new]):
+        own = counted(w) if new is None else counted([])
+        off = len(w) * (new is None)
+        losses = []
+        for m in (1, 0):
+            total, all_tokens = 0.0, n[0][2] - off
+            for a, b in zip([None, *w], w, strict=False):
+                every = [n[0][0][b] - own[0][b], n[0][1][a, b] - own[1][a, b], n[0][0][a] - own[0][a]]
+                if not every[0]:
+                    total -= np.log(lm.MIX[2] / (all_tokens + 1))
+                    continue
+                prior = every[0] / max(1, all_tokens)
+                if m:
+                    mine = [n[1][0][b] - own[0][b] * (k in good), n[1][1][a, b] - own[1][a, b] * (k in good), n[1][0][a] - own[0][a] * (k in good)] if new is None else [n[1][0][b], n[1][1][a, b], n[1][0][a]]
+                    tokens = n[1][2] - off * (k in good)
+                else:
+                    mine, tokens = [thin(c, h) for c, h in zip(every, (hashed(b), hashed(a, b), hashed(a)), strict=True)], all_tokens * share
+                of_pair = lm.MIX[0] if mine[2] > 0 else 0
+                p = of_pair * min(1, mine[1] / max(1, mine[2])) + (lm.MIX[0] + lm.MIX[1] - of_pair) * mine[0] / max(1, tokens) + lm.MIX[2] * prior
+                total -= np.log(p if tokens >= 1 else prior)
+            losses.append(total / max(1, len(w)))
+        out.append((len(w), *losses))
+    return out
 
-    def loss(w, k):
-        uni, pairs = n[k]
-        every = [-np.log(lm.MIX[0] * pairs[a, b] / max(1, uni[a] if a else total[k]) + lm.MIX[1] * uni[b] / total[k] + lm.MIX[2] / (1 << lm.UNI)) for a, b in zip([None, *w], w, strict=False)]
-        return sum(every) / max(1, len(w))
 
+@pytest.mark.parametrize("vocabulary, long", [(400_000, 5000), (60, 300)])
+def test_cross_entropy_difference_against_plain_dictionaries(spark, monkeypatch, tmp_path, vocabulary, long):
+    """As many different words as would fill any fixed cells, and few; over several blocks and buckets; copies, one-word, empty, null and unlabelled texts, repeated and null ids, clashing columns."""
+    monkeypatch.setattr(lm, "BLOCK", 400_000 if long > 300 else 3000)
+    r = np.random.default_rng(4)
+    texts = [" ".join(f"w{v}" for v in r.integers(0, vocabulary, long)) for _ in range(60)] + [None, "", "w1 w1 W2", "w1", "x" * 5000, " ".join(["w3"] * 20_000)]
+    texts += texts[:3]
+    good = set(range(0, 60, 3)) | {62}
+    ids = [*range(len(texts) - 1), None]
+    rows = [(i, t, 1, "b", k) for k, (i, t) in enumerate(zip(ids, texts, strict=True))]
+    spark.createDataFrame(rows, "doc_id long, text string, block int, bucket string, label long").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(k, int(k in good)) for k in range(0, 64)] + [(None, 1), (0, 0)], "doc_id long, quality int").write.parquet(f"{tmp_path}/labels.parquet")
+    docs, labels = (spark.read.parquet(f"{tmp_path}/{t}.parquet") for t in ("documents", "labels"))
     got = {row.doc_id: row for row in lm.query(spark, str(tmp_path)).collect()}
-    again = {row.doc_id: row for row in lm.scored(spark.read.parquet(f"{tmp_path}/documents.parquet"), lm.train(lm.marked(spark.read.parquet(f"{tmp_path}/documents.parquet"), spark.read.parquet(f"{tmp_path}/labels.parquet")))).collect()}
-    assert len(got) == len(again) == len(texts)
-    for k, w in enumerate(words):
-        assert (got[k].n_tokens, got[k].target_loss, got[k].background_loss) == pytest.approx((len(w), loss(w, 1), loss(w, 0)))
-        assert again[k].score == pytest.approx(got[k].score)
+    assert len(got) == len(texts)
+    for i, want in zip(ids, brute_scores(texts, good), strict=True):
+        assert (got[i].n_tokens, got[i].target_loss, got[i].background_loss) == pytest.approx(want, rel=1e-9, abs=1e-9), i
+        assert got[i].score == pytest.approx(want[1] - want[2], abs=1e-9)
+    new = ["w1 w2 w3 never-seen", None, texts[0]]
+    some = spark.createDataFrame(list(enumerate(new)), "doc_id long, text string")
+    again = {row.doc_id: row for row in lm.scored(some, lm.train(lm.marked(docs, labels))).collect()}
+    for i, want in enumerate(brute_scores(texts, good, new)):
+        assert (again[i].n_tokens, again[i].target_loss, again[i].background_loss) == pytest.approx(want, rel=1e-9, abs=1e-9), i
+
+
+def test_cross_entropy_difference_without_a_target(spark):
+    docs = spark.createDataFrame([(1, "a b c"), (2, "a b d")], "doc_id long, text string")
+    labels = spark.createDataFrame([], "doc_id long, quality int")
+    rows, blocks = lm.marked(docs, labels)
+    out = lm.losses(rows, lm.sums(lm.counts(rows, lm.buckets_of(blocks)))).collect()
+    assert sorted(r.doc_id for r in out) == [1, 2] and all(np.isfinite([r.target_loss, r.background_loss, r.score]).all() and r.score == 0 for r in out)
 
 
 def test_media_finds_cropped_and_edited_copies(spark):
