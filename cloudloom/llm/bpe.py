@@ -2,6 +2,8 @@
 
 Texts are cut into chunks at white space, where no token of the splitting pattern can cross, and chunks into words; the ids of
 a word are found once and kept in a dictionary of bounded size. A null text counts as empty: no ids, an empty decoded text.
+A text of any length is encoded whole. Of equal ranks the leftmost pair is merged first. Rows are independent; repeated rows give
+repeated results, and an empty table none. Only the columns named are read, whatever other columns there are.
 Special tokens that stand in a text become their ids, as the library does unless it is told otherwise.
 """
 

@@ -9,7 +9,9 @@ message replies to; of several originals the latest one counts, and only turns b
 Result: one row for each message, in reply order: conv_id, then the turn of the thread's first message, depth, turn. reply_to is
 null for a message that quotes nothing known. body is the text without quoted lines, trimmed; message is the body in chat form.
 Null text counts as empty; null role as "user"; messages with null conv_id or turn quote nothing. Rows that repeat a
-(conv_id, turn) are rows each. Work is by message and by (conversation, hash): no task needs a whole conversation.
+(conv_id, turn) are rows each, and reply to what any of them quotes. A message of any length is read whole. An empty table gives
+no rows. Only conv_id, turn, role and text are read, whatever other columns there are. Work is by message and by (conversation,
+hash): no task needs a whole conversation.
 """
 
 from __future__ import annotations
@@ -90,6 +92,7 @@ def threads(links: DataFrame) -> DataFrame:
 
 def formatted(messages: DataFrame) -> DataFrame:
     """conv_id, turn, role, body, message, reply_to, root, depth for each row of messages, in reply order."""
+    messages = messages.select("conv_id", "turn", "role", "text")
     links = cut(replies(messages), "replies")
     placed = messages.select("conv_id", "turn", F.coalesce("role", F.lit("user")).alias("role"), body(F.coalesce("text", F.lit(""))).alias("body"))
     if links.isEmpty():

@@ -2,19 +2,27 @@
 
 Texts are equal when they are identical after deletion of the characters of [\\x20\\x09-\\x0D]; null counts as empty. A stream
 over the table keeps state by digest in RocksDB on the executors' disks, without watermark or expiry: the digest, the stable
-identifier and content locator (file and row) of the row that stays, and a count. Then the full bytes are compared: rows are
-grouped by digest and bytes, so two texts of one digest stay apart; copies of a text meet in each task before they are shuffled. Of equal texts the row with the most code points stays, then the smallest doc_id (null last), then the first locator.
-
-Rows that repeat one doc_id are rows of their own: only the one at the keeper's locator is kept. An empty table gives no rows.
+identifier and content locator (file and row) of the row that stays, and a count. A digest of several rows is a hit: the full
+bytes of its rows are compared, so two texts of one digest stay apart. The hits are marked in a bitmap of fixed size, and only
+rows that it marks are shuffled with their bytes, copies of a text meeting in each task first; a mark that a digest without a hit
+shares costs a row's shuffle and changes nothing. Of equal texts the row with the most code points stays, then the smallest
+doc_id (null last), then the first locator.
+
+Rows that repeat one doc_id are rows of their own: only the one at the keeper's locator is kept. A text of any length is read
+whole. An empty table gives no rows. `dedup` keeps extra columns, whatever their names; the others read doc_id and text only.
 """
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cloudloom.llm.common import cut, new_path
+from cloudloom.llm.common import cut, dropped, new_path, unused
 
+#: Bits of the bitmap of hits; 32,768 for each row of the small table that is broadcast.
+MARKS = 1 << 22
 #: Characters that equality ignores.
 IGNORED = [" ", "\t", "\n", "\x0b", "\x0c", "\r"]
 STREAM = {
@@ -40,7 +48,8 @@ def sha256(text: Column) -> Column:
 def keyed(df: DataFrame, digest) -> DataFrame:
     """doc_id, norm, digest, n (code points) and the locator; what stays is the smallest order()."""
     norm = normalised(F.col("text"))
-    at = df.select("doc_id", "text", F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"))
+    place = df.metadataColumn("_metadata")
+    at = df.select("doc_id", "text", place["file_path"].alias("file"), place["row_index"].alias("row"))
     out = at.select("doc_id", norm.alias("norm"), F.coalesce(F.length("text"), F.lit(0)).cast("long").alias("n"), "file", "row")
     return out.withColumn("digest", digest(F.col("norm")))
 
@@ -60,7 +69,7 @@ def stream_state(spark: SparkSession, path: str, schema, digest=sha256, max_file
     for k, v in STREAM.items():
         spark.conf.set(k, v)
     try:
-        rows = keyed(reader.parquet(f"{path[:-1]}[{path[-1]}]"), digest)  # as a pattern it may also be a single file
+        rows = keyed(reader.parquet(_pattern(spark, path)), digest)
         state = rows.groupBy("digest").agg(F.count(F.lit(1)).alias("rows"), F.min(order()).alias("keeper"))
         query = (
             state.writeStream.outputMode("update").option("checkpointLocation", checkpoint).trigger(availableNow=True)
@@ -78,6 +87,26 @@ def stream_state(spark: SparkSession, path: str, schema, digest=sha256, max_file
     return updates.groupBy("digest").agg(F.max(F.struct("rows", "keeper")).alias("last")).select("digest", "last.*")
 
 
+def _pattern(spark: SparkSession, path: str) -> str:
+    """The path as a pattern that matches it alone: a stream reads a folder or a pattern, and a single file only as the latter."""
+    escaped = re.sub(r"([\\[\]{}*?])", r"\\\1", path)
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(hadoop).isDirectory():
+        return escaped
+    return f"{escaped[:-1]}[{escaped[-1]}]"
+
+
+def marked(rows: DataFrame, hits: DataFrame) -> DataFrame:
+    """The rows whose digest has its mark among those of hits: all rows of hits, and few others."""
+    slot = F.pmod(F.xxhash64("digest"), F.lit(MARKS)) + 1
+    bits = hits.select(slot.alias("slot")).groupBy(F.bitmap_bucket_number("slot").alias("mark_bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("slot")).alias("marks"))
+    at = F.bitmap_bit_position(slot)
+    byte = F.conv(F.hex(F.substring("marks", F.floor(at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    on = F.getbit(byte, F.pmod(at, F.lit(8)).cast("int")) == 1
+    both = rows.withColumn("mark_bucket", F.bitmap_bucket_number(slot)).join(F.broadcast(bits), "mark_bucket")
+    return both.where(on).select(rows.columns)
+
+
 def _exists(spark: SparkSession, path: str) -> bool:
     hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
     return hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop)
@@ -88,8 +117,8 @@ def assignments(spark: SparkSession, path: str, digest=sha256, max_files: int |
     docs = spark.read.parquet(path)
     state = cut(stream_state(spark, path, docs.schema, digest, max_files), "dedup-groups")
     rows = keyed(docs, digest)
-    #: The full bytes: copies of a text meet in each task. A digest with several texts is a clash.
-    texts = rows.groupBy("digest", "norm").agg(F.count(F.lit(1)).alias("rows")).groupBy("digest").agg(F.count(F.lit(1)).alias("texts"))
+    #: The full bytes of hits: copies of a text meet in each task. A digest with several texts is a clash.
+    texts = marked(rows, state.where("rows > 1")).groupBy("digest", "norm").agg(F.count(F.lit(1)).alias("rows")).groupBy("digest").agg(F.count(F.lit(1)).alias("texts"))
     clash = cut(texts.where("texts > 1").select("digest"), "dedup-clashes")
     slim = rows.select("doc_id", "n", "file", "row", "digest", F.sha2(F.col("norm").cast("binary"), 256).alias("text_sha256"))
     if clash.isEmpty():
@@ -110,8 +139,10 @@ def dedup(docs: DataFrame, digest=sha256) -> DataFrame:
     docs.write.parquet(path)
     kept = assignments(spark, path, digest).where("kept").select("file", "row")
     rows = spark.read.schema(docs.schema).parquet(path)
-    return rows.withColumns({"__file": F.col("_metadata.file_path"), "__row": F.col("_metadata.row_index")}).join(
-        kept.select(F.col("file").alias("__file"), F.col("row").alias("__row")), ["__file", "__row"], "left_semi").select(docs.columns)
+    file, row = unused(docs, "file"), unused(docs, "row")
+    place = rows.metadataColumn("_metadata")
+    placed = rows.withColumns({file: place["file_path"], row: place["row_index"]})
+    return placed.join(kept.select(F.col("file").alias(file), F.col("row").alias(row)), [file, row], "left_semi").select(*[f"`{c}`" for c in docs.columns])
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,7 +7,9 @@ losses differ by less than MARGIN. A text that is null or has no letter is `und`
 
 Rows to learn from: non-null lang and text, at most about SAMPLE, the same share of each language, chosen by a hash of doc_id.
 Up to 7 codes the exhaustive code is used, beyond that a seeded random one of the largest least distance found.
-With no row to learn from, every text is `und`.
+With no row to learn from, every text is `und`. Of equal losses the first language by name is taken. A text of any length is read
+whole. Rows are independent; repeated rows give repeated results. An empty table gives no rows. `predict` reads doc_id and text
+only; `accepted` keeps extra columns, whatever their names.
 """
 
 from __future__ import annotations
@@ -26,7 +28,7 @@ UNDETERMINED = "und"
 
 
 def features(text: str, cells: int = CELLS) -> np.ndarray:
-    """Square roots of the counts of n-grams of 1 to 4 bytes within words, hashed to cells, to length one."""
+    """Square roots of the counts of n-grams of 2 to 4 bytes, across words too but without digits, hashed to cells, to length one."""
     b = np.frombuffer((" " + text.lower() + " ").encode("utf-8", "replace"), np.uint8).astype(np.uint32)
     b = b[(b < 48) | (b > 57)]
     total = np.zeros(cells, np.int64)

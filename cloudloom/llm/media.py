@@ -9,7 +9,7 @@ queries times index. A query corner looks up its own word and those that differ
 (the tests whose two places are least apart in brightness). Words are dealt to cells by their first bits; a cell with many query
 corners is cut into blocks, its index corners into as many parts, and in a task a block is held while index corners stream past
 it. Corners that meet and differ in at most NEAR bits vote for a shift, a turn and a change of scale; a pair of images with
-CANDIDATE votes that agree is then compared exactly: all its pairs of corners within NEAR bits vote, and with INLIERS that agree
+CANDIDATE votes that agree (votes travel gathered by query image and share of the index) is then compared exactly: all its pairs of corners within NEAR bits vote, and with INLIERS that agree
 the one is a copy of the other, also if it was cropped or its brightness and contrast edited.
 
 Images of equal content are one class and are described once; results hold pairs of classes' representatives and membership.
@@ -29,6 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cloudloom.llm.common import cut, dropped, mapped, slices, table
+from cloudloom.llm.hashing import mix
 
 SCALES, RESPONSE, NEAR, CANDIDATE, INLIERS, PATCH = 2, 1, 48, 2, 3, 15
 TURNS = 30
@@ -37,6 +38,8 @@ UNSURE, FLIPS = 10, 3
 SHIFT = 8
 #: Corners of a cell and of a block of queries, pairs of descriptors that are compared at once, and pixels that are described at once.
 CELL, BLOCK, STEP, PIXELS = 1 << 15, 1 << 15, 200_000, 1 << 20
+#: Images of the index in a share; and corners of an image of 96 x 96, on average, which decides the size of words and shares only.
+SHARE, CORNERS = 4096, 60
 #: Bits of a word that name its cell, at most: the sizes of so many cells for each table are what the driver holds and sends.
 CELL_BITS = 16
 
@@ -289,14 +292,34 @@ def blocked(asked: DataFrame) -> tuple[DataFrame, dict[tuple[int, int], int]]:
     return rows.select(asked.columns), sizes
 
 
-def met(rows: DataFrame, tables: int) -> DataFrame:
-    """query, found, and the poses q and d of corners that meet in a cell and differ in at most NEAR bits."""
+#: A vote: the found image, and the poses (place, turn and scale) of the two corners.
+VOTE = np.dtype([("found", "<i8"), ("q", "<i8"), ("d", "<i8")])
+VOTES = "query long, share int, n int, votes binary"
+
+
+def shares_of(images: int) -> int:
+    """Shares that the found images are dealt to, so that the votes of a query for a share's images are no more than a task can hold."""
+    return -(-max(1, images) // SHARE)
+
+
+def in_votes(query: np.ndarray, votes: np.ndarray, shares: int) -> pa.RecordBatch:
+    """A row for each query image and share of found images with its votes."""
+    share = (mix(votes["found"].view(np.uint64)) % np.uint64(shares)).astype(np.int64)
+    order = np.lexsort((share, query))
+    query, share, votes = query[order], share[order], votes[order]
+    starts = np.flatnonzero(np.concatenate([[True], (query[1:] != query[:-1]) | (share[1:] != share[:-1])])) if len(query) else np.zeros(0, int)
+    blobs = [squeezed(votes[a:b]) for a, b in zip(starts, [*starts[1:], len(votes)], strict=False)]
+    return pa.RecordBatch.from_arrays([pa.array(query[starts]), pa.array(share[starts], pa.int32()), pa.array(np.diff([*starts, len(votes)])[: len(starts)], pa.int32()), pa.array(blobs, pa.binary())], ["query", "share", "n", "votes"])
+
+
+def met(rows: DataFrame, tables: int, shares: int) -> DataFrame:
+    """Rows of VOTES: corners that meet in a cell and differ in at most NEAR bits, gathered by query image and share in each task."""
     asks, index = numbered(asking(tables)), numbered(CORNER)
 
     def pose(c: np.ndarray) -> np.ndarray:
         return (c["x"].astype(np.int64) << 40) | (c["y"].astype(np.int64) << 16) | (c["turn"].astype(np.int64) << 8) | c["scale"]
 
-    def compared(block: tuple, d: np.ndarray) -> pa.RecordBatch:
+    def compared(block: tuple, d: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         q, q_bits, looked_up, owner = block
         d_bits = np.ascontiguousarray(d["bits"]).view("<u8")
         first, last = (np.searchsorted(looked_up, d["word"], side=s) for s in ("left", "right"))
@@ -310,15 +333,24 @@ def met(rows: DataFrame, tables: int) -> DataFrame:
             good = np.bitwise_count(q_bits[who] ^ d_bits[whom]).sum(1, dtype=np.int32) <= NEAR
             out.append((who[good], whom[good]))
         who, whom = (np.concatenate([o[k] for o in out]) for k in (0, 1))
-        return pa.RecordBatch.from_arrays([pa.array(q["image"][who]), pa.array(d["image"][whom]), pa.array(pose(q)[who]), pa.array(pose(d)[whom])], ["query", "found", "q", "d"])
+        votes = np.zeros(len(who), VOTE)
+        votes["found"], votes["q"], votes["d"] = d["image"][whom], pose(q)[who], pose(d)[whom]
+        return q["image"][who], votes
 
     def run(batches):
-        now, waiting, block, passing = None, [], None, []
+        now, waiting, block, passing, cast = None, [], None, [], []
+
+        def flush():
+            nonlocal cast
+            query, votes = (np.concatenate([c[k] for c in cast]) for k in (0, 1))
+            cast = []
+            return in_votes(query, votes, shares)
+
         for batch in slices(batches, 1024):
             for key, is_held, n, blob in zip(zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True), *(batch.column(k).to_pylist() for k in (4, 5, 6)), strict=True):
                 if key != now:
                     if block and passing:
-                        yield compared(block, np.concatenate(passing))
+                        cast.append(compared(block, np.concatenate(passing)))
                     now, waiting, block, passing = key, [], None, []
                 if is_held:
                     waiting.append(loosened(blob, n, asks))
@@ -334,13 +366,17 @@ def met(rows: DataFrame, tables: int) -> DataFrame:
                     block = q, np.ascontiguousarray(q["bits"]).view("<u8"), looked_up[order], owner[order]
                 passing.append(loosened(blob, n, index))
                 if sum(map(len, passing)) >= 1 << 14:
-                    yield compared(block, np.concatenate(passing))
+                    cast.append(compared(block, np.concatenate(passing)))
                     passing = []
+                    if sum(len(v) for _, v in cast) >= STEP:
+                        yield flush()
         if block and passing:
-            yield compared(block, np.concatenate(passing))
+            cast.append(compared(block, np.concatenate(passing)))
+        if cast:
+            yield flush()
 
     rows = rows.repartition("table", "cell", "block", "part").sortWithinPartitions("table", "cell", "block", "part", F.desc("held"))
-    return mapped(rows, run, "query long, found long, q long, d long")
+    return mapped(rows, run, VOTES)
 
 
 def agreeing(q: np.ndarray, q_image: np.ndarray, d: np.ndarray, d_image: np.ndarray, least: int = INLIERS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -367,23 +403,32 @@ def agreeing(q: np.ndarray, q_image: np.ndarray, d: np.ndarray, d_image: np.ndar
 
 
 def candidates(votes: DataFrame) -> DataFrame:
-    """query and found of images with CANDIDATE votes that agree. A pair has at most its two images' corners."""
-    pairs = votes.groupBy("query", "found").agg(F.collect_list(F.struct("q", "d")).alias("v")).where(F.size("v") >= CANDIDATE)
+    """query and found of images with CANDIDATE votes that agree; votes: rows of VOTES. A task holds the votes of a query for one share at a time."""
 
     def corners(pose: np.ndarray) -> np.ndarray:
         out = np.zeros(len(pose), CORNER)
         out["x"], out["y"], out["turn"], out["scale"] = pose >> 40, pose >> 16 & 0xFFFFFF, pose >> 8 & 255, pose & 255
         return out
 
+    def found(rows: list[tuple]) -> pa.RecordBatch:
+        votes = np.concatenate([loosened(blob, n, VOTE) for _, _, n, blob in rows])
+        query, q_at = np.unique(np.repeat([r[0] for r in rows], [r[2] for r in rows]), return_inverse=True)
+        image, d_at = np.unique(votes["found"], return_inverse=True)
+        a, b, _ = agreeing(corners(votes["q"]), q_at, corners(votes["d"]), d_at, CANDIDATE)
+        return pa.RecordBatch.from_arrays([pa.array(query[a], pa.int64()), pa.array(image[b], pa.int64())], ["query", "found"])
+
     def run(batches):
-        for batch in slices(batches, 512):
-            v, sizes = batch.column(2).flatten(), np.diff(batch.column(2).offsets.to_numpy())
-            q, d = (corners(v.field(k).to_numpy(zero_copy_only=False)) for k in (0, 1))
-            row = np.repeat(np.arange(len(sizes)), sizes)
-            good = pa.array(np.unique(agreeing(q, row, d, row, CANDIDATE)[0]), pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(good), batch.column(1).take(good)], ["query", "found"])
+        rows: list[tuple] = []
+        for batch in slices(batches):
+            for row in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
+                if rows and row[:2] != rows[-1][:2] and sum(r[2] for r in rows) >= STEP:
+                    yield found(rows)
+                    rows = []
+                rows.append(row)
+        if rows:
+            yield found(rows)
 
-    return mapped(pairs, run, "query long, found long")
+    return mapped(votes.repartition("query", "share").sortWithinPartitions("query", "share"), run, "query long, found long")
 
 
 def confirmed(pairs: DataFrame, asked: DataFrame, index: DataFrame, tables: int) -> DataFrame:
@@ -416,7 +461,7 @@ def matches(queries: DataFrame, index: DataFrame, corners: int, again=None) -> D
     asked = cut(descriptors(queries, tables, size), "asked")
     held_rows = cut(dealt_queries(asked, tables, size, cell_bits), "asked-cells")
     rows, blocks = blocked(held_rows)
-    votes = met(rows.select(*[c.split()[0] for c in DEALT.split(", ")]).union(dealt_index(descriptors(index), size, cell_bits, blocks)), tables)
+    votes = met(rows.select(*[c.split()[0] for c in DEALT.split(", ")]).union(dealt_index(descriptors(index), size, cell_bits, blocks)), tables, shares_of(int(corners) // CORNERS))
     pairs = cut(candidates(votes), "candidates")
     dropped(held_rows)
     ids = pairs.select(F.col("found").alias("id")).distinct()
@@ -468,10 +513,6 @@ def images(vectors: DataFrame, edit: bool) -> DataFrame:
     return mapped(vectors.select("id", "key", "embedding"), run, "id long, width int, height int, pixels binary")
 
 
-#: Corners of a rendered image, on average; it decides the size of words only.
-CORNERS = 60
-
-
 def search(vectors: DataFrame, is_query) -> DataFrame:
     """row_kind `member`: vec_id and rep_id (its class) for each row; `match`: a query class and a class in which the edited query was found, with inliers. vectors: vec_id, embedding."""
     content = F.coalesce(F.md5(F.to_json(F.struct("embedding")).cast("binary")), F.lit("0"))

@@ -17,7 +17,9 @@ components is lost, and no pairs are emitted but links. The work in a bucket is
 Each compared pair is verified by its exact multiset similarity.
 
 A class is a component of links; its id is its smallest doc_id. Null and empty texts are in no class but their own. A row whose
-doc_id is null has class_id null. Rows that repeat a doc_id and text are rows of one document. An empty table gives no rows.
+doc_id is null has class_id null. Rows that repeat a doc_id and text are rows of one document. Of nodes with equal scores the one
+of the larger key is a bucket's pivot; classes do not depend on it. A text of any length is read whole. An empty table gives no
+rows. Only doc_id and text are read; `dedup` keeps extra columns, whatever their names.
 """
 
 from __future__ import annotations
@@ -29,7 +31,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cloudloom.llm.common import cut, mapped, slices, table
+from cloudloom.llm.common import cut, dropped, mapped, slices, table
 from cloudloom.llm.components import components
 from cloudloom.llm.hashing import mix, word_hashes
 
@@ -216,19 +218,27 @@ def _compared(rows: DataFrame) -> DataFrame:
     return mapped(rows.select("bucket", "i", "j", "held", "minor", "key", "root", "bands", "bag"), run, "a binary, b binary")
 
 
-def _pivot_blocks(found: DataFrame, bags: DataFrame) -> DataFrame:
-    """The rows of `_compared` for each node and each pivot of its buckets: blocks of one pivot."""
+def _pivots(found: DataFrame) -> DataFrame:
+    """bucket, i (which copy of the pivot's elements), key and pivot: each node and each pivot of its buckets once."""
     pivots = found.groupBy("bucket").agg(F.max(F.struct("score", "key")).alias("p")).select("bucket", F.col("p.key").alias("pivot"))
     pairs = found.join(pivots, "bucket").where("key <> pivot").groupBy("key", "pivot").agg(F.min("bucket").alias("bucket"))
-    pairs = cut(pairs.select("bucket", F.pmod(F.xxhash64("key"), F.lit(SALTS)).cast("int").alias("i"), "key", "pivot"), "pivots")
+    return pairs.select("bucket", F.pmod(F.xxhash64("key"), F.lit(SALTS)).cast("int").alias("i"), "key", "pivot")
+
+
+def _pivot_blocks(pairs: DataFrame, bags: DataFrame) -> DataFrame:
+    """The rows of `_compared` for `_pivots`: blocks of one pivot."""
     held = pairs.select("bucket", "i", F.col("pivot").alias("key"), F.lit(True).alias("held")).distinct()
     rows = held.union(pairs.select("bucket", "i", "key", F.lit(False))).select("bucket", "i", F.lit(-1).alias("j"), "held", F.lit(False).alias("minor"), "key", F.col("key").alias("root"))
     return rows.join(bags.select("key", "bands", "bag"), "key")
 
 
-def _blocks(found: DataFrame, roots: DataFrame, bags: DataFrame) -> DataFrame:
+def _rooted(found: DataFrame, roots: DataFrame) -> DataFrame:
+    """found with the root of each node's component."""
+    return found.join(roots.withColumnRenamed("node", "key"), "key", "left").select("bucket", "key", "size", F.coalesce("root", "key").alias("root"))
+
+
+def _blocks(rooted: DataFrame, bags: DataFrame) -> DataFrame:
     """The rows of `_compared`: the blocks of buckets whose nodes are in several components."""
-    rooted = cut(found.join(roots.withColumnRenamed("node", "key"), "key", "left").select("bucket", "key", "size", F.coalesce("root", "key").alias("root")), "rooted")
     parts = rooted.groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("e"))
     whole = parts.groupBy("bucket").agg(F.count(F.lit(1)).alias("parts"), F.sum("n").alias("n"), F.sum("e").alias("e"), F.max(F.struct("n", "root", "e")).alias("top")).where("parts > 1")
     blocks = lambda n, e, nodes, elements: F.ceil(F.greatest(n / nodes, e / elements)).cast("int")
@@ -252,10 +262,17 @@ def links(docs: DataFrame, signed: DataFrame) -> DataFrame:
     wanted = cut(scores.join(nodes, "key"), "wanted")
     bags = cut(_bags(docs, wanted.select("doc_id").distinct(), wanted.select("key")).join(wanted.select("key", "score", "bands"), "key"), "bags")
     found = cut(shared.join(bags.select("key", "score", F.size("bag").alias("size")), "key"), "found")
-    first = cut(_compared(_pivot_blocks(found, bags)), "first_links")
+    dropped(shared, wanted)
+    pivots = cut(_pivots(found), "pivots")
+    first = cut(_compared(_pivot_blocks(pivots, bags)), "first_links")
     roots = components(first)
-    rest = cut(_compared(_blocks(found, roots, bags)), "other_links")
-    return components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(rest))
+    rooted = cut(_rooted(found, roots), "rooted")
+    dropped(pivots, first, found)
+    rest = cut(_compared(_blocks(rooted, bags)), "other_links")
+    dropped(rooted, bags)
+    out = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(rest))
+    dropped(roots, rest)
+    return out
 
 
 def classes(docs: DataFrame) -> DataFrame:
@@ -265,14 +282,15 @@ def classes(docs: DataFrame) -> DataFrame:
     ids = signed.where("key is not null").groupBy("key").agg(F.min("doc_id").alias("first_id"))
     root = F.coalesce("root", "key")
     placed = cut(ids.join(roots.withColumnRenamed("node", "key"), "key", "left").select("key", root.alias("root"), "first_id"), "placed")
+    dropped(roots)
     named = placed.join(placed.groupBy("root").agg(F.min("first_id").alias("class_id")), "root").select("key", "class_id")
     return signed.select("doc_id", "key").join(named, "key", "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"))
 
 
 def dedup(docs: DataFrame) -> DataFrame:
     """The rows of docs whose doc_id is their class's, all columns as they were. Rows without doc_id stay; of rows that repeat a doc_id all stay or go."""
-    gone = classes(docs).where("doc_id <> class_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    gone = classes(docs.select("doc_id", "text")).where("doc_id <> class_id").select("doc_id").distinct()
+    return docs.join(gone, "doc_id", "left_anti").select(*[f"`{c}`" for c in docs.columns])
 
 
 def query(spark, sf_dir: str) -> DataFrame:
