@@ -237,13 +237,13 @@ def pictures(spark, arrays):
     return spark.createDataFrame(rows, "id long, width int, height int, pixels binary")
 
 
-@pytest.mark.parametrize("size", [17, 21, 24, 27])
+@pytest.mark.parametrize("size", [20, 27])
 def test_media_finds_the_images_that_brute_force_finds(spark, monkeypatch, size):
-    """Of all pairs of images with enough agreeing matches among all pairs of their corners, by the words of indexes of 0.1 to 270 million corners; blocks and parts of cells are small, so there are many."""
+    """Of all pairs of images with enough agreeing matches among all pairs of their corners, by the words of indexes of 1 and of 130 million corners; blocks and parts of cells are small, so there are many."""
     monkeypatch.setattr(media, "BLOCK", 60)
     monkeypatch.setattr(media, "SHARE", 100)
     monkeypatch.setattr(media, "word_size", lambda corners: size)
-    base = grey(40, 6)
+    base = grey(30, 6)
     noise = np.random.default_rng(1).normal(0, 12, base.shape)
     border = np.pad(base[:, 10:86, 10:86], [(0, 0), (20, 20), (20, 20)], constant_values=30)
     half = (base[:, ::2, ::2].astype(int) + base[:, 1::2, ::2] + base[:, ::2, 1::2] + base[:, 1::2, 1::2]) // 4
@@ -259,7 +259,7 @@ def test_media_finds_the_images_that_brute_force_finds(spark, monkeypatch, size)
             n = media.agreeing(q[x], np.zeros(len(x), int), d[y], np.zeros(len(x), int))[2]
             if len(n):
                 want[k, i] = int(n[0])
-    assert got.items() <= want.items() and {k % 100 for k, _ in want} == set(range(40))
+    assert got.items() <= want.items() and {k % 100 for k, _ in want} == set(range(30))
     for kind in range(len(copies)):
         of = {p for p in want if p[0] // 100 == kind}
         share = len(of & set(got)) / len(of)

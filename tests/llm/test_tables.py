@@ -45,7 +45,7 @@ def test_awkward_tables(spark, name):
     if name in ("redacted", "dedup", "near", "accepted"):
         assert out.columns == df.columns and all((got[c] == "x").all() for c in CLASHING)
     if name in ROWS:  # copies, and the row repeated, get the same
-        plain = [tuple(str(v) for c, v in r.items() if c not in ("doc_id", "class_id")) for r in got[got.doc_id.isin([5, 6])].to_dict("records")]
+        plain = [tuple(str(v) for c, v in r.items() if c not in ("doc_id", "class_id", "lang")) for r in got[got.doc_id.isin([5, 6])].to_dict("records")]
         assert len(plain) == 3 and (len(set(plain)) == 1 or name == "scores")  # one of them is target
     if name == "classes":
         named = {int(r.doc_id): int(r.class_id) for r in got.itertuples() if r.doc_id == r.doc_id}
