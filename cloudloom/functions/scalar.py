@@ -22,8 +22,9 @@ def opacity_byte(v: Column) -> Column:
 
 
 def quantize16(v: Column, low: Column, high: Column) -> Column:
-    """0 to 65535 between low and high; an empty range counts as 1."""
-    return F.floor(F.lit(65535.0) * (v - low) / F.when(high == low, F.lit(1.0)).otherwise(high - low)).cast("int")
+    """0 to 65535 between low and high, which values beyond are moved to; an empty range counts as 1; NaN and null give 0."""
+    at = F.floor(F.lit(65535.0) * (F.least(F.greatest(v, low), high) - low) / F.when(high == low, F.lit(1.0)).otherwise(high - low)).cast("int")
+    return F.when(v.isNull() | F.isnan(v), 0).otherwise(at)
 
 
 def low_byte(v: Column) -> Column:
@@ -41,8 +42,8 @@ def spread_bits(v: Column) -> Column:
 
 
 def unit(v: Column, low: Column, high: Column) -> Column:
-    """v in [low, high] as a number from 0 to 1; an empty range gives 0."""
-    return F.when(high > low, F.least(F.greatest((v - low) / (high - low), F.lit(0.0)), F.lit(1.0))).otherwise(F.lit(0.0))
+    """v in [low, high] as a number from 0 to 1; an empty range, NaN and null give 0."""
+    return F.when((high > low) & ~F.isnan(v), F.least(F.greatest((v - low) / (high - low), F.lit(0.0)), F.lit(1.0))).otherwise(F.lit(0.0))
 
 
 def morton3d(x, y, z, low, high) -> Column:
@@ -63,15 +64,24 @@ def argmax_abs(q: list[Column]) -> Column:
     return (F.array_position(a, F.array_max(a)) - 1).cast("int")
 
 
-def smallest_three(q: list[Column]) -> list[Column]:
-    """Four bytes: the components but the largest, whose sign is made positive, and 252 + its index."""
-    q = normalized(q)
-    m = argmax_abs(q)
-    signed = F.array(*q)
-    signed = F.transform(signed, lambda c: F.when(F.element_at(signed, m + 1) < 0, -c).otherwise(c))
-    rest = F.filter(signed, lambda c, i: i != m)
+def bound(values: dict[str, Column], body) -> Column:
+    """body of a struct of values that are made once; an expression that names a value again and again would make it as often."""
+    return F.element_at(F.transform(F.array(F.struct(*[v.alias(k) for k, v in values.items()])), body), 1)
+
+
+def smallest_three(q: list[Column]) -> Column:
+    """A struct of four bytes, b0 to b2 and alpha: the components but the largest, whose sign is made positive, and 252 + its index."""
     byte = lambda c: F.least(F.greatest(F.floor(255 * (c * F.lit(math.sqrt(2)) * 0.5 + 0.5)), F.lit(0)), F.lit(255)).cast("smallint")
-    return [byte(rest[k]) for k in range(3)] + [(252 + m).cast("smallint")]
+
+    def second(x: Column) -> Column:
+        sign = F.when(F.element_at(x["q"], x["m"] + 1) < 0, F.lit(-1.0)).otherwise(F.lit(1.0))
+        rest = [sign * F.element_at(x["q"], F.when(x["m"] <= k, k + 2).otherwise(k + 1)) for k in range(3)]
+        return F.struct(*[byte(c).alias(f"b{k}") for k, c in enumerate(rest)], (252 + x["m"]).cast("smallint").alias("alpha"))
+
+    def first(x: Column) -> Column:
+        return bound({"q": F.array(*[x[f"q{k}"] for k in range(4)]), "m": argmax_abs([x[f"q{k}"] for k in range(4)])}, second)
+
+    return bound({"n": F.sqrt(sum((c * c for c in q[1:]), q[0] * q[0])), **{f"c{k}": c for k, c in enumerate(q)}}, lambda x: bound({f"q{k}": F.when(x["n"] > 0, x[f"c{k}"] / x["n"]).otherwise(x[f"c{k}"]) for k in range(4)}, first))
 
 
 def rotation(q: list[Column]) -> list[list[Column]]:

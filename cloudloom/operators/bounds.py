@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cloudloom.functions import scalar
@@ -12,9 +12,10 @@ AXES = ("x", "y", "z")
 MARGIN = 0.01
 
 
-def aabb(df: DataFrame, *by: str, margin: float = 0.0) -> DataFrame:
-    """min_x to max_z, by group if asked; partial sums meet, so it is one small shuffle."""
-    aggs = [f(F.col(a).cast("double")).alias(f"{n}_{a}") for n, f in (("min", F.min), ("max", F.max)) for a in AXES]
+def aabb(df: DataFrame, *by: str, margin: float = 0.0, count: str | None = None) -> DataFrame:
+    """min_x to max_z, by group if asked, of the values that are numbers, neither NaN nor infinite; null without one. count: a column for the number of rows. Partial sums meet, so it is one small shuffle."""
+    value = {a: F.when(finite(a), F.col(a).cast("double")) for a in AXES}
+    aggs = [f(value[a]).alias(f"{n}_{a}") for n, f in (("min", F.min), ("max", F.max)) for a in AXES] + ([F.count(F.lit(1)).alias(count)] if count else [])
     out = df.groupBy(*by).agg(*aggs) if by else df.agg(*aggs)
     if margin:
         out = out.withColumns({f"min_{a}": F.col(f"min_{a}") - margin for a in AXES} | {f"max_{a}": F.col(f"max_{a}") + margin for a in AXES})
@@ -37,24 +38,13 @@ def finite(*names: str):
 
 
 def ranked(df: DataFrame, group: str, order: list[str], name: str = "rank") -> DataFrame:
-    """df with the rank from 1 in its group, for groups of any size: rows are dealt by range, counted in their partitions, and
-    the counts of earlier partitions, a row for each partition and group, are added."""
-    import pandas as pd
-
-    dealt = df.repartitionByRange(group, *order).sortWithinPartitions(group, *order).withColumn("__part", F.spark_partition_id())
-
-    def number(batches):
-        last, seen = None, 0
-        for pdf in batches:
-            k = pdf.groupby(group, sort=False).cumcount() + 1
-            if len(pdf):
-                first = pdf[group].iloc[0]
-                k = k + pd.Series((pdf[group] == first).to_numpy() * (seen if first == last else 0), index=k.index)
-                last, seen = pdf[group].iloc[-1], int(k.iloc[-1])
-            yield pdf.assign(__k=k.astype("int64"))
-
-    rows = written(dealt.mapInPandas(number, f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in dealt.schema)}, __k long"), "ranked")
-    counts = rows.groupBy(group, "__part").agg(F.count(F.lit(1)).alias("__n"))
-    earlier = counts.alias("c").join(counts.alias("d"), (F.col(f"c.{group}") == F.col(f"d.{group}")) & (F.col("d.__part") < F.col("c.__part")), "left")
-    before = earlier.groupBy(F.col(f"c.{group}").alias(group), F.col("c.__part").alias("__part")).agg(F.coalesce(F.sum("d.__n"), F.lit(0)).alias("__before"))
-    return rows.join(before, [group, "__part"]).withColumn(name, F.col("__k") + F.col("__before")).drop("__part", "__k", "__before")
+    """df with the rank from 1 in its group, for groups of any size: rows are dealt by range and sorted in their partitions, where
+    each knows its place; the counts of earlier partitions, a row for each partition and group, are added."""
+    dealt = df.repartitionByRange(group, *order).sortWithinPartitions(group, *order)
+    rows = written(dealt.withColumn("__id", F.monotonically_increasing_id()), "ranked")
+    part, place = F.shiftright("__id", 33).alias("__part"), F.col("__id").bitwiseAND((1 << 33) - 1)
+    counts = rows.groupBy(group, part).agg(F.count(F.lit(1)).alias("__n"), F.min(place).alias("__first"))
+    earlier = Window.partitionBy(group).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    before = counts.select(group, "__part", "__first", F.coalesce(F.sum("__n").over(earlier), F.lit(0)).alias("__before"))
+    both = rows.withColumn("__part", part).join(before, [group, "__part"])
+    return both.withColumn(name, place - F.col("__first") + F.col("__before") + 1).drop("__part", "__id", "__first", "__before")

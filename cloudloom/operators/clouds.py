@@ -25,8 +25,9 @@ def widened(rest: Column, coefficients: int) -> Column:
     return F.concat(*[x for k in range(3) for x in (F.slice(rest, k * c + 1, c), zeros)])
 
 
-def union(parts: list[tuple[DataFrame, int]]) -> DataFrame:
-    """UNION ALL of clouds and their levels of detail; gid is the file's number above bit 40 and the row's number in it. Planes of harmonics get the widest width."""
+def union(parts: list[tuple[DataFrame, int]], widths: list[int] | None = None) -> DataFrame:
+    """UNION ALL of clouds and their levels of detail; gid is the file's number above bit 40 and the row's number in it. Planes of
+    harmonics get the widest width. widths: the lengths of f_rest by part, where they are known; else they are looked for."""
     out = None
     for k, (df, lod) in enumerate(parts):
         if not 0 <= lod <= 255:
@@ -34,7 +35,7 @@ def union(parts: list[tuple[DataFrame, int]]) -> DataFrame:
         one = df.withColumn("gid", F.lit(k << 40) + F.col("gid")).withColumn("lod", F.lit(lod).cast("smallint"))
         out = one if out is None else out.unionByName(one)
     if "f_rest" in out.columns and len(parts) > 1:
-        sizes = [df.agg(F.coalesce(F.max(F.size("f_rest")), F.lit(0))).first()[0] for df, _ in parts]
+        sizes = widths or [df.agg(F.coalesce(F.max(F.size("f_rest")), F.lit(0))).first()[0] for df, _ in parts]
         if len(set(sizes)) > 1:
             out = out.withColumn("f_rest", widened(F.col("f_rest"), max(sizes) // 3))
     return out

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -17,9 +19,26 @@ def initial(points: DataFrame, k: int, seed: int = SEED) -> list[list[float]]:
 
 
 def sums(assigned: DataFrame) -> DataFrame:
-    """cid, n and the mean of each place; rows meet in each task first, as fixed-width columns would, by (cid, place)."""
-    places = assigned.select("cid", F.posexplode("vec").alias("place", "v"))
-    return places.groupBy("cid", "place").agg(F.avg("v").alias("mean"), F.count(F.lit(1)).alias("n"))
+    """cid, place, mean and n. A task adds its vectors up by cluster first, so what is shuffled is a row for each task, cluster and place."""
+
+    def run(batches):
+        total, n = {}, {}
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            cid = batch.column(0).to_numpy()
+            x = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
+            order = np.argsort(cid, kind="stable")
+            some, starts, sizes = np.unique(cid[order], return_index=True, return_counts=True)
+            for c, v, m in zip(some.tolist(), np.add.reduceat(x[order], starts), sizes.tolist(), strict=True):
+                total[c], n[c] = total[c] + v if c in total else v, n.get(c, 0) + m
+        if total:
+            vectors = np.concatenate(list(total.values()))
+            width = len(vectors) // len(total)
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(list(total), width).astype(np.int32)), pa.array(np.tile(np.arange(width, dtype=np.int32), len(total))), pa.array(vectors), pa.array(np.repeat(list(n.values()), width))], ["cid", "place", "total", "n"])
+
+    parts = assigned.select("cid", F.col("vec").cast("array<double>")).mapInArrow(run, "cid int, place int, total double, n long")
+    return parts.groupBy("cid", "place").agg((F.sum("total") / F.sum("n")).alias("mean"), F.sum("n").alias("n"))
 
 
 def updated(assigned: DataFrame, centroids: list[list[float]]) -> list[list[float]]:

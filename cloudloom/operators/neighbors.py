@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 
 from cloudloom.functions.metrics import METRICS
 
-#: Queries that are sent to the executors at once, and index rows compared with them at once.
-QUERIES, ROWS = 4096, 512
+#: Queries that are sent to the executors at once, index rows compared with them at once, and centroids at once.
+QUERIES, ROWS, CENTROIDS = 4096, 512, 4096
 
 
 def distances(x: np.ndarray, q: np.ndarray, metric: str) -> np.ndarray:
@@ -24,6 +24,45 @@ def distances(x: np.ndarray, q: np.ndarray, metric: str) -> np.ndarray:
     return np.stack([((x - row) ** 2).sum(1) for row in q], 1)
 
 
+def nearer(x: np.ndarray, q: np.ndarray, metric: str, limit: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows of x, queries and distances of the pairs below each query's limit. Squared distances are first had from products of
+    blocks; only what is within rounding of the limit or below is then computed as it is defined."""
+    if metric != "l2":
+        d = distances(x, q, metric)
+        i, j = np.nonzero(d < limit)
+        return i, j, d[i, j]
+    xx, qq = (x * x).sum(1), (q * q).sum(1)
+    slack = 1e-9 * (1 + xx.max(initial=0) + qq)
+    i, j = np.nonzero(xx[:, None] + qq - 2 * (x @ q.T) < limit + slack)
+    d = np.concatenate([np.zeros(0), *[((x[i[at : at + 65536]] - q[j[at : at + 65536]]) ** 2).sum(1) for at in range(0, len(i), 65536)]])
+    ok = d < limit[j]
+    return i[ok], j[ok], d[ok]
+
+
+class Best:
+    """The k nearest of each query so far; of equal distances those of the smaller ids."""
+
+    def __init__(self, queries: int, k: int, radius: float | None):
+        self.d, self.i = np.full((queries, k), np.inf), np.full((queries, k), np.iinfo(np.int64).max)
+        self.radius = np.inf if radius is None else radius
+
+    def limit(self) -> np.ndarray:
+        """What is above cannot be among the best; what is equal still may, by its id."""
+        return np.minimum(np.nextafter(self.d[:, -1], np.inf), self.radius)
+
+    def add(self, ids: np.ndarray, j: np.ndarray, d: np.ndarray) -> None:
+        if not len(j):
+            return
+        k, some = self.d.shape[1], np.unique(j)
+        row = np.concatenate([np.repeat(some, k), j])
+        every_d, every_i = np.concatenate([self.d[some].ravel(), d]), np.concatenate([self.i[some].ravel(), ids])
+        order = np.lexsort((every_i, every_d, row))
+        row, every_d, every_i = row[order], every_d[order], every_i[order]
+        place = np.arange(len(row)) - np.searchsorted(row, row)
+        keep = place < k
+        self.d[row[keep], place[keep]], self.i[row[keep], place[keep]] = every_d[keep], every_i[keep]
+
+
 def _searched(index: DataFrame, queries: DataFrame, k: int | None, metric: str, radius: float | None) -> DataFrame:
     """qid, id, distance. Queries go out in blocks of bounded size; with k each task keeps its k best for each query."""
     spark, out = index.sparkSession, None
@@ -33,22 +72,18 @@ def _searched(index: DataFrame, queries: DataFrame, k: int | None, metric: str,
 
         def run(batches, sent=sent):
             qid, q = sent.value
-            best_d, best_i = np.zeros((len(qid), 0)), np.zeros((len(qid), 0), np.int64)
-            schema = ["qid", "id", "distance"]
+            schema, best = ["qid", "id", "distance"], Best(len(qid), k, radius) if k is not None else None
             for batch in (b.slice(at, ROWS) for b in batches for at in range(0, b.num_rows, ROWS)):
                 ids = batch.column(0).to_numpy(zero_copy_only=False)
                 x = batch.column(1).flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(ids), -1)
-                d = distances(x, q, metric)
-                if k is None:
-                    i, j = np.nonzero(d < radius)
-                    yield pa.RecordBatch.from_arrays([pa.array(qid[j]), pa.array(ids[i]), pa.array(d[i, j])], schema)
-                    continue
-                best_d, best_i = np.concatenate([best_d, d.T], 1), np.concatenate([best_i, np.tile(ids, (len(qid), 1))], 1)
-                order = np.lexsort((best_i, best_d), 1)[:, :k]
-                best_d, best_i = np.take_along_axis(best_d, order, 1), np.take_along_axis(best_i, order, 1)
-            if k is not None and best_d.size:
-                keep = np.ones(best_d.shape, bool) if radius is None else best_d < radius
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(qid, best_d.shape[1])[keep.ravel()]), pa.array(best_i[keep]), pa.array(best_d[keep])], schema)
+                i, j, d = nearer(x, q, metric, best.limit() if best else np.full(len(qid), radius))
+                if best:
+                    best.add(ids[i], j, d)
+                else:
+                    yield pa.RecordBatch.from_arrays([pa.array(qid[j]), pa.array(ids[i]), pa.array(d)], schema)
+            if best:
+                keep = np.isfinite(best.d)
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(qid, best.d.shape[1])[keep.ravel()]), pa.array(best.i[keep]), pa.array(best.d[keep])], schema)
 
         part = index.select(F.col("id").cast("long"), F.col("vec").cast("array<double>")).mapInArrow(run, "qid long, id long, distance double")
         out = part if out is None else out.union(part)
@@ -94,29 +129,37 @@ def box_search(points: DataFrame, low: tuple[float, ...], high: tuple[float, ...
     return points.where(out)
 
 
+def nearest_of(x: np.ndarray, c: np.ndarray, metric: str) -> tuple[np.ndarray, np.ndarray]:
+    """Number and distance of the nearest centroid of each row, the first of equal ones. Centroids are compared CENTROIDS at a time."""
+    best, least = np.zeros(len(x), np.int64), np.full(len(x), np.inf)
+    for at in range(0, len(c), CENTROIDS):
+        part = c[at : at + CENTROIDS]
+        if metric == "l2":  # by products; what is within rounding of the best is compared directly
+            approx = (x * x).sum(1)[:, None] - 2 * x @ part.T + (part * part).sum(1)
+            near = np.argmin(approx, 1)
+            slack = 1e-9 * (np.abs(approx).max(1) + 1)
+            close = approx <= approx[np.arange(len(x)), near][:, None] + slack[:, None]
+            for i in np.flatnonzero(close.sum(1) > 1):
+                some = np.flatnonzero(close[i])
+                near[i] = some[np.argmin(((part[some] - x[i]) ** 2).sum(1))]
+            d = ((x - part[near]) ** 2).sum(1)
+        else:
+            every = distances(x, part, metric)
+            near = np.argmin(every, 1)
+            d = every[np.arange(len(x)), near]
+        better = d < least
+        best[better], least[better] = near[better] + at, d[better]
+    return best, least
+
+
 def nearest_centroid(points: DataFrame, centroids: list[list[float]], metric: str = "l2") -> DataFrame:
     """points (id, vec) with cid and distance of the nearest centroid. Centroids are bounded by the palette (65,536)."""
-    table = np.array(centroids, float)
-    sent = points.sparkSession.sparkContext.broadcast(table)
+    sent = points.sparkSession.sparkContext.broadcast(np.array(centroids, float))
 
     def run(batches):
-        c = sent.value
         for batch in (b.slice(at, ROWS) for b in batches for at in range(0, b.num_rows, ROWS)):
-            n = batch.num_rows
-            x = batch.column(1).flatten().to_numpy(zero_copy_only=False).astype(float).reshape(n, -1)
-            if metric == "l2":  # by products; what is within rounding of the best is compared directly
-                approx = (x * x).sum(1)[:, None] - 2 * x @ c.T + (c * c).sum(1)
-                best = np.argmin(approx, 1)
-                slack = 1e-9 * (np.abs(approx).max(1) + 1)
-                close = approx <= approx[np.arange(n), best][:, None] + slack[:, None]
-                for i in np.flatnonzero(close.sum(1) > 1):
-                    some = np.flatnonzero(close[i])
-                    best[i] = some[np.argmin(((c[some] - x[i]) ** 2).sum(1))]
-                d = ((x - c[best]) ** 2).sum(1)
-            else:
-                every = distances(x, c, metric)
-                best = np.argmin(every, 1)
-                d = every[np.arange(n), best]
+            x = batch.column(1).flatten().to_numpy(zero_copy_only=False).astype(float).reshape(batch.num_rows, -1)
+            best, d = nearest_of(x, sent.value, metric)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(best.astype(np.int32)), pa.array(d)], ["id", "vec", "cid", "distance"])
 
     return points.select(F.col("id").cast("long"), F.col("vec").cast("array<double>").alias("vec")).mapInArrow(run, "id long, vec array<double>, cid int, distance double")

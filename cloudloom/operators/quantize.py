@@ -23,10 +23,10 @@ def value_range(values: DataFrame) -> tuple[float, float] | None:
     return None if row[0] is None else (float(row[0]), float(row[1]))
 
 
-def histogram(values: DataFrame, bins: int = BINS) -> DataFrame:
-    """bin, n, total of the finite values in bins of equal width between their least and largest."""
+def histogram(values: DataFrame, bins: int = BINS, ends: tuple[float, float] | None = None) -> DataFrame:
+    """bin, n, total of the finite values in bins of equal width between their least and largest, which are looked for unless they are given."""
     v = values.where(finite("value")).select(F.col("value").cast("double").alias("value"))
-    r = v.agg(F.min("value").alias("lo"), F.max("value").alias("hi"))
+    r = v.sparkSession.range(1).select(*[F.lit(e).alias(c) for e, c in zip(ends, ("lo", "hi"), strict=True)]) if ends else v.agg(F.min("value").alias("lo"), F.max("value").alias("hi"))
     width = (F.col("hi") - F.col("lo")) / bins
     at = F.when(width > 0, F.least(F.floor((F.col("value") - F.col("lo")) / width), F.lit(bins - 1))).otherwise(0)
     return v.crossJoin(F.broadcast(r)).groupBy(at.cast("int").alias("bin")).agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total"))
@@ -43,19 +43,39 @@ def prefixes(hist: DataFrame, lo: float, hi: float, bins: int = BINS, alpha: flo
 
 
 def solve(weight: np.ndarray, centre: np.ndarray, k: int) -> list[float]:
-    """Means of the k ranges of bins with the least weighted squared error, ascending, the last one repeated up to k."""
+    """Means of the k ranges of bins with the least weighted squared error, ascending, the last one repeated up to k.
+
+    With one range more, the best first bin of the last range does not fall as the range's end grows; so the ends are taken level
+    by level, the middle ones first, each between the first bins of its neighbours."""
     w, wx, wx2 = (np.concatenate([[0.0], np.cumsum(v)]) for v in (weight, weight * centre, weight * centre * centre))
     n, used = len(weight), min(k, int((weight > 0).sum()))
-    a, b = np.arange(n)[:, None], np.arange(1, n + 1)[None, :]
-    dw, dx, dx2 = w[b] - w[a], wx[b] - wx[a], wx2[b] - wx2[a]
-    with np.errstate(divide="ignore", invalid="ignore"):
-        cost = np.where(dw > 0, np.maximum(0.0, dx2 - dx * dx / dw), 0.0)
-    cost[a >= b] = np.inf  # cost[i, j]: bins i to j
-    best, came = cost[0].copy(), []
+
+    def cost(i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """Of bins i to j."""
+        dw, dx = w[j + 1] - w[i], wx[j + 1] - wx[i]
+        with np.errstate(divide="ignore", invalid="ignore"):
+            return np.where(dw > 0, np.maximum(0.0, wx2[j + 1] - wx2[i] - dx * dx / dw), 0.0)
+
+    best, came = cost(np.zeros(n, int), np.arange(n)), []
     for _ in range(1, used):
-        total = np.concatenate([[np.inf], best[:-1]])[:, None] + cost
-        from_ = np.argmin(total, 0)
-        best = total[from_, np.arange(n)]
+        before = np.concatenate([[np.inf], best[:-1]])
+        total, from_ = np.full(n, np.inf), np.zeros(n, int)
+        first, last, low, high = np.array([0]), np.array([n - 1]), np.array([0]), np.array([n - 1])
+        while len(first):
+            middle = (first + last) // 2
+            top = np.minimum(high, middle)
+            sizes = top - low + 1
+            starts = np.cumsum(sizes) - sizes
+            i = np.arange(sizes.sum()) - np.repeat(starts - low, sizes)
+            j = np.repeat(middle, sizes)
+            value = before[i] + cost(i, j)
+            least = np.minimum.reduceat(value, starts)
+            place = np.flatnonzero(value == np.repeat(least, sizes))
+            chosen = i[place[np.searchsorted(place, starts)]]
+            total[middle], from_[middle] = least, chosen
+            left, right = first < middle, middle < last
+            first, last, low, high = (np.concatenate(p) for p in ((first[left], middle[right] + 1), (middle[left] - 1, last[right]), (low[left], chosen[right]), (chosen[left], high[right])))
+        best = total
         came.append(from_)
     ends, j = [], n - 1
     for from_ in reversed(came):
@@ -76,7 +96,7 @@ def codebook(values: DataFrame, k: int = 256, alpha: float = ALPHA) -> list[floa
     if hi - lo < TINY:
         return [float(np.float32(lo))] * k
     weight, centre = np.zeros(BINS), lo + (np.arange(BINS) + 0.5) * ((hi - lo) / BINS)
-    for row in histogram(values).collect():
+    for row in histogram(values, BINS, r).collect():
         weight[row.bin], centre[row.bin] = row.n**alpha, row.total / row.n
     return solve(weight, centre, k)
 

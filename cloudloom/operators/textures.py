@@ -1,4 +1,6 @@
-"""Attributes as texture pixels: rows (ti, px, py, r, g, b, a), one for each pixel, padding included."""
+"""Attributes as texture pixels: rows (ti, px, py, r, g, b, a), one for each pixel, padding included.
+
+Positions that are not finite take no part in bounds; their bytes are those of the nearest end, and of the low end for NaN and null."""
 
 from __future__ import annotations
 
@@ -8,6 +10,7 @@ from pyspark.sql import functions as F
 from cloudloom.functions import scalar
 from cloudloom.operators import kmeans as km
 from cloudloom.operators import quantize as qz
+from cloudloom.operators.bounds import aabb
 from cloudloom.schema import COLOURS, POSITION, ROTATION, SCALES
 from cloudloom.shared import written
 
@@ -26,26 +29,28 @@ def pixels(df: DataFrame, rgba: list[Column], n: int, padding: tuple[int, int, i
 
 def means(df: DataFrame, n: int) -> tuple[dict[str, DataFrame], dict]:
     logs = df.select("pos", *[scalar.log_transform(F.col(a).cast("double")).cast("float").cast("double").alias(a) for a in POSITION])
-    r = logs.agg(*[F.min(a).alias(f"min_{a}") for a in POSITION], *[F.max(a).alias(f"max_{a}") for a in POSITION]).first()
+    r = aabb(logs).first().asDict()
+    r = {k: 0.0 if v is None else v for k, v in r.items()}
     v = [scalar.quantize16(F.col(a), F.lit(r[f"min_{a}"]), F.lit(r[f"max_{a}"])) for a in POSITION]
     out = {f"means_{k}": pixels(logs, [*map(f, v), F.lit(255)], n, (0, 0, 0, 255)) for k, f in (("l", scalar.low_byte), ("u", scalar.high_byte))}
-    return out, {"mins": [r[f"min_{a}"] for a in POSITION], "maxs": [r[f"max_{a}"] for a in POSITION], "files": ["means_l.webp", "means_u.webp"]}
+    return out, {"mins": [r[f"min_{a}"] for a in POSITION], "maxs": [r[f"max_{a}"] for a in POSITION], "files": ["means_l", "means_u"]}
 
 
 def quats(df: DataFrame, n: int) -> tuple[dict[str, DataFrame], dict]:
-    return {"quats": pixels(df, scalar.smallest_three([F.col(c).cast("double") for c in ROTATION]), n, (0, 0, 0, 0))}, {"files": ["quats.webp"]}
+    rows = df.select("pos", scalar.smallest_three([F.col(c).cast("double") for c in ROTATION]).alias("t"))
+    return {"quats": pixels(rows, [F.col(f"t.{c}") for c in ("b0", "b1", "b2", "alpha")], n, (0, 0, 0, 0))}, {"files": ["quats"]}
 
 
 def scales(df: DataFrame, n: int) -> tuple[dict[str, DataFrame], dict]:
     book = qz.codebook(qz.unpivot(df.select(*SCALES), *SCALES), CODES)
     rows = qz.labelled(df, SCALES, book)
-    return {"scales": pixels(rows, [*[F.col(f"label_{c}") for c in SCALES], F.lit(255)], n, (0, 0, 0, 255))}, {"codebook": book, "files": ["scales.webp"]}
+    return {"scales": pixels(rows, [*[F.col(f"label_{c}") for c in SCALES], F.lit(255)], n, (0, 0, 0, 255))}, {"codebook": book, "files": ["scales"]}
 
 
 def colours(df: DataFrame, n: int) -> tuple[dict[str, DataFrame], dict]:
     book = qz.codebook(qz.unpivot(df.select(*COLOURS), *COLOURS), CODES)
     rows = qz.labelled(df, COLOURS, book)
-    return {"sh0": pixels(rows, [*[F.col(f"label_{c}") for c in COLOURS], scalar.opacity_byte(F.col("opacity").cast("double"))], n, (0, 0, 0, 0))}, {"codebook": book, "files": ["sh0.webp"]}
+    return {"sh0": pixels(rows, [*[F.col(f"label_{c}") for c in COLOURS], scalar.opacity_byte(F.col("opacity").cast("double"))], n, (0, 0, 0, 0))}, {"codebook": book, "files": ["sh0"]}
 
 
 def centroid_pixels(spark, labels: list[list[int]], coefficients: int) -> DataFrame:
@@ -69,14 +74,14 @@ def sh_label_pixels(df: DataFrame, n: int) -> DataFrame:
     return pixels(df, [scalar.low_byte(F.col("cid")), scalar.high_byte(F.col("cid")), F.lit(0), F.lit(255)], n, (0, 0, 0, 0))
 
 
-def harmonics(df: DataFrame, n: int, iterations: int) -> tuple[dict[str, DataFrame], dict] | None:
-    """Two textures, or nothing where there are no harmonics."""
+def harmonics(df: DataFrame, n: int, iterations: int, start: list[list[float]] | None = None) -> tuple[dict[str, DataFrame], dict] | None:
+    """Two textures, or nothing where there are no harmonics. start: centroids to begin with, instead of a seeded choice of rows."""
     length = df.agg(F.max(F.size("f_rest"))).first()[0] if "f_rest" in df.columns else None
     if not length or length < 3:
         return None
     c, spark = length // 3, df.sparkSession
     points = df.select(F.col("gid").alias("id"), F.col("f_rest").alias("vec"))
-    centroids, assigned = km.kmeans(points, min(scalar.palette_size(n), n), iterations)
+    centroids, assigned = km.kmeans(points, min(scalar.palette_size(n), n), iterations, start)
     values = spark.createDataFrame([(float(v),) for row in centroids for v in row], "value double")
     book = qz.codebook(values, CODES)
     mids = [(a + b) / 2 for a, b in zip(book, book[1:], strict=False)]
@@ -86,5 +91,5 @@ def harmonics(df: DataFrame, n: int, iterations: int) -> tuple[dict[str, DataFra
     rows = df.select("gid", "pos").join(assigned.select(F.col("id").alias("gid"), "cid"), "gid")
     return (
         {"shN_centroids": centroid_pixels(spark, labels, c), "shN_labels": sh_label_pixels(written(rows, "sh-labels"), n)},
-        {"count": len(centroids), "bands": {3: 1, 8: 2, 15: 3}.get(c, 0), "codebook": book, "files": ["shN_centroids.webp", "shN_labels.webp"]},
+        {"count": len(centroids), "bands": {3: 1, 8: 2, 15: 3}.get(c, 0), "codebook": book, "files": ["shN_centroids", "shN_labels"]},
     )

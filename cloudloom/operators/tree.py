@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import functools
+
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -11,8 +14,8 @@ from cloudloom.operators.bounds import AXES, aabb, finite, oriented_bounds, rank
 from cloudloom.shared import written
 
 LEAST, TO_ROWS, MAX_DEPTH = 256, 1024, 60
-#: Nodes beyond so many rows are ranked over many tasks.
-LOCAL_ROWS = 2_000_000
+#: Nodes of up to so many rows are split to their leaves in one task; larger ones level by level over many.
+LOCAL_ROWS = 250_000
 
 
 def is_leaf(n: Column, largest: Column, chunk_count: int, extent: float) -> Column:
@@ -20,32 +23,66 @@ def is_leaf(n: Column, largest: Column, chunk_count: int, extent: float) -> Colu
 
 
 def build(points: DataFrame, chunk_count: int = 512, extent: float = 16.0, local_rows: int = LOCAL_ROWS) -> DataFrame:
-    """points with node and depth of their leaf. A level sorts the rows of unfinished nodes by their axis and gid; the first
-    floor(n / 2) go left. Each level is written, so plans do not grow; finished rows are set aside."""
+    """points with node and depth of their leaf. A node's rows are sorted by its axis and gid; the first floor(n / 2) go left.
+    Extents are of finite rows only. Nodes of over local_rows are split a level at a time, each level ranked over many tasks and
+    written, so plans do not grow; then one shuffle by node brings each smaller node to a task that splits it to its leaves."""
     if chunk_count < 0:
         raise ValueError("chunk_count must not be negative")
-    todo, done, depth = points.withColumn("node", F.lit(1).cast("bigint")), [], 0
+    todo, small, done, depth = points.withColumn("node", F.lit(1).cast("bigint")), [], [], 0
     while True:
-        nodes = aabb(todo, "node").join(todo.groupBy("node").agg(F.count(F.lit(1)).alias("n")), "node")
-        ext = [F.col(f"max_{a}") - F.col(f"min_{a}") for a in AXES]
-        nodes = written(nodes.select("node", "n", is_leaf(F.col("n"), scalar.largest_dim(ext), chunk_count, extent).alias("leaf"), scalar.split_axis(*ext).alias("axis")), "nodes")
-        rows = todo.join(nodes, "node")
-        done.append(written(rows.where("leaf").drop("n", "leaf", "axis").withColumn("depth", F.lit(depth)), "leaves"))
-        largest = nodes.where("not leaf").agg(F.max("n")).first()[0]
-        if largest is None or depth >= MAX_DEPTH:
+        b = aabb(todo, "node", count="n")
+        ext = [F.coalesce(F.col(f"max_{a}") - F.col(f"min_{a}"), F.lit(0.0)) for a in AXES]
+        leaf = is_leaf(F.col("n"), scalar.largest_dim(ext), chunk_count, extent)
+        nodes = written(b.select("node", (F.col("n") > local_rows).alias("large"), "n", leaf.alias("leaf"), scalar.split_axis(*ext).alias("axis")), "nodes")
+        kinds = {(r.large, r.leaf) for r in nodes.select("large", "leaf").distinct().collect()}
+        rows = todo.join(nodes.where("large"), "node", "left") if any(large for large, _ in kinds) else todo.withColumns({"large": F.lit(None).cast("boolean"), "leaf": F.lit(None).cast("boolean")})
+        small.append((rows.where("large is null").select(todo.columns), depth))
+        done.append((rows.where("large and leaf").select(todo.columns), depth))
+        if (True, False) not in kinds:
             break
-        rows = rows.where("not leaf").withColumn("v", F.when(F.col("axis") == 2, F.col("z")).when(F.col("axis") == 1, F.col("y")).otherwise(F.col("x")))
-        if largest > local_rows:
-            rows = ranked(rows, "node", ["v", "gid"], "k")
-        else:
-            rows = rows.withColumn("k", F.row_number().over(Window.partitionBy("node").orderBy("v", "gid")))
+        rows = rows.where("large and not leaf").withColumn("v", F.when(F.col("axis") == 2, F.col("z")).when(F.col("axis") == 1, F.col("y")).otherwise(F.col("x")))
+        rows = ranked(rows, "node", ["v", "gid"], "k")
         side = F.when(F.col("k") <= F.floor(F.col("n") / 2), 0).otherwise(1)
-        todo = written(rows.withColumn("node", 2 * F.col("node") + side).drop("n", "leaf", "axis", "v", "k"), "level")
+        todo = written(rows.select(*[c for c in todo.columns if c != "node"], (2 * F.col("node") + side).alias("node")), "level")
         depth += 1
-    out = done[0]
-    for d in done[1:]:
-        out = out.unionByName(d)
-    return out
+
+    def united(parts: list[tuple[DataFrame, int]]) -> DataFrame:
+        return functools.reduce(DataFrame.unionByName, [rows.withColumn("depth", F.lit(k)) for rows, k in parts])
+
+    out = united(small)
+    schema = out.schema
+
+    def split(t: pa.Table) -> pa.Table:
+        node, at = leaves(t, chunk_count, extent)
+        for name, values in (("node", node), ("depth", at)):
+            k = t.schema.get_field_index(name)
+            t = t.set_column(k, t.schema.field(k), pa.array(values, t.schema.field(k).type))
+        return t
+
+    return out.groupBy("node").applyInArrow(split, schema).unionByName(united(done))
+
+
+def leaves(t: pa.Table, chunk_count: int, extent: float) -> tuple[np.ndarray, np.ndarray]:
+    """node and depth of the leaf of each row of a node."""
+    axes = [t.column(a).cast(pa.float64()).to_numpy(zero_copy_only=False) for a in AXES]
+    gid, missing = t.column("gid").to_numpy(), [t.column(a).is_null().to_numpy(zero_copy_only=False) for a in AXES]
+    node, depth = np.zeros(len(gid), np.int64), np.zeros(len(gid), np.int32)
+    todo = [(t.column("node")[0].as_py(), t.column("depth")[0].as_py(), np.arange(len(gid)))]
+    while todo:
+        number, level, rows = todo.pop()
+        ext = []
+        for v in axes:
+            v = v[rows]
+            v = v[np.isfinite(v)]
+            ext.append(float(v.max() - v.min()) if len(v) else 0.0)
+        n = len(rows)
+        if n <= LEAST or n <= chunk_count * TO_ROWS and max(ext) <= extent or level >= MAX_DEPTH:
+            node[rows], depth[rows] = number, level
+            continue
+        axis = 1 if ext[1] > ext[0] and ext[1] > ext[2] else 2 if ext[2] > ext[0] and ext[2] > ext[1] else 0
+        rows = rows[np.lexsort((gid[rows], axes[axis][rows], ~missing[axis][rows]))]  # null first, NaN last
+        todo += [(2 * number, level + 1, rows[: n // 2]), (2 * number + 1, level + 1, rows[n // 2 :])]
+    return node, depth
 
 
 def dfs_position(node: Column, depth: Column, levels: int = MAX_DEPTH) -> Column:

@@ -23,10 +23,10 @@ def points(spark: SparkSession, sf_dir: str) -> DataFrame:
 def cloud(spark: SparkSession, sf_dir: str) -> DataFrame:
     """orders as a full splat cloud without harmonics; the other attributes follow from the key and price."""
     key, price = F.col("gid"), F.col("x").cast("double")
-    made = {c: (((key * (k + 3)) % 97) / F.lit(97.0) * -4 - k / 10).cast("float") for k, c in enumerate(SCALES)}
+    made = {c: (((price * (k + 3)) % 97) / F.lit(97.0) * -4 - k / 10).cast("float") for k, c in enumerate(SCALES)}
     made |= {c: (((key * (2 * k + 5)) % 101) / F.lit(50.0) - 1).cast("float") for k, c in enumerate(ROTATION)}
     made |= {"opacity": (price / 100 - 2).cast("float")}
-    made |= {c: (((key * (k + 7)) % 89) / F.lit(44.0) - 1).cast("float") for k, c in enumerate(COLOURS)}
+    made |= {c: (((price * (k + 7)) % 89) / F.lit(44.0) - 1).cast("float") for k, c in enumerate(COLOURS)}
     return points(spark, sf_dir).withColumns(made)
 
 

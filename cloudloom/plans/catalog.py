@@ -8,8 +8,9 @@ from cloudloom.functions import scalar
 from cloudloom.operators import bounds, clouds, kmeans, morton, neighbors, quantize, textures, tree
 from cloudloom.plans import adapters as ad
 from cloudloom.plans import encode
-from cloudloom.schema import ROTATION, SCALES
-from cloudloom.shared import written
+from cloudloom.schema import BASE, COLOURS, ROTATION, SCALES
+from cloudloom.shared import new_path, written
+from cloudloom.sources import ply
 
 #: A codebook of 16 values for lineitem prices, k centroids and query ids for embeddings.
 BOOK = [float(900 + 6500 * k) for k in range(16)]
@@ -84,15 +85,18 @@ def _queries(spark, d):
     return ad.vectors(spark, d).where(F.col("id") % EVERY == 0).select(F.col("id").alias("qid"), "vec")
 
 
-_trees: dict[tuple[str, str], object] = {}
+def _tree(spark, d):
+    return written(tree.build(ad.points(spark, d), 1, 16.0), "tree")
 
 
-def _tree(spark, d):
-    """Built once for each session and table; five queries start from it."""
-    key = (spark.sparkContext.applicationId, d)
-    if key not in _trees:
-        _trees[key] = written(tree.build(ad.points(spark, d), 1, 16.0), "tree")
-    return _trees[key]
+def _numbered(df):
+    """df with pos, the place of its gid."""
+    return bounds.ranked(df.withColumn("__all", F.lit(0)), "__all", ["gid"], "pos").withColumn("pos", F.col("pos") - 1).drop("__all")
+
+
+def _bytes(df, *keep):
+    """Pixels with their bytes as whole numbers of one width."""
+    return df.select(*keep, "ti", "px", "py", *[F.col(c).cast("int") for c in "rgba"])
 
 
 def _prices(spark, d):
@@ -103,9 +107,9 @@ def _chunks(spark, d):
     return tree.pack_chunks(tree.leaf_lod_bins(_tree(spark, d)), tree.TO_ROWS)
 
 
-def _rounded(df, *keep):
-    """Doubles to 6 places, so that the order of sums does not show."""
-    return df.select(*[(F.round(c, 6) + F.lit(0.0)).alias(c) if t == "double" and c not in keep else F.col(c) for c, t in df.dtypes])
+def _rounded(df, places=6):
+    """Doubles to some places, so that the order of sums does not show."""
+    return df.select(*[(F.round(c, places) + F.lit(0.0)).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
 
 
 def morton_encode(s, d):
@@ -129,16 +133,14 @@ def opacity_byte(s, d):
 
 
 def encode_means(s, d):
-    p = ad.points(s, d).select("gid", *[scalar.log_transform(D(a)).alias(a) for a in AXES])
-    r = F.broadcast(bounds.aabb(p))
-    v = {a: F.floor(65535 * (F.col(a) - F.col(f"min_{a}")) / (F.col(f"max_{a}") - F.col(f"min_{a}")) + 1e-7).cast("int") for a in AXES}
-    q = p.crossJoin(r).select("gid", *[e.alias(a) for a, e in v.items()])
-    return q.select("gid", *[f(F.col(a)).cast("int").alias(f"{n}_{a}") for n, f in (("lo", scalar.low_byte), ("hi", scalar.high_byte)) for a in AXES])
+    p = ad.points(s, d)
+    made = textures.means(_numbered(p), p.count())[0]
+    return _bytes(made["means_l"].select(F.lit("means_l").alias("texture"), "*").unionByName(made["means_u"].select(F.lit("means_u").alias("texture"), "*")), "texture")
 
 
 def quat_smallest_three(s, d):
     b = scalar.smallest_three([D(c) for c in ROTATION])
-    return ad.quaternions(s, d).select("gid", *[c.cast("int").alias(n) for n, c in zip(("b0", "b1", "b2", "alpha"), b, strict=True)])
+    return ad.quaternions(s, d).select("gid", b.alias("t")).select("gid", *[F.col(f"t.{n}").cast("int").alias(n) for n in ("b0", "b1", "b2", "alpha")])
 
 
 def encode_quats(s, d):
@@ -175,13 +177,13 @@ def codebook_assign(s, d):
 
 
 def encode_scales(s, d):
-    c = ad.cloud(s, d).withColumn("pos", F.col("gid"))
-    return textures.scales(morton.ordered(c.drop("pos")), c.count())[0]["scales"]
+    c = ad.cloud(s, d)
+    return _bytes(textures.scales(morton.ordered(c), c.count())[0]["scales"])
 
 
 def encode_colors(s, d):
     c = ad.cloud(s, d)
-    return textures.colours(morton.ordered(c), c.count())[0]["sh0"]
+    return _bytes(textures.colours(morton.ordered(c), c.count())[0]["sh0"])
 
 
 def quantize1d(s, d):
@@ -189,6 +191,14 @@ def quantize1d(s, d):
     return s.createDataFrame(list(enumerate(book)), "idx int, value double")
 
 
+def quantize_attributes(s, d):
+    """Codebooks of 256 values of the scales and of the colours."""
+    c, out = ad.cloud(s, d), []
+    for name, columns in (("scales", SCALES), ("sh0", COLOURS)):
+        out += [(name, k, v) for k, v in enumerate(quantize.codebook(quantize.unpivot(c.select(*columns), *columns), 256))]
+    return s.createDataFrame(out, "texture string, idx int, value double")
+
+
 def nearest_centroid(s, d):
     return neighbors.nearest_centroid(ad.vectors(s, d), _start(s, d)).select("id", "cid", F.round("distance", 4).alias("distance"))
 
@@ -220,7 +230,7 @@ def radius_search(s, d):
 
 def radius_search_points(s, d):
     p = ad.points(s, d)
-    return neighbors.radius_search_points(p, p.where(F.col("gid") % 100 == 0).withColumnRenamed("gid", "qid"), 60.0).select("qid", "gid")
+    return neighbors.radius_search_points(p, p.where(F.col("gid") % EVERY == 0).withColumnRenamed("gid", "qid"), 60.0).select("qid", "gid")
 
 
 def radius_worst(s, d):
@@ -259,7 +269,30 @@ def file_catalog(s, d):
 
 def union_lods(s, d):
     p = ad.points(s, d)
-    return clouds.union([(p.where("lod = 0"), 0), (p.where("lod = 1"), 1)]).select((F.col("gid") % (1 << 40)).alias("gid"), F.shiftright("gid", 40).cast("int").alias("file_no"), F.col("lod").cast("int"), D("x").alias("x"))
+    return clouds.union([(p.where(F.col("lod") == k), k) for k in range(5)]).select((F.col("gid") % (1 << 40)).alias("gid"), F.shiftright("gid", 40).cast("int").alias("file_no"), F.col("lod").cast("int"), D("x").alias("x"))
+
+
+def scan_ply(s, d):
+    """The whole cloud of orders written as a PLY file of each level of detail, and read as tagged files."""
+    inputs, folder = [], new_path(s, "ply")
+    for k in range(5):
+        path = f"{folder}/{k}.ply"
+        ply.export_ply(_numbered(ad.cloud(s, d).where(F.col("lod") == k)), path)
+        inputs.append((path, k))
+    out = ply.read_many(s, inputs)
+    return out.select((F.col("gid") % (1 << 40)).alias("pos"), F.col("lod").cast("int"), *[D(c).alias(c) for c in BASE])
+
+
+def covariance_view(s, d):
+    rows = clouds.with_covariance(ad.quaternions(s, d))
+    return _rounded(rows.select("gid", *[F.element_at("covariance", k + 1).cast("double").alias(f"m{k}") for k in range(9)]), 4)
+
+
+def widen_harmonics(s, d):
+    """Clouds of 3 and of 8 coefficients united at the wider width."""
+    a, b = (ad.vectors(s, d, n).select(F.col("id").alias("gid"), F.lit(0).cast("smallint").alias("lod"), F.col("vec").alias("f_rest")) for n in (9, 24))
+    both = clouds.union([(a.where("gid % 2 = 0"), 0), (b.where("gid % 2 = 1"), 1)])
+    return both.select((F.col("gid") % (1 << 40)).alias("id"), F.size("f_rest").cast("bigint").alias("n"), *[F.element_at("f_rest", k + 1).cast("double").alias(f"f{k}") for k in range(24)])
 
 
 def filter_harmonics(s, d):
@@ -284,10 +317,20 @@ def texture_dims(s, d):
 
 
 def palette_size(s, d):
-    n = F.col("n")
-    steps = F.pow(F.lit(2.0), F.floor(F.log2(F.greatest(n / 1024, F.lit(1.0))))).cast("bigint")
-    t = ad.table(s, d, "lineitem").agg(F.count(F.lit(1)).alias("total")).select(F.explode(F.array(*[F.lit(v) for v in SIZES], F.col("total"))).alias("n"))
-    return t.select(F.col("n").cast("bigint").alias("n"), F.when(n < 1024, F.lit(256)).otherwise(F.least(F.lit(64), steps) * 1024).cast("bigint").alias("palette"))
+    sizes = [*SIZES, ad.table(s, d, "lineitem").count()]
+    return s.createDataFrame([(n, scalar.palette_size(n)) for n in sizes], "n bigint, palette bigint")
+
+
+def harmonic_bands(s, d):
+    t = ad.table(s, d, "part").select("p_partkey", F.col("p_size").alias("n"))
+    return t.select("p_partkey", scalar.sh_bands(F.col("n")).alias("bands"))
+
+
+def quantize_16_bits(s, d):
+    t = ad.table(s, d, "events").select("event_id", "value")
+    r = t.agg(F.min("value").alias("lo"), F.max("value").alias("hi"))
+    v = scalar.quantize16(F.col("value"), F.col("lo"), F.col("hi"))
+    return t.crossJoin(F.broadcast(r)).select("event_id", v.alias("v"), scalar.low_byte(v).cast("int").alias("lo"), scalar.high_byte(v).cast("int").alias("hi"))
 
 
 def sh_labels(s, d):
@@ -296,8 +339,8 @@ def sh_labels(s, d):
 
 
 def sh_centroid_layout(s, d):
-    rows = ad.table(s, d, "embeddings").where("vec_id < 100").select(F.col("vec_id").cast("int").alias("cid"), F.transform(F.slice("embedding", 1, 9), lambda v: F.floor(F.abs(v) * 200).cast("int") % 256).alias("label"))
-    return textures.centroid_layout(rows, 3, 192, 2).select("ti", "px", "py", *[F.col(c).cast("int") for c in "rgba"])
+    rows = ad.table(s, d, "embeddings").select(F.col("vec_id").cast("int").alias("cid"), F.transform(F.slice("embedding", 1, 9), lambda v: F.floor(F.abs(v) * 200).cast("int") % 256).alias("label"))
+    return textures.centroid_layout(rows, 3, 192, -(-rows.count() // 64)).select("ti", "px", "py", *[F.col(c).cast("int") for c in "rgba"])
 
 
 def project_finite(s, d):
@@ -310,21 +353,36 @@ def unpivot_attributes(s, d):
 
 
 def texture_padding(s, d):
-    p = ad.points(s, d).select((F.col("gid") - 0).alias("gid"))
-    rows = p.select(F.col("gid").alias("pos"))
+    p = ad.points(s, d)
+    return _bytes(textures.pixels(_numbered(p.select("gid")), [F.lit(1), F.lit(2), F.lit(3), F.lit(4)], p.count(), (0, 0, 0, 255)))
+
+
+def oriented_leaf_bounds(s, d):
+    """The bounds of all nodes of a tree over the whole cloud, from the oriented boxes of its splats."""
+    t = tree.build(ad.cloud(s, d), 1, 16.0)
+    return _rounded(tree.node_bounds(t).select("node", "depth", F.col("n").cast("bigint"), "is_leaf", *[f"{e}_{a}" for e in ("min", "max") for a in AXES]), 4)
+
+
+def harmonics_2iter(s, d):
+    """Both textures of the harmonics of embeddings, three coefficients, after two iterations from the first vectors."""
+    rows = ad.vectors(s, d, 9).select(F.col("id").alias("gid"), F.col("id").alias("pos"), F.col("vec").alias("f_rest"))
     n = rows.count()
-    return textures.pixels(rows.where(F.col("pos") < n), [F.lit(1), F.lit(2), F.lit(3), F.lit(4)], n, (0, 0, 0, 255)).groupBy("a").agg(F.count(F.lit(1)).alias("n")).select(F.col("a").cast("int"), "n")
+    start = [list(r.vec) for r in rows.where(F.col("gid") < min(scalar.palette_size(n), n)).orderBy("gid").select(F.col("f_rest").cast("array<double>").alias("vec")).collect()]
+    made, _ = textures.harmonics(rows, n, 2, start)
+    out = [_bytes(rows.select(F.lit(name).alias("texture"), "*"), "texture") for name, rows in sorted(made.items())]
+    return out[0].unionByName(out[1])
 
 
 def full_encode(s, d):
-    return encode.encoded_rows(ad.cloud(s, d))
+    return _bytes(encode.encoded_rows(ad.cloud(s, d)), "texture")
 
 
 QUERIES = {f.__name__: f for f in (
     morton_encode, morton_order, morton_order_local, log_transform, opacity_byte, encode_means, quat_smallest_three, encode_quats, covariance, oriented_bounds,
     aabb, histogram_1024, histogram_prefix, codebook_assign, encode_scales, encode_colors, quantize1d, nearest_centroid, kmeans_update, kmeans_2iter, knn, knn_l1, rknn,
     radius_search, radius_search_points, radius_worst, box_search, angle_so2, kd_partition, leaf_lod_bins, node_bounds, pack_chunks, file_catalog, union_lods, filter_harmonics,
-    subset, texture_dims, palette_size, sh_labels, sh_centroid_layout, project_finite, unpivot_attributes, texture_padding, full_encode)}
+    subset, texture_dims, palette_size, sh_labels, sh_centroid_layout, project_finite, unpivot_attributes, texture_padding, full_encode,
+    quantize_attributes, quantize_16_bits, scan_ply, covariance_view, widen_harmonics, harmonic_bands, oriented_leaf_bounds, harmonics_2iter)}
 
 _LOG = "CASE WHEN {0} < 0 THEN -1 ELSE 1 END * ln(abs({0}) + 1)"
 _COV = {f"m{3 * i + j}": " + ".join(f"r{i}{k}*r{j}{k}*s{k}*s{k}" for k in range(3)) for i in range(3) for j in range(3)}
@@ -342,13 +400,88 @@ _NEAR = f"near AS (SELECT a.vec_id AS qid, b.vec_id AS id, {{0}} AS d FROM embed
 _W = "greatest(4, 4 * CAST(ceil(ceil(sqrt(n)) / 4) AS BIGINT))"
 _PAD = "(SELECT count(*) AS n FROM orders)"
 
+
+
+def _pixels(own, pad):
+    """The pixels of a texture, padding included, from the CTE `own` of ti, r, g, b, a."""
+    return f"""SELECT CAST(ti AS BIGINT) AS ti, CAST(ti % w AS INT) AS px, CAST(ti // w AS INT) AS py, CAST(r AS INT) AS r, CAST(g AS INT) AS g, CAST(b AS INT) AS b, CAST(a AS INT) AS a
+  FROM (SELECT ti, r, g, b, a FROM {own} UNION ALL SELECT unnest(range(n, w * h)), {', '.join(map(str, pad))} FROM (
+    SELECT n, w, greatest(4, 4 * CAST(ceil(n / (w * 4.0)) AS BIGINT)) AS h FROM (SELECT n, {_W} AS w FROM (SELECT count(*) AS n FROM {own})))),
+  (SELECT {_W} AS w FROM (SELECT count(*) AS n FROM {own}))"""
+
+
+def _codebook(values, k, p):
+    """CTEs, ending in {p}book (idx, value): the optimal codebook of `values` (v) by dynamic programming over the bins that hold any."""
+    return f"""{p}e AS MATERIALIZED (SELECT min(v) AS lo, (max(v) - min(v)) / 1024 AS width FROM {values}),
+{p}f AS MATERIALIZED (SELECT least(floor((v - lo) / width), 1023) AS bin, sqrt(count(*)) AS weight, sum(v) / count(*) AS centre FROM {values}, {p}e GROUP BY 1),
+{p}g AS MATERIALIZED (SELECT row_number() OVER o - 1 AS i, sum(weight) OVER o AS w, sum(weight * centre) OVER o AS wx, sum(weight * centre * centre) OVER o AS wx2 FROM {p}f WINDOW o AS (ORDER BY bin ROWS UNBOUNDED PRECEDING)),
+{p}h AS MATERIALIZED (SELECT *, lag(w, 1, 0) OVER o AS w0, lag(wx, 1, 0) OVER o AS wx0, lag(wx2, 1, 0) OVER o AS wx20 FROM {p}g WINDOW o AS (ORDER BY i)),
+{p}c AS MATERIALIZED (SELECT a.i AS i, b.i AS j, greatest(0, b.wx2 - a.wx20 - (b.wx - a.wx0) * (b.wx - a.wx0) / (b.w - a.w0)) AS cost, CAST((b.wx - a.wx0) / (b.w - a.w0) AS FLOAT) AS mean FROM {p}h a JOIN {p}h b ON b.i >= a.i),
+{p}k AS (SELECT least({k}, count(*)) AS used FROM {p}h),
+{p}dp AS (SELECT 1 AS k, j, cost AS best, CAST(0 AS BIGINT) AS came FROM {p}c WHERE i = 0
+  UNION ALL SELECT d.k + 1, c.j, min(d.best + c.cost), arg_min(c.i, d.best + c.cost) FROM {p}dp d JOIN {p}c c ON c.i = d.j + 1 WHERE d.k < (SELECT used FROM {p}k) GROUP BY d.k, c.j),
+{p}way AS (SELECT k, j, came FROM {p}dp WHERE k = (SELECT used FROM {p}k) AND j = (SELECT max(i) FROM {p}h)
+  UNION ALL SELECT d.k, d.j, d.came FROM {p}way y JOIN {p}dp d ON d.k = y.k - 1 AND d.j = y.came - 1),
+{p}found AS (SELECT row_number() OVER (ORDER BY mean) - 1 AS idx, mean FROM {p}way JOIN {p}c ON i = came AND {p}c.j = {p}way.j),
+{p}book AS MATERIALIZED (SELECT CAST(t.idx AS INT) AS idx, CAST(coalesce(mean, (SELECT max(mean) FROM {p}found)) AS DOUBLE) AS value FROM (SELECT unnest(range({k})) AS idx) t LEFT JOIN {p}found f ON f.idx = t.idx)"""
+
+
+def _labels(p, columns):
+    """CTEs {p}mids and expressions of the labels of columns."""
+    return f"{p}mids AS MATERIALIZED (SELECT list(mid ORDER BY mid) AS mids FROM (SELECT (value + lead(value) OVER (ORDER BY idx)) / 2 AS mid FROM {p}book) WHERE mid IS NOT NULL)", [f"len(list_filter(mids, lambda m: {c} >= m))" for c in columns]
+
+
+def _float(e):
+    return f"CAST(CAST({e} AS FLOAT) AS DOUBLE)"
+
+
+_CLOUD = "cloud AS (SELECT *, " + ", ".join(
+    [f"{_float(f'((x * {k + 3}) % 97) / 97.0::DOUBLE * -4 - {k / 10}::DOUBLE')} AS scale_{k}" for k in range(3)] + [f"{_float(f'((gid * {2 * k + 5}) % 101) / 50.0::DOUBLE - 1')} AS rot_{k}" for k in range(4)]
+    + [f"{_float('x / 100 - 2')} AS opacity"] + [f"{_float(f'((x * {k + 7}) % 89) / 44.0::DOUBLE - 1')} AS f_dc_{k}" for k in range(3)]) + " FROM points)"
+_ORDERED = f"{POINTS}, {_CLOUD}, {_codes(' OVER ()').replace('FROM points', 'FROM cloud')}, ordered AS MATERIALIZED (SELECT *, row_number() OVER (ORDER BY code, gid) - 1 AS ti FROM codes)"
+
+
+def _values(columns, source):
+    return " UNION ALL ".join(f"SELECT {c} AS v FROM {source}" for c in columns)
+
+
+_SCALE_BOOK = f"sv AS ({_values(SCALES, 'ordered')}), {_codebook('sv', 256, 's')}"
+_COLOUR_BOOK = f"qv AS ({_values(COLOURS, 'ordered')}), {_codebook('qv', 256, 'q')}"
+_SCALE_OWN = f"{_labels('s', SCALES)[0]}, so AS MATERIALIZED (SELECT ti, {', '.join(f'{e} AS {c}' for e, c in zip(_labels('s', SCALES)[1], 'rgb', strict=True))}, 255 AS a FROM ordered, smids)"
+_COLOUR_OWN = f"{_labels('q', COLOURS)[0]}, qo AS MATERIALIZED (SELECT ti, {', '.join(f'{e} AS {c}' for e, c in zip(_labels('q', COLOURS)[1], 'rgb', strict=True))}, floor(least(greatest(255 / (1 + exp(-opacity)), 0), 255)) AS a FROM ordered, qmids)"
+_LOGS = ", ".join(f"{_float(_LOG.format(a))} AS {a}" for a in AXES)
+_MEANS = "mq AS MATERIALIZED (SELECT ti, " + ", ".join(f"CAST(floor(65535 * ({a} - min({a}) OVER ()) / (max({a}) OVER () - min({a}) OVER ())) AS INT) AS {a}" for a in AXES) + " FROM ml), ll AS (SELECT ti, x & 255 AS r, y & 255 AS g, z & 255 AS b, 255 AS a FROM mq), lu AS (SELECT ti, (x >> 8) & 255 AS r, (y >> 8) & 255 AS g, (z >> 8) & 255 AS b, 255 AS a FROM mq)"
+_QUATS = f"""u AS (SELECT ti, {', '.join(f'CASE WHEN len > 0 THEN rot_{k} / len ELSE rot_{k} END AS {c}' for k, c in enumerate('abcd'))} FROM (SELECT *, sqrt(rot_0*rot_0+rot_1*rot_1+rot_2*rot_2+rot_3*rot_3) AS len FROM ordered)),
+w AS (SELECT *, greatest(abs(a), abs(b), abs(c), abs(d)) AS big FROM u), m AS (SELECT *, CASE WHEN abs(a) = big THEN 0 WHEN abs(b) = big THEN 1 WHEN abs(c) = big THEN 2 ELSE 3 END AS i FROM w),
+v AS (SELECT ti, i, CASE WHEN [a, b, c, d][i + 1] < 0 THEN -1 ELSE 1 END AS sign, CASE i WHEN 0 THEN [b, c, d] WHEN 1 THEN [a, c, d] WHEN 2 THEN [a, b, d] ELSE [a, b, c] END AS rest FROM m),
+uo AS MATERIALIZED (SELECT ti, {', '.join(f'least(greatest(floor(255 * (sign * rest[{k + 1}] * sqrt(2.0::DOUBLE) * 0.5 + 0.5)), 0), 255) AS {c}' for k, c in enumerate('rgb'))}, 252 + i AS a FROM v)"""
+
+
+def _tagged(**parts):
+    return " UNION ALL ".join(f"SELECT '{name}' AS texture, * FROM ({sql})" for name, sql in parts.items())
+
+
+_H, _NH = 9, 256
+_HBINS = f"""h0 AS (SELECT vec_id AS cid, CAST(embedding[1:{_H}] AS DOUBLE[]) AS vec FROM embeddings WHERE vec_id < (SELECT least(count(*), CASE WHEN count(*) < 1024 THEN 256 ELSE 1024 END) FROM embeddings)),
+v AS (SELECT vec_id AS id, CAST(embedding[1:{_H}] AS DOUBLE[]) AS vec FROM embeddings)"""
+_HARMONICS = f"""WITH RECURSIVE {_HBINS}, {_assign('h0', 'ha')}, {_update('ha', 'h0', 'h1').replace('range(1, 65)', f'range(1, {_H + 1})')}, {_assign('h1', 'hb')}, {_update('hb', 'h1', 'h2').replace('range(1, 65)', f'range(1, {_H + 1})')},
+cv AS MATERIALIZED (SELECT cid, place, vec[place] AS v FROM h2, (SELECT unnest(range(1, {_H + 1})) AS place)), {_codebook('cv', 256, 'c')}, {_labels('c', ['v'])[0]},
+cl AS MATERIALIZED (SELECT cid, list(len(list_filter(mids, lambda m: v >= m)) ORDER BY place) AS label FROM cv, cmids GROUP BY cid),
+cp AS (SELECT (cid // 64) * 192 + (cid % 64) * 3 + j AS ti, label[j + 1] AS r, label[j + 4] AS g, label[j + 7] AS b FROM cl, (SELECT unnest(range(3)) AS j)),
+lp AS (SELECT id AS ti, cid & 255 AS r, (cid >> 8) & 255 AS g, 0 AS b, 255 AS a FROM hb)
+SELECT 'shN_centroids' AS texture, t.ti, CAST(t.ti % 192 AS INT) AS px, CAST(t.ti // 192 AS INT) AS py, CAST(coalesce(r, 0) AS INT) AS r, CAST(coalesce(g, 0) AS INT) AS g, CAST(coalesce(b, 0) AS INT) AS b, CASE WHEN r IS NULL THEN 0 ELSE 255 END AS a
+  FROM (SELECT unnest(range(192 * CAST(ceil((SELECT count(*) FROM h2) / 64.0) AS BIGINT))) AS ti) t LEFT JOIN cp ON cp.ti = t.ti
+UNION ALL SELECT 'shN_labels' AS texture, * FROM ({_pixels('lp', (0, 0, 0, 0))})"""
+_ORIENTED = "wide AS (SELECT t.node, t.depth, t.gid, " + ", ".join(f"c.{a} AS {a}" for a in [*AXES, *SCALES, *ROTATION]) + " FROM tree t JOIN cloud c ON c.gid = t.gid)"
+
+
 SQL = {
     "morton_encode": f"WITH {POINTS}, {_codes(' OVER ()')} SELECT gid, code FROM codes",
     "morton_order": f"WITH {POINTS}, {_codes(' OVER ()')} SELECT gid, code, row_number() OVER (ORDER BY code, gid) - 1 AS pos FROM codes",
     "morton_order_local": f"{TREE}, {_codes(' OVER (PARTITION BY node, lod)').replace('FROM points', 'FROM tree')} SELECT gid, node, lod, code, row_number() OVER (PARTITION BY node, lod ORDER BY code, gid) - 1 AS pos FROM codes",
     "log_transform": f"SELECT event_id, round({_LOG.format('value')}, 6) + 0 AS v FROM events",
     "opacity_byte": "SELECT event_id, CAST(floor(least(greatest(255 / (1 + exp(-value / 100)), 0), 255)) AS INT) AS b FROM events",
-    "encode_means": f"WITH {POINTS}, l AS (SELECT gid, {', '.join(f'{_LOG.format(a)} AS {a}' for a in AXES)} FROM points), v AS (SELECT gid, {', '.join(f'CAST(floor(65535 * ({a} - min({a}) OVER ()) / (max({a}) OVER () - min({a}) OVER ()) + 1e-7) AS INT) AS {a}' for a in AXES)} FROM l) SELECT gid, {', '.join(f'{a} & 255 AS lo_{a}, ({a} >> 8) & 255 AS hi_{a}' for a in AXES)} FROM v",
+    "encode_means": f"WITH {POINTS}, ml AS (SELECT row_number() OVER (ORDER BY gid) - 1 AS ti, {_LOGS} FROM points), {_MEANS} {_tagged(means_l=_pixels('ll', (0, 0, 0, 255)), means_u=_pixels('lu', (0, 0, 0, 255)))}",
     "quat_smallest_three": f"WITH {_THREE} SELECT * FROM t",
     "encode_quats": f"WITH {_THREE}, s AS (SELECT count(*) AS n FROM t), z AS (SELECT n, {_W} AS w FROM s), z2 AS (SELECT n, w, greatest(4, 4 * CAST(ceil(n / (w * 4.0)) AS BIGINT)) AS h FROM z), p AS (SELECT gid AS ti, b0, b1, b2, alpha FROM t UNION ALL SELECT i, 0, 0, 0, 0 FROM z2, (SELECT unnest(range(n, w * h)) AS i FROM z2)) SELECT ti, CAST(ti % w AS INT) AS px, CAST(ti // w AS INT) AS py, b0 AS r, b1 AS g, b2 AS b, alpha AS a FROM p, z2",
     "covariance": f"WITH {ROTATED} SELECT gid, {', '.join(f'round({e}, 6) + 0 AS {n}' for n, e in _COV.items())} FROM r",
@@ -364,7 +497,7 @@ SQL = {
     "knn_l1": f"WITH {_NEAR.format(_L1)} SELECT qid, id, CAST(rank AS INT) AS rank FROM r WHERE rank <= 5",
     "rknn": f"WITH {_NEAR.format(_L2)} SELECT qid, id, CAST(rank AS INT) AS rank FROM r WHERE rank <= 5 AND d < 1.2",
     "radius_search": f"WITH {_NEAR.format(_L2)} SELECT qid, id FROM near WHERE d < 1.4",
-    "radius_search_points": f"WITH {POINTS} SELECT a.gid AS qid, b.gid FROM points a, points b WHERE a.gid % 100 = 0 AND (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) + (a.z - b.z) * (a.z - b.z) < 3600",
+    "radius_search_points": f"WITH {POINTS} SELECT a.gid AS qid, b.gid FROM points a, points b WHERE a.gid % {EVERY} = 0 AND (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) + (a.z - b.z) * (a.z - b.z) < 3600",
     "radius_worst": f"WITH {_NEAR.format(_L2)} SELECT qid, arg_max(id, struct_pack(d := d, i := -id)) AS id FROM near WHERE d < 1.4 GROUP BY qid",
     "box_search": f"WITH {POINTS} SELECT gid FROM points WHERE {' AND '.join(f'{a} BETWEEN {lo} AND {hi}' for a, lo, hi in zip(AXES, *BOX, strict=True))}",
     "angle_so2": "WITH o AS (SELECT CAST(embedding[64] AS DOUBLE) AS o FROM embeddings WHERE vec_id = 0), e AS (SELECT vec_id AS id, embedding[64] - o AS d FROM embeddings, o) SELECT id, round(CASE WHEN d > pi() THEN d - 2 * pi() WHEN d < -pi() THEN d + 2 * pi() ELSE d END, 6) AS angle FROM e",
@@ -373,14 +506,30 @@ SQL = {
     "node_bounds": f"{TREE}, up AS (SELECT node >> u AS node, CAST(depth - u AS INT) AS depth, u, x, y, z FROM (SELECT *, unnest(range(0, depth + 1)) AS u FROM tree)) SELECT node, depth, count(*) AS n, max(u) = 0 AS is_leaf, {', '.join(f'{e}({a}) AS {e}_{a}' for e in ('min', 'max') for a in AXES)} FROM up GROUP BY node, depth",
     "pack_chunks": f'{CHUNKS} SELECT node, depth, lod, n, file_index, "offset" FROM fold',
     "file_catalog": f"{CHUNKS}, met AS (SELECT lod, file_index, min(pos) AS pos, sum(n) AS n FROM fold GROUP BY lod, file_index) SELECT lod || '_' || file_index || '/meta.json' AS filename, row_number() OVER (ORDER BY pos, lod) - 1 AS file_no, CAST(n AS BIGINT) AS n FROM met",
-    "union_lods": f"WITH {POINTS} SELECT gid, lod AS file_no, lod, x FROM points WHERE lod IN (0, 1)",
+    "union_lods": f"WITH {POINTS} SELECT gid, lod AS file_no, lod, x FROM points",
     "filter_harmonics": "SELECT vec_id AS id, CAST(9 AS BIGINT) AS n, " + ", ".join(f"CAST(embedding[{15 * p + j + 1}] AS DOUBLE) AS f{3 * p + j}" for p in range(3) for j in range(3)) + " FROM embeddings",
     "subset": f"WITH {POINTS} SELECT gid, gid * 3 AS pos, x FROM points WHERE gid % 7 = 3",
     "texture_dims": f"WITH c AS (SELECT l_suppkey, count(*) AS n FROM lineitem GROUP BY 1), z AS (SELECT *, {_W} AS w FROM c) SELECT l_suppkey, n, w, greatest(4, 4 * CAST(ceil(n / (w * 4.0)) AS BIGINT)) AS h FROM z",
     "palette_size": f"WITH t AS (SELECT unnest([{', '.join(map(str, SIZES))}, (SELECT count(*) FROM lineitem)]) AS n) SELECT n, CAST(CASE WHEN n < 1024 THEN 256 ELSE least(64, pow(2, floor(log2(n / 1024)))) * 1024 END AS BIGINT) AS palette FROM t",
     "sh_labels": f"WITH s AS (SELECT count(*) AS n FROM embeddings), z AS (SELECT n, {_W} AS w FROM s), z2 AS (SELECT n, w, greatest(4, 4 * CAST(ceil(n / (w * 4.0)) AS BIGINT)) AS h FROM z) SELECT vec_id AS ti, (label * 300) & 255 AS r, ((label * 300) >> 8) & 255 AS g, 0 AS b, 255 AS a FROM embeddings UNION ALL SELECT unnest(range(n, w * h)), 0, 0, 0, 0 FROM z2",
-    "sh_centroid_layout": "WITH c AS (SELECT vec_id AS cid, list_transform(embedding[1:9], lambda v: CAST(floor(abs(v) * 200) AS INT) % 256) AS label FROM embeddings WHERE vec_id < 100), p AS (SELECT (cid // 64) * 192 + (cid % 64) * 3 + j AS ti, label[j + 1] AS r, label[j + 4] AS g, label[j + 7] AS b FROM c, (SELECT unnest(range(3)) AS j)) SELECT t.ti, CAST(t.ti % 192 AS INT) AS px, CAST(t.ti // 192 AS INT) AS py, coalesce(r, 0) AS r, coalesce(g, 0) AS g, coalesce(b, 0) AS b, CASE WHEN r IS NULL THEN 0 ELSE 255 END AS a FROM (SELECT unnest(range(384)) AS ti) t LEFT JOIN p ON p.ti = t.ti",
+    "sh_centroid_layout": "WITH c AS (SELECT vec_id AS cid, list_transform(embedding[1:9], lambda v: CAST(floor(abs(v) * 200) AS INT) % 256) AS label FROM embeddings), p AS (SELECT (cid // 64) * 192 + (cid % 64) * 3 + j AS ti, label[j + 1] AS r, label[j + 4] AS g, label[j + 7] AS b FROM c, (SELECT unnest(range(3)) AS j)) SELECT t.ti, CAST(t.ti % 192 AS INT) AS px, CAST(t.ti // 192 AS INT) AS py, coalesce(r, 0) AS r, coalesce(g, 0) AS g, coalesce(b, 0) AS b, CASE WHEN r IS NULL THEN 0 ELSE 255 END AS a FROM (SELECT unnest(range(192 * CAST(ceil((SELECT count(*) FROM c) / 64.0) AS BIGINT))) AS ti) t LEFT JOIN p ON p.ti = t.ti",
     "project_finite": "SELECT event_id, value FROM events WHERE event_id % 10 <> 0 AND value IS NOT NULL",
     "unpivot_attributes": f"WITH {POINTS} SELECT gid, k, CASE k WHEN 0 THEN x WHEN 1 THEN y ELSE z END AS value FROM points, (SELECT CAST(unnest(range(3)) AS INT) AS k)",
-    "texture_padding": f"WITH z AS (SELECT n, {_W} AS w FROM {_PAD}), z2 AS (SELECT n, w * greatest(4, 4 * CAST(ceil(n / (w * 4.0)) AS BIGINT)) AS area FROM z) SELECT * FROM (SELECT 4 AS a, (SELECT count(*) FROM orders WHERE o_orderkey < (SELECT n FROM z2)) AS n UNION ALL SELECT 255, area - n FROM z2) WHERE n > 0",
+    "texture_padding": f"WITH o AS (SELECT row_number() OVER (ORDER BY o_orderkey) - 1 AS ti, 1 AS r, 2 AS g, 3 AS b, 4 AS a FROM orders) {_pixels('o', (0, 0, 0, 255))}",
+    "quantize1d": f"WITH RECURSIVE pv AS (SELECT l_extendedprice AS v FROM lineitem), {_codebook('pv', 16, 'p')} SELECT idx, value FROM pbook",
+    "quantize_attributes": f"WITH RECURSIVE {_ORDERED}, {_SCALE_BOOK}, {_COLOUR_BOOK} SELECT 'scales' AS texture, idx, value FROM sbook UNION ALL SELECT 'sh0', idx, value FROM qbook",
+    "encode_scales": f"WITH RECURSIVE {_ORDERED}, {_SCALE_BOOK}, {_SCALE_OWN} {_pixels('so', (0, 0, 0, 255))}",
+    "encode_colors": f"WITH RECURSIVE {_ORDERED}, {_COLOUR_BOOK}, {_COLOUR_OWN} {_pixels('qo', (0, 0, 0, 0))}",
+    "full_encode": f"WITH RECURSIVE {_ORDERED}, {_SCALE_BOOK}, {_SCALE_OWN}, {_COLOUR_BOOK}, {_COLOUR_OWN}, ml AS (SELECT ti, {_LOGS} FROM ordered), {_MEANS}, {_QUATS} "
+    + _tagged(means_l=_pixels("ll", (0, 0, 0, 255)), means_u=_pixels("lu", (0, 0, 0, 255)), quats=_pixels("uo", (0, 0, 0, 0)), scales=_pixels("so", (0, 0, 0, 255)), sh0=_pixels("qo", (0, 0, 0, 0))),
+    "quantize_16_bits": "WITH q AS (SELECT event_id, CAST(floor(65535.0::DOUBLE * (value - min(value) OVER ()) / (max(value) OVER () - min(value) OVER ())) AS INT) AS v FROM events) SELECT event_id, v, v & 255 AS lo, (v >> 8) & 255 AS hi FROM q",
+    "scan_ply": f"WITH {POINTS}, {_CLOUD} SELECT row_number() OVER (PARTITION BY lod ORDER BY gid) - 1 AS pos, lod, {', '.join(BASE)} FROM cloud",
+    "covariance_view": f"WITH {ROTATED} SELECT gid, {', '.join(f'round(CAST(CAST({e} AS FLOAT) AS DOUBLE), 4) + 0 AS {n}' for n, e in _COV.items())} FROM r",
+    "widen_harmonics": "SELECT vec_id AS id, CAST(24 AS BIGINT) AS n, " + ", ".join(f"CASE WHEN vec_id % 2 = 1 THEN CAST(embedding[{8 * p + j + 1}] AS DOUBLE) ELSE {f'CAST(embedding[{3 * p + j + 1}] AS DOUBLE)' if j < 3 else '0.0::DOUBLE'} END AS f{8 * p + j}" for p in range(3) for j in range(8)) + " FROM embeddings",
+    "harmonic_bands": "SELECT p_partkey, CASE p_size WHEN 3 THEN 1 WHEN 8 THEN 2 WHEN 15 THEN 3 ELSE 0 END AS bands FROM part",
+    "oriented_leaf_bounds": f"{TREE}, {_CLOUD}, {_ORIENTED}, n AS (SELECT *, sqrt(rot_0*rot_0+rot_1*rot_1+rot_2*rot_2+rot_3*rot_3) AS len FROM wide), u AS (SELECT node, depth, x, y, z, scale_0 AS s0, scale_1 AS s1, scale_2 AS s2, {', '.join(f'CASE WHEN len > 0 THEN rot_{k} / len ELSE rot_{k} END AS {c}' for k, c in enumerate('abcd'))} FROM n), "
+    + "r AS (SELECT *, " + ", ".join(f"{_R[i][j]} AS r{i}{j}" for i in range(3) for j in range(3)) + " FROM u), "
+    + f"o AS (SELECT node, depth, {', '.join(f'{a} {s} ({_RAD[k]}) AS {e}_{a}' for e, s in (('min', '-'), ('max', '+')) for k, a in enumerate(AXES))} FROM r), up AS (SELECT node >> u AS node, CAST(depth - u AS INT) AS depth, u, {', '.join(f'{e}_{a}' for e in ('min', 'max') for a in AXES)} FROM (SELECT *, unnest(range(0, depth + 1)) AS u FROM o)) "
+    + f"SELECT node, depth, count(*) AS n, max(u) = 0 AS is_leaf, {', '.join(f'round({e}({e}_{a}), 4) + 0 AS {e}_{a}' for e in ('min', 'max') for a in AXES)} FROM up GROUP BY node, depth",
+    "harmonics_2iter": _HARMONICS,
 }

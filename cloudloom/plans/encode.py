@@ -47,6 +47,9 @@ def write_folder(cloud: DataFrame, folder: str, sort: bool = True, iterations: i
     made, meta = textures(cloud, sort, iterations)
     for name, rows in made.items():
         sinks.write_texture(folder, name, rows, kind)
+    for part in meta.values():
+        if isinstance(part, dict) and "files" in part:
+            part["files"] = [f"{name}.{kind}" for name in part["files"]]
     sinks.write_text(folder, "meta.json", sinks.meta_json(meta))
     return meta
 
@@ -72,7 +75,8 @@ def export_lods(cloud: DataFrame, target: str, chunk_count: int = 512, extent: f
     chunks = written(tr.pack_chunks(bins, chunk_count * tr.TO_ROWS), "chunks")
     local = ordered_within(placed, "node", "lod").withColumnRenamed("pos", "in_chunk")
     rows = local.join(chunks.select("node", "lod", "file_index", "offset"), ["node", "lod"])
-    rows = written(rows.withColumn("pos", F.col("offset") + F.col("in_chunk")).drop("code", "in_chunk"), "files")
+    rows = rows.withColumn("pos", F.col("offset") + F.col("in_chunk")).drop("code", "in_chunk").repartition("lod", "file_index")
+    rows = written(rows.select(*[c for c in rows.columns if c not in ("lod", "file_index")], "lod", "file_index"), "files", "lod", "file_index")  # a file's jobs read its own rows only
     catalog = {r.filename: r.file_no for r in tr.file_catalog(chunks).collect()}
     for name in catalog:
         lod, file = map(int, name.split("/")[0].split("_"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -11,15 +12,25 @@ _own: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share: spark.checkpoint.dir. A local session, as in tests, may do without it and gets a temporary folder; a cluster may not."""
     given = spark.conf.get("spark.checkpoint.dir", None)
+    if given:
+        return given.rstrip("/")
     app = spark.sparkContext.applicationId
-    if not given and app not in _own:
+    if app not in _own:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         _own[app] = "file://" + tempfile.mkdtemp(prefix="cloudloom-")
-    return given.rstrip("/") if given else _own[app]
+    return _own[app]
 
 
-def written(df: DataFrame, label: str) -> DataFrame:
+def new_path(spark: SparkSession, label: str) -> str:
+    return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame, label: str, *by: str) -> DataFrame:
+    """df from the shared folder, where it is written in a folder for each value of the columns `by`."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    path = new_path(spark, label)
+    (df.write.partitionBy(*by) if by else df.write).parquet(path)
     return spark.read.schema(df.schema).parquet(path)

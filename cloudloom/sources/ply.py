@@ -27,8 +27,18 @@ class Header:
     offset: int
 
 
+def local(path: str) -> str:
+    """The path of a file that driver and executors see under one name; file: URIs are taken, other stores are not."""
+    if path.startswith("file:"):
+        return "/" + path[5:].lstrip("/")
+    if "://" in path:
+        raise PlyError(f"{path}: only folders that the driver and all executors have mounted can be read and written")
+    return path
+
+
 def read_header(path: str) -> Header:
     """Only the vertex element counts; it must come first, with float properties only."""
+    path = local(path)
     try:
         f = open(path, "rb")
     except OSError as e:
@@ -73,6 +83,7 @@ class Part(InputPartition):
 
 class PlyReader(DataSourceReader):
     def __init__(self, path: str, permissive: bool, lod: int):
+        path = local(path)
         self.path, self.permissive, self.lod = path, permissive, lod
         self.header = h = read_header(path)
         missing = [c for c in BASE if c not in h.names]
@@ -128,7 +139,46 @@ def read_ply(spark: SparkSession, path: str, lod: int = 0, mode: str = "strict")
 def read_many(spark: SparkSession, inputs: list[tuple[str, int]], mode: str = "strict") -> DataFrame:
     from cloudloom.operators.clouds import union
 
-    return union([(read_ply(spark, p, lod, mode), lod) for p, lod in inputs])
+    widths = [sum(n.startswith("f_rest_") for n in read_header(p).names) for p, _ in inputs]
+    return union([(read_ply(spark, p, lod, mode), lod) for p, lod in inputs], widths)
+
+
+def header_of(names: list[str], rows: int) -> bytes:
+    return ("ply\nformat binary_little_endian 1.0\n" + f"element vertex {rows}\n" + "".join(f"property float {c}\n" for c in names) + "end_header\n").encode()
+
+
+def export_ply(df: DataFrame, path: str) -> int:
+    """Writes a cloud whose column pos numbers its rows from 0, and gives their number. Each task puts its rows where they belong in the file, so a task that runs again changes nothing."""
+    path, rest = local(path), 0
+    n = df.count()
+    if "f_rest" in df.columns:
+        rest = df.selectExpr("coalesce(max(size(f_rest)), 0)").first()[0]
+    head = header_of([*BASE, *[f"f_rest_{k}" for k in range(rest)]], n)
+    width = len(BASE) + rest
+    os.makedirs(os.path.dirname(path), exist_ok=True)
+    with open(path, "wb") as f:
+        f.write(head)
+        f.truncate(len(head) + 4 * width * n)
+
+    def run(batches):
+        rows = 0
+        with open(path, "r+b") as f:
+            for batch in batches:
+                x = np.zeros((batch.num_rows, width), "<f4")
+                for k in range(len(BASE)):
+                    x[:, k] = batch.column(k + 1).to_numpy(zero_copy_only=False)
+                if rest:
+                    x[:, len(BASE) :] = batch.column(len(BASE) + 1).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, rest)
+                pos = batch.column(0).to_numpy()
+                starts = np.flatnonzero(np.diff(pos, prepend=-2) != 1)
+                for a, b in zip(starts, [*starts[1:], len(pos)], strict=True):
+                    f.seek(len(head) + 4 * width * int(pos[a]))
+                    f.write(x[a:b].tobytes())
+                rows += batch.num_rows
+        yield pa.RecordBatch.from_arrays([pa.array([rows])], ["rows"])
+
+    columns = ["pos", *BASE, *(["f_rest"] if rest else [])]
+    return df.select(*columns).mapInArrow(run, "rows long").agg({"rows": "sum"}).first()[0] or 0
 
 
 def write_ply(path: str, columns: dict[str, np.ndarray], extra: list[str] = ()) -> None:
@@ -137,5 +187,5 @@ def write_ply(path: str, columns: dict[str, np.ndarray], extra: list[str] = ())
     n = len(next(iter(columns.values())))
     data = np.stack([columns.get(c, np.zeros(n)) for c in names], 1).astype("<f4")
     with open(path, "wb") as f:
-        f.write(("ply\nformat binary_little_endian 1.0\n" + f"element vertex {n}\n" + "".join(f"property float {c}\n" for c in names) + "end_header\n").encode())
+        f.write(header_of(names, n))
         f.write(data.tobytes())
