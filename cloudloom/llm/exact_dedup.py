@@ -19,7 +19,7 @@ import re
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cloudloom.llm.common import cut, dropped, new_path, unused
+from cloudloom.llm.common import cut, new_path, unused
 
 #: Bits of the bitmap of hits; 32,768 for each row of the small table that is broadcast.
 MARKS = 1 << 22

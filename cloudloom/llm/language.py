@@ -141,15 +141,18 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def accepted(docs: DataFrame, model: Model) -> DataFrame:
-    """The rows of docs whose text is not `und`, all columns as they were. With no language to decide for, only texts that are null or have no letter go."""
-    sent, names = docs.sparkSession.sparkContext.broadcast(model), docs.columns
-    at = names.index("text")
+    """The rows of docs with a language, all columns as they were: those that are `und`, and those so ambiguous that no codeword is nearer than the next by MARGIN, go. With no language to decide for, only texts that are null or have no letter go."""
+    sent, at = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index("text")
+
+    def kept(text: str | None) -> bool:
+        if not sent.value.langs:
+            return lettered(text)
+        lang, _, unsure = sent.value.decide(text)
+        return lang != UNDETERMINED and not unsure
 
     def run(batches):
-        m = sent.value
-        keeps = (lambda t: m.decide(t)[0] != UNDETERMINED) if m.langs else lettered
         for batch in slices(batches):
-            yield batch.filter(pa.array([keeps(t) for t in batch.column(at).to_pylist()], pa.bool_()))
+            yield batch.filter(pa.array([kept(t) for t in batch.column(at).to_pylist()], pa.bool_()))
 
     return mapped(docs, run, docs.schema)
 

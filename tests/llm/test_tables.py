@@ -17,7 +17,7 @@ TEXTS = [None, "", " \n\t", "a", "a", "The same text twice, of more than five wo
 
 def table(spark, texts=TEXTS, ids=None):
     ids = ids or [*range(len(texts) - 1), None]
-    rows = [(i, t, "en" if k % 2 else "fr", "s", len(t or ""), *["x"] * len(CLASHING)) for k, (i, t) in enumerate(zip(ids, texts, strict=True))]
+    rows = [(i, t, "fr" if "word" in (t or "") else "en", "s", len(t or ""), *["x"] * len(CLASHING)) for i, t in zip(ids, texts, strict=True)]
     rows.append(rows[5])  # a row repeated whole
     return spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"`{c}` string" for c in CLASHING))
 
@@ -45,7 +45,7 @@ def test_awkward_tables(spark, name):
     if name in ("redacted", "dedup", "near", "accepted"):
         assert out.columns == df.columns and all((got[c] == "x").all() for c in CLASHING)
     if name in ROWS:  # copies, and the row repeated, get the same
-        plain = [tuple(str(v) for c, v in r.items() if c not in ("doc_id", "class_id", "lang")) for r in got[got.doc_id.isin([5, 6])].to_dict("records")]
+        plain = [tuple(str(v) for c, v in r.items() if c not in ("doc_id", "class_id")) for r in got[got.doc_id.isin([5, 6])].to_dict("records")]
         assert len(plain) == 3 and (len(set(plain)) == 1 or name == "scores")  # one of them is target
     if name == "classes":
         named = {int(r.doc_id): int(r.class_id) for r in got.itertuples() if r.doc_id == r.doc_id}
@@ -76,6 +76,20 @@ def test_language_decodes_as_brute_force(k):
         assert unsure == (k > 1 and sorted(loss)[1] - loss[best] < language.MARGIN)
 
 
+def test_language_stage_rejects_what_is_ambiguous(spark):
+    """A text that no language claims more than another goes; what one claims stays."""
+    r = np.random.default_rng(1)
+    word = lambda letters: "".join(r.choice(list(letters), r.integers(3, 8)))
+    rows = [(k, " ".join(word("abcd" if k % 2 else "wxyz") for _ in range(40)), "l1" if k % 2 else "l2") for k in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language.train(docs)
+    model.bias[:] = 0
+    unknown = next(w for w in (word("mnopqrst") for _ in range(9999)) if not model.weights[language.features(w) > 0].any())
+    odd = spark.createDataFrame([(1, "abcd dcba", None), (2, "", None), (3, unknown, None)], "doc_id long, text string, lang string")
+    assert [x.doc_id for x in language.accepted(odd, model).collect()] == [1]
+    assert language.accepted(docs, model).count() == 60
+
+
 def plain_threads(rows):
     """(conv_id, turn, body, reply_to, root, depth) of each row, by loops over all messages."""
     marks = re.compile(r"^(?:[ \t]{0,3}>)+")
