@@ -10,7 +10,7 @@ from cloudloom.llm.common import cut, table
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose text has no language (null, or no letter) go."""
+    """Documents whose text has no language go: null or without a letter, or so ambiguous that two languages claim it alike."""
     return language.accepted(docs, language.train(docs))
 
 
