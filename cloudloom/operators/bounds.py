@@ -13,8 +13,8 @@ MARGIN = 0.01
 
 
 def aabb(df: DataFrame, *by: str, margin: float = 0.0, count: str | None = None) -> DataFrame:
-    """min_x to max_z, by group if asked, of the values that are numbers, neither NaN nor infinite; null without one. count: a column for the number of rows. Partial sums meet, so it is one small shuffle."""
-    value = {a: F.when(finite(a), F.col(a).cast("double")) for a in AXES}
+    """min_x to max_z, by group if asked, of the rows whose three values are numbers, neither NaN nor infinite; null without one. count: a column for the number of rows. Partial sums meet, so it is one small shuffle."""
+    value = {a: F.when(finite(*AXES), F.col(a).cast("double")) for a in AXES}
     aggs = [f(value[a]).alias(f"{n}_{a}") for n, f in (("min", F.min), ("max", F.max)) for a in AXES] + ([F.count(F.lit(1)).alias(count)] if count else [])
     out = df.groupBy(*by).agg(*aggs) if by else df.agg(*aggs)
     if margin:

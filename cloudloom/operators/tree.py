@@ -66,15 +66,13 @@ def leaves(t: pa.Table, chunk_count: int, extent: float) -> tuple[np.ndarray, np
     """node and depth of the leaf of each row of a node."""
     axes = [t.column(a).cast(pa.float64()).to_numpy(zero_copy_only=False) for a in AXES]
     gid, missing = t.column("gid").to_numpy(), [t.column(a).is_null().to_numpy(zero_copy_only=False) for a in AXES]
+    whole = np.isfinite(axes).all(0)
     node, depth = np.zeros(len(gid), np.int64), np.zeros(len(gid), np.int32)
     todo = [(t.column("node")[0].as_py(), t.column("depth")[0].as_py(), np.arange(len(gid)))]
     while todo:
         number, level, rows = todo.pop()
-        ext = []
-        for v in axes:
-            v = v[rows]
-            v = v[np.isfinite(v)]
-            ext.append(float(v.max() - v.min()) if len(v) else 0.0)
+        known = rows[whole[rows]]
+        ext = [float(v[known].max() - v[known].min()) if len(known) else 0.0 for v in axes]
         n = len(rows)
         if n <= LEAST or n <= chunk_count * TO_ROWS and max(ext) <= extent or level >= MAX_DEPTH:
             node[rows], depth[rows] = number, level

@@ -85,3 +85,26 @@ def test_command_line():
     for bad in (["a.ply"], ["a.ply", "b.ply", "o.json", "--bundle"], ["a.ply", "-l", "300", "o"], ["a.ply", "o", "--nope", "1"], ["-l", "1", "a.ply", "o"]):
         with pytest.raises(SystemExit):
             cli.parse(bad)
+
+
+def test_export_of_ply(spark, tmp_path):
+    c = columns(300)
+    ply.write_ply(str(tmp_path / "a.ply"), c)
+    cloud = ply.read_ply(spark, str(tmp_path / "a.ply")).withColumnRenamed("gid", "pos").repartition(5)
+    assert ply.export_ply(cloud, f"file://{tmp_path}/out/b.ply") == 300
+    assert (tmp_path / "out" / "b.ply").read_bytes() == (tmp_path / "a.ply").read_bytes()
+    with pytest.raises(ply.PlyError, match="mounted"):
+        ply.read_ply(spark, "s3a://bucket/a.ply")
+
+
+def test_encode_with_harmonics_of_degree_three(spark, tmp_path):
+    """Names in the metadata are those of the files; labels and centroids give back vectors near the harmonics."""
+    c = columns(400, rest=45)
+    ply.write_ply(str(tmp_path / "a.ply"), c)
+    meta = encode.encode(ply.read_ply(spark, str(tmp_path / "a.ply")), str(tmp_path / "out"), iterations=2, kind="png")
+    files = {f for part in meta.values() if isinstance(part, dict) for f in part.get("files", [])}
+    assert files == {p.name for p in (tmp_path / "out").iterdir()} - {"meta.json"} and all(f.endswith(".png") for f in files)
+    assert meta["shN"]["bands"] == 3 and meta["shN"]["count"] == 256
+    labels = images.read_png((tmp_path / "out" / "shN_labels.png").read_bytes()).reshape(-1, 4)
+    assert (labels[:400, 0].astype(int) + 256 * labels[:400, 1].astype(int) < 256).all() and (labels[:400, 3] == 255).all() and not labels[400:].any()
+    assert images.read_png((tmp_path / "out" / "shN_centroids.png").read_bytes()).shape[:2] == (4, 64 * 15)

@@ -110,3 +110,102 @@ def test_dynamic_index(spark, tmp_path):
     assert neighbors.DynamicIndex.load(spark, str(tmp_path / "index")).current().count() == 2
     assert neighbors.knn(index.current(), q.where("false"), 1).count() == 0
     assert neighbors.radius_search(index.current(), q, 0.5, "l1").where(F.col("id") == 3).count() == 1
+
+
+def with_odd(spark, n=20):
+    """Points on a line, and with them rows whose positions are not finite."""
+    rows = [(k, 0, float(k), 2.0 * k, -1.0 * k) for k in range(n)]
+    odd = [(n, 0, float("nan"), 1.0, 1.0), (n + 1, 0, float("inf"), 1.0, 1.0), (n + 2, 0, 1.0, float("-inf"), None)]
+    make = lambda r: spark.createDataFrame(r, "gid long, lod smallint, x float, y float, z float")
+    return make(rows), make(rows + odd)
+
+
+def test_odd_positions_change_no_other_row(spark):
+    from cloudloom.operators import textures
+
+    clean, odd = with_odd(spark)
+    a, b = ({r.gid: r.code for r in morton.encode(p).collect()} for p in (clean, odd))
+    assert len(set(a.values())) > 15 and {k: b[k] for k in a} == a and all(v is not None for v in b.values())
+    a, b = (textures.means(p.withColumn("pos", F.col("gid")), p.count()) for p in (clean, odd))
+    assert a[1] == b[1]
+    for name in ("means_l", "means_u"):
+        x, y = ({r.ti: tuple(r)[3:] for r in t[0][name].collect()} for t in (a, b))
+        assert all(x[k] == y[k] for k in range(20)) and all(v is not None for p in y.values() for v in p)
+    tree_rows = tree.build(odd, 1, 16.0).collect()
+    assert sorted(r.gid for r in tree_rows) == list(range(23))
+
+
+@pytest.mark.parametrize("local_rows", [0, 300, 10**9])
+def test_tree_splits_at_the_median_of_its_longest_axis(spark, local_rows):
+    """Against a plain recursion, with ties, odd positions and nodes of all points alike."""
+    r = np.random.default_rng(3)
+    xyz = r.integers(0, 40, (1500, 3)).astype(np.float32)
+    xyz[:5, 0], xyz[5:8, 1], xyz[700:] = np.nan, np.inf, xyz[700]
+    points = spark.createDataFrame([(k, *map(float, p)) for k, p in enumerate(xyz)], "gid long, x float, y float, z float")
+    want, todo = {}, [(1, 0, list(range(len(xyz))))]
+    while todo:
+        node, depth, rows = todo.pop()
+        ext = []
+        for a in range(3):
+            v = [xyz[k, a] for k in rows if np.isfinite(xyz[k]).all()]
+            ext.append(float(max(v)) - float(min(v)) if v else 0.0)
+        if len(rows) <= 256 or len(rows) <= 1024 and max(ext) <= 16:
+            want |= {k: (node, depth) for k in rows}
+            continue
+        axis = 1 if ext[1] > ext[0] and ext[1] > ext[2] else 2 if ext[2] > ext[0] and ext[2] > ext[1] else 0
+        rows.sort(key=lambda k: (np.isnan(xyz[k, axis]), 0 if np.isnan(xyz[k, axis]) else xyz[k, axis], k))
+        todo += [(2 * node, depth + 1, rows[: len(rows) // 2]), (2 * node + 1, depth + 1, rows[len(rows) // 2 :])]
+    got = {x.gid: (x.node, x.depth) for x in tree.build(points, 1, 16.0, local_rows).collect()}
+    assert got == want
+
+
+def test_codebooks_are_optimal():
+    """Against all ways to cut the bins."""
+    import itertools
+
+    r = np.random.default_rng(1)
+    for _ in range(60):
+        n, k = int(r.integers(2, 10)), int(r.integers(1, 6))
+        weight, centre = r.choice([0.0, 1.0, 2.0, 5.5], n), np.sort(r.normal(size=n))
+        if not weight.any():
+            continue
+        error = lambda codes: sum(w * min((c - v) ** 2 for v in codes) for w, c in zip(weight, centre, strict=True) if w)  # noqa: E731,B023
+        best = np.inf
+        for cuts in itertools.combinations(range(1, n), min(k, n) - 1):
+            parts = [range(a, b) for a, b in zip([0, *cuts], [*cuts, n], strict=True)]
+            best = min(best, error([sum(weight[i] * centre[i] for i in p) / sum(weight[i] for i in p) for p in parts if sum(weight[i] for i in p)]))
+        got = quantize.solve(weight, centre, k)
+        assert len(got) == k and got == sorted(got) and error(got) <= best + 1e-5
+
+
+@pytest.mark.parametrize("metric", ["l2", "l1"])
+def test_searches_against_brute_force(spark, metric):
+    """More index rows than a block, equal distances, and a query of the index."""
+    r = np.random.default_rng(2)
+    x, q = r.integers(0, 6, (1300, 3)).astype(float), r.integers(0, 6, (40, 3)).astype(float)
+    index = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "id long, vec array<double>").repartition(3)
+    queries = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(q)], "qid long, vec array<double>")
+    d = neighbors.distances(x, q, metric)
+    got = {(row.qid, row["rank"]): (row.id, row.distance) for row in neighbors.knn(index, queries, 7, metric).collect()}
+    assert got == {(j, k + 1): (i, d[i, j]) for j in range(40) for k, i in enumerate(np.lexsort((np.arange(1300), d[:, j]))[:7])}
+    found = {(row.qid, row.id) for row in neighbors.radius_search(index, queries, 3.0, metric).collect()}
+    assert found == {(j, i) for i, j in zip(*np.nonzero(d < 3.0), strict=True)}
+
+    def longest(batches):
+        for batch in batches:
+            yield batch.filter(pc.greater(batch.column(2), 1.0))
+
+    import pyarrow.compute as pc
+
+    seen = {(row.qid, row.id) for row in neighbors.radius_visit(index, queries, 3.0, longest, "qid long, id long, distance double", metric).collect()}
+    assert seen == {(j, i) for i, j in zip(*np.nonzero((d < 3.0) & (d > 1.0)), strict=True)}
+
+
+def test_nearest_centroid_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(neighbors, "CENTROIDS", 7)
+    r = np.random.default_rng(5)
+    x, c = r.integers(0, 5, (200, 2)).astype(float), r.integers(0, 5, (30, 2)).astype(float)
+    for metric in ("l2", "l1"):
+        best, d = neighbors.nearest_of(x, c, metric)
+        every = neighbors.distances(x, c, metric)
+        assert (best == every.argmin(1)).all() and np.allclose(d, every.min(1))
