@@ -40,6 +40,8 @@ SHIFT = 8
 CELL, BLOCK, STEP, PIXELS = 1 << 15, 1 << 15, 200_000, 1 << 20
 #: Images of the index in a share; and corners of an image of 96 x 96, on average, which decides the size of words and shares only.
 SHARE, CORNERS = 4096, 60
+#: Images of a block of pairs, on either side.
+TOGETHER = 256
 #: Bits of a word that name its cell, at most: the sizes of so many cells for each table are what the driver holds and sends.
 CELL_BITS = 16
 
@@ -431,25 +433,39 @@ def candidates(votes: DataFrame) -> DataFrame:
     return mapped(votes.repartition("query", "share").sortWithinPartitions("query", "share"), run, "query long, found long")
 
 
-def confirmed(pairs: DataFrame, asked: DataFrame, index: DataFrame, tables: int) -> DataFrame:
-    """query, found and inliers of the pairs whose corners, all compared, hold INLIERS matches that agree."""
+def confirmed(pairs: DataFrame, asked: DataFrame, index: DataFrame, tables: int, queries: int, images: int) -> DataFrame:
+    """query, found and inliers of the pairs whose corners, all compared, hold INLIERS matches that agree.
+
+    Pairs are dealt to blocks of about TOGETHER query and TOGETHER found images; an image's corners go once to each block that has a pair of it."""
 
     def run(batches):
-        for batch in slices(batches, 64):
+        now, sides = None, ({}, {})
+        for batch in slices(batches):
             out = []
-            for k, (a, b) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)):
-                q, d = np.frombuffer(a, asking(tables)), np.frombuffer(b, CORNER)
+            for a, b, kind, query, found, corners in zip(*(batch.column(k).to_pylist() for k in range(6)), strict=True):
+                if (a, b) != now:
+                    now, sides = (a, b), ({}, {})
+                if kind < 2:
+                    sides[kind][found if kind else query] = np.frombuffer(corners, CORNER if kind else asking(tables))
+                    continue
+                q, d = sides[0][query], sides[1][found]
                 i, j = near_pairs(*(np.ascontiguousarray(c["bits"]).view("<u8") for c in (q, d)))
                 zero = np.zeros(len(i), np.int64)
                 n = agreeing(q[i], zero, d[j], zero)[2]
                 if len(n):
-                    out.append((k, int(n[0])))
-            at = pa.array([k for k, _ in out], pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array([n for _, n in out], pa.int64())], ["query", "found", "inliers"])
+                    out.append((query, found, int(n[0])))
+            yield pa.RecordBatch.from_arrays([pa.array([o[k] for o in out], pa.int64()) for k in range(3)], ["query", "found", "inliers"])
+
+    def block(c: str, n: int):
+        return F.pmod(F.xxhash64(c), F.lit(-(-max(1, n) // TOGETHER))).cast("int").alias(f"{c}_block")
 
-    both = pairs.join(index.select(F.col("id").alias("found"), F.col("corners").alias("d")), "found")
-    both = both.join(asked.select(F.col("id").alias("query"), F.col("corners").alias("q")), "query")
-    return mapped(both.select("query", "found", "q", "d"), run, "query long, found long, inliers long")
+    dealt = pairs.select("query", "found", block("query", queries), block("found", images))
+    none, blocks = F.lit(None), ["query_block", "found_block"]
+    left = dealt.select("query", *blocks).distinct().join(asked.select(F.col("id").alias("query"), "corners"), "query")
+    right = dealt.select("found", *blocks).distinct().join(index.select(F.col("id").alias("found"), "corners"), "found")
+    rows = left.select(*blocks, F.lit(0).alias("kind"), "query", none.cast("long").alias("found"), "corners")
+    rows = rows.union(right.select(*blocks, F.lit(1), none.cast("long"), "found", "corners")).union(dealt.select(*blocks, F.lit(2), "query", "found", none.cast("binary")))
+    return mapped(rows.repartition(*blocks).sortWithinPartitions(*blocks, "kind"), run, "query long, found long, inliers long")
 
 
 def matches(queries: DataFrame, index: DataFrame, corners: int, again=None) -> DataFrame:
@@ -465,7 +481,7 @@ def matches(queries: DataFrame, index: DataFrame, corners: int, again=None) -> D
     pairs = cut(candidates(votes), "candidates")
     dropped(held_rows)
     ids = pairs.select(F.col("found").alias("id")).distinct()
-    return confirmed(pairs, asked, descriptors(again(ids) if again else index.join(ids, "id", "left_semi")), tables)
+    return confirmed(pairs, asked, descriptors(again(ids) if again else index.join(ids, "id", "left_semi")), tables, asked.count(), int(corners) // CORNERS)
 
 
 #: Rendering of vectors as images: a sum of plane waves, so that near vectors give near images.

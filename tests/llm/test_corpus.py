@@ -242,6 +242,7 @@ def test_media_finds_the_images_that_brute_force_finds(spark, monkeypatch, size)
     """Of all pairs of images with enough agreeing matches among all pairs of their corners, by the words of indexes of 1 and of 130 million corners; blocks and parts of cells are small, so there are many."""
     monkeypatch.setattr(media, "BLOCK", 60)
     monkeypatch.setattr(media, "SHARE", 100)
+    monkeypatch.setattr(media, "TOGETHER", 8)
     monkeypatch.setattr(media, "word_size", lambda corners: size)
     base = grey(30, 6)
     noise = np.random.default_rng(1).normal(0, 12, base.shape)
