@@ -105,3 +105,27 @@ def formatted(messages: DataFrame) -> DataFrame:
 
 def query(spark, sf_dir: str) -> DataFrame:
     return formatted(table(spark, sf_dir, "conversations"))
+
+
+_EVEN = r"lower(trim(regexp_replace({0}, '[ \t\n\x0B\f\r]+', ' ', 'g'), ' '))"
+SQL = rf"""
+WITH RECURSIVE m AS MATERIALIZED (SELECT row_number() OVER () AS rid, conv_id, turn, coalesce(role, 'user') AS role, coalesce(text, '') AS text FROM conversations),
+ln AS (SELECT rid, conv_id, turn, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS place FROM m),
+mk AS (SELECT *, regexp_extract(line, '^(?:[ \t]{{0,3}}>)+') AS mark FROM ln),
+lv AS MATERIALIZED (SELECT *, length(mark) - length(replace(mark, '>', '')) AS level, substr(line, length(mark) + 1) AS rest FROM mk),
+bd AS MATERIALIZED (SELECT rid, regexp_replace(regexp_replace(coalesce(string_agg(line, chr(10) ORDER BY place) FILTER (WHERE level = 0), ''), '^[ \t\n\x0B\f\r]+', ''), '[ \t\n\x0B\f\r]+$', '') AS body FROM lv GROUP BY rid),
+ps AS (SELECT *, sum(begins) OVER (PARTITION BY rid ORDER BY place) AS passage FROM (SELECT *, CASE WHEN level = lag(level) OVER (PARTITION BY rid ORDER BY place) THEN 0 ELSE 1 END AS begins FROM lv)),
+pa AS (SELECT *, min(level) OVER (PARTITION BY rid) AS lowest FROM (SELECT rid, conv_id, turn, passage, level, {_EVEN.format("string_agg(rest, chr(10) ORDER BY place)")} AS whole, list_distinct(list_filter(list({_EVEN.format("rest")}), lambda x: x <> '')) AS wanted
+  FROM ps WHERE level > 0 AND conv_id IS NOT NULL AND turn IS NOT NULL GROUP BY rid, conv_id, turn, passage, level)),
+direct AS MATERIALIZED (SELECT * FROM pa WHERE level = lowest),
+og AS MATERIALIZED (SELECT conv_id, turn AS origin, body, {_EVEN.format("body")} AS whole FROM m JOIN bd USING (rid) WHERE body <> '' AND conv_id IS NOT NULL AND turn IS NOT NULL),
+ful AS MATERIALIZED (SELECT rid, passage, min(origin) AS origin FROM direct JOIN og USING (conv_id, whole) GROUP BY rid, passage, turn HAVING min(origin) < turn),
+ol AS MATERIALIZED (SELECT DISTINCT conv_id, origin, line FROM (SELECT conv_id, origin, {_EVEN.format("line")} AS line FROM (SELECT conv_id, origin, unnest(string_split(body, chr(10))) AS line FROM og)) WHERE line <> ''),
+vo AS (SELECT rid, passage, origin, count(*) AS n FROM (SELECT rid, conv_id, turn, passage, unnest(wanted) AS line FROM direct ANTI JOIN ful USING (rid, passage)) JOIN ol USING (conv_id, line) WHERE origin < turn GROUP BY rid, passage, origin),
+hit AS (SELECT rid, origin FROM ful UNION ALL SELECT rid, arg_max(origin, struct_pack(n := n, o := -origin)) FROM vo GROUP BY rid, passage),
+rp AS MATERIALIZED (SELECT conv_id, turn, max(origin) AS reply_to FROM hit JOIN m USING (rid) GROUP BY conv_id, turn),
+th AS (SELECT conv_id, turn, reply_to, reply_to AS root, 1 AS depth FROM rp UNION ALL SELECT t.conv_id, t.turn, t.reply_to, r.reply_to, t.depth + 1 FROM th t JOIN rp r ON r.conv_id = t.conv_id AND r.turn = t.root),
+top AS (SELECT conv_id, turn, reply_to, arg_max(root, depth) AS root, max(depth) AS depth FROM th GROUP BY conv_id, turn, reply_to)
+SELECT m.conv_id, m.turn, role, body, '<|' || role || '|>' || chr(10) || body || chr(10) || '<|end|>' AS message, reply_to, coalesce(root, m.turn) AS root, CAST(coalesce(depth, 0) AS BIGINT) AS depth
+FROM m JOIN bd USING (rid) LEFT JOIN top ON top.conv_id = m.conv_id AND top.turn = m.turn
+"""

@@ -286,3 +286,10 @@ def extracted(pages: DataFrame) -> DataFrame:
 
 def query(spark, sf_dir: str) -> DataFrame:
     return extracted(table(spark, sf_dir, "pages"))
+
+
+#: What is expected of pages whose article element holds headings, paragraphs, bold text and breaks only, as those of the test tables do.
+SQL = r"""
+SELECT page_id, url, text, length(text) AS n_chars FROM (SELECT page_id, url, trim(regexp_replace(replace(replace(
+  regexp_replace(regexp_replace(regexp_extract(html, '(?s)<article>(.*?)</article>', 1), '</?b>', '', 'g'), '<[^>]*>', ' ', 'g'), '&quot;', '"'), '&amp;', '&'), '\s+', ' ', 'g')) AS text FROM pages)
+"""

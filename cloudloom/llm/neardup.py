@@ -295,3 +295,18 @@ def dedup(docs: DataFrame) -> DataFrame:
 
 def query(spark, sf_dir: str) -> DataFrame:
     return classes(table(spark, sf_dir, "documents")).withColumn("representative", F.col("doc_id") == F.col("class_id"))
+
+
+#: All pairs of documents with an element in common, compared in full; classes are the components of the links.
+SQL = r"""
+WITH RECURSIVE w AS (SELECT doc_id, list_filter(string_split_regex(lower(coalesce(text, '')), '\s+'), lambda x: x <> '') AS words FROM documents),
+s AS (SELECT doc_id, unnest(CASE WHEN len(words) = 0 THEN [] WHEN len(words) < 5 THEN [array_to_string(words, ' ')] ELSE list_transform(range(1, len(words) - 3), lambda i: array_to_string(words[i:i + 4], ' ')) END) AS g FROM w),
+e AS MATERIALIZED (SELECT doc_id, g, row_number() OVER (PARTITION BY doc_id, g) AS k FROM s),
+n AS MATERIALIZED (SELECT doc_id, count(*) AS n FROM e GROUP BY doc_id),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS common FROM e a JOIN e b ON a.g = b.g AND a.k = b.k AND a.doc_id < b.doc_id GROUP BY a.doc_id, b.doc_id),
+l AS MATERIALIZED (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE common >= 0.8 * (x.n + y.n - common) - 1e-9),
+edges AS MATERIALIZED (SELECT a, b FROM l UNION SELECT b, a FROM l),
+reached AS (SELECT doc_id, doc_id AS root FROM documents UNION SELECT edges.b, reached.root FROM reached JOIN edges ON edges.a = reached.doc_id),
+c AS (SELECT doc_id, min(root) AS class_id FROM reached GROUP BY doc_id)
+SELECT doc_id, class_id, doc_id = class_id AS representative FROM c
+"""

@@ -16,4 +16,4 @@ QUERIES = {
     "op9_exact_dedup": exact_dedup.query,
     "op10_quote_linked_chat": chat.query,
 }
-SQL = {"op9_exact_dedup": exact_dedup.SQL}
+SQL = {"op1_bagminhash_neardup": neardup.SQL, "op8_html_text": html.SQL, "op9_exact_dedup": exact_dedup.SQL, "op10_quote_linked_chat": chat.SQL}
