@@ -87,9 +87,14 @@ def stream_state(spark: SparkSession, path: str, schema, digest=sha256, max_file
     return updates.groupBy("digest").agg(F.max(F.struct("rows", "keeper")).alias("last")).select("digest", "last.*")
 
 
+def _escaped(path: str) -> str:
+    """The path as a pattern that matches it alone."""
+    return re.sub(r"([\\[\]{}*?])", r"\\\1", path)
+
+
 def _pattern(spark: SparkSession, path: str) -> str:
-    """The path as a pattern that matches it alone: a stream reads a folder or a pattern, and a single file only as the latter."""
-    escaped = re.sub(r"([\\[\]{}*?])", r"\\\1", path)
+    """The same for a stream, which reads a folder or a pattern, but a single file only as the latter."""
+    escaped = _escaped(path)
     hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
     if hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(hadoop).isDirectory():
         return escaped
@@ -114,7 +119,7 @@ def _exists(spark: SparkSession, path: str) -> bool:
 
 def assignments(spark: SparkSession, path: str, digest=sha256, max_files: int | None = None) -> DataFrame:
     """doc_id, keep_id, group_size, kept, text_sha256, file and row for each row of the Parquet table at path."""
-    docs = spark.read.parquet(path)
+    docs = spark.read.parquet(_escaped(path))
     state = cut(stream_state(spark, path, docs.schema, digest, max_files), "dedup-groups")
     rows = keyed(docs, digest)
     #: The full bytes of hits: copies of a text meet in each task. A digest with several texts is a clash.

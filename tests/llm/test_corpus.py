@@ -22,6 +22,17 @@ def test_exact_dedup_keeps_texts_of_one_digest_apart(spark, tmp_path):
             assert kept == [(-1, 1), (2, 2), (7, 2), (8, 1), (9, 3)]
 
 
+def test_exact_dedup_reads_folders_and_files_of_any_name(spark, tmp_path):
+    df = spark.createDataFrame([(1, "a"), (2, "a "), (3, "b")], "doc_id long, text string").coalesce(1)
+    for name in ("plain", "odd [1] {a,b} x*?"):
+        folder = f"{tmp_path}/{name}"
+        df.write.parquet(folder)
+        (file,) = [p for p in (tmp_path / name).iterdir() if p.name.startswith("part-")]
+        for path in (folder, str(file)):
+            got = exact_dedup.assignments(spark, path).collect()
+            assert sorted((r.doc_id, r.keep_id, r.kept) for r in got) == [(1, 2, False), (2, 2, True), (3, 3, True)]
+
+
 def test_exact_dedup_of_nothing_and_of_extra_columns(spark):
     df = spark.createDataFrame([(1, "a", 3, "k"), (2, "a ", 4, "k")], "doc_id long, text string, n long, digest string")
     assert exact_dedup.dedup(df.where("false")).count() == 0
