@@ -140,7 +140,7 @@ def signatures(docs: DataFrame) -> DataFrame:
 
 
 def _bags(docs: DataFrame, ids: DataFrame, keys: DataFrame) -> DataFrame:
-    """key and elements of the nodes in keys, from one document of each. Texts travel compressed."""
+    """key and elements of the nodes in keys, from one document of each. Texts travel compressed. The first join is never broadcast: a task with both functions takes two Python workers, which then stay."""
 
     def packed(batches):
         codec = zstandard.ZstdCompressor(level=1)
@@ -154,7 +154,7 @@ def _bags(docs: DataFrame, ids: DataFrame, keys: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(map(key_of, words), pa.binary()), pa.array([elements(w).view(np.int64) for w in words], pa.list_(pa.int64()))], ["key", "bag"])
 
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null and text is not null")
-    asked = mapped(texts, packed, "doc_id long, text binary").join(ids, "doc_id", "left_semi").select("text")
+    asked = mapped(texts, packed, "doc_id long, text binary").join(ids.hint("merge"), "doc_id", "left_semi").select("text")
     made = mapped(asked, run, "key binary, bag array<long>").join(keys, "key", "left_semi")
     return made.dropDuplicates(["key"])
 

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 
 from cloudloom.llm.common import held, mapped, slices, table
 
-LENGTH, GROUP, KEPT_CHUNKS = 2048, 4_000_000, 600_000
+LENGTH, GROUP, KEPT_CHUNKS = 2048, 4_000_000, 250_000
 LINEAR, QUADRATIC = 1.0, 1.0 / LENGTH
 #: Up to here lower case is the same for Python and the tokenizer, which lower-cases, so words of either case are asked for once.
 LATIN = "\u024f"

@@ -1,6 +1,7 @@
 """Deduplication, scoring, media, chat and the pipeline: against brute force."""
 
 import collections
+import re
 
 import numpy as np
 import pytest
@@ -313,3 +314,12 @@ def test_pipeline_against_stages_by_hand(spark, sf_dir):
     got = corpus_pipeline.run(spark, sf_dir).toPandas()
     assert set(got.doc_id) == set(classes.values())
     assert [n for n, _ in corpus_pipeline.STAGES] == ["language_id", "exact_dedup", "near_dedup", "personal_data", "packing"]
+
+
+def test_no_task_of_near_duplicates_takes_two_python_workers(spark):
+    docs = spark.createDataFrame([(1, "a b c"), (2, "d e f")], "doc_id long, text string")
+    keys = spark.createDataFrame([(neardup.key_of(["a", "b", "c"]),)], "key binary")
+    bags = neardup._bags(docs, spark.range(1, 2).toDF("doc_id"), keys)
+    assert [bytes(r.key) for r in bags.collect()] == [neardup.key_of(["a", "b", "c"])]
+    stages = re.split(r"Exchange", bags._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0])
+    assert sum("MapInArrow" in s for s in stages) == 2 and max(s.count("MapInArrow") for s in stages) == 1

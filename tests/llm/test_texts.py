@@ -3,14 +3,16 @@
 import hashlib
 import random
 import re
+import time
 import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
-from cloudloom.llm import bpe, html, language, packing, pii
+from cloudloom.llm import bpe, common, html, language, packing, pii
 
 ODD = ["", " ", "  a  b\n\n c\t\x1c d\x85e　f 's it's DON'T <|endoftext|> <|endoftext|x 12345 ½ ²", "İ ΑΣ é ́x ﬁ", "a" * 3000, "\n", "x" * 5 + "😀" * 9]
 _r = random.Random(1)
@@ -310,3 +312,19 @@ def test_word_ids_are_those_of_the_library_for_either_case():
     for _ in range(500):
         text = "".join(r.choice("aAbBéÉÎîßẞİıŒœŸÿŽžSſΣσςΩµ,.;'’-!* 0٣") for _ in range(r.randint(0, 25)))
         assert np.frombuffer(words.ids(text), "<u4")[:-1].tolist() == whole.encode(text, add_special_tokens=False).ids, text
+
+
+def test_workers_let_go_of_what_they_hold_when_no_task_follows(spark):
+    def kept(batches):
+        for batch in batches:
+            common.held("a table", lambda: list(range(10)))
+            yield batch
+
+    def holding(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([len(common._held)] * batch.num_rows)], ["n"])
+
+    rows = spark.range(8).repartition(4)
+    common.mapped(rows, kept, "id long").count()
+    time.sleep(common.IDLE_S + 2)
+    assert {r.n for r in common.mapped(rows, holding, "n long").collect()} == {0}
